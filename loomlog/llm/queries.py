@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, simhash
+from . import decontaminate, langid, pieces, secrets, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_pieces": pieces.op3_pieces,
+    "op5_secrets": secrets.op5_secrets,
     "op7_simhash": simhash.op7_simhash,
     "op8_language": langid.op8_language,
     "op10_decontaminate": decontaminate.op10_decontaminate,

@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, pieces, secrets, simhash
+from . import chat, decontaminate, langid, pieces, secrets, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_pieces": pieces.op3_pieces,
+    "op4_chat": chat.op4_chat,
     "op5_secrets": secrets.op5_secrets,
     "op7_simhash": simhash.op7_simhash,
     "op8_language": langid.op8_language,
@@ -17,5 +18,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_chat": chat.ORACLE,
     "op10_decontaminate": decontaminate.ORACLE,
 }

@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, langid, licenses, pieces, secrets, simhash, topk
+from . import chat, decontaminate, langid, licenses, pieces, secrets, simhash, topk, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": warc.op1_warc,
     "op3_pieces": pieces.op3_pieces,
     "op4_chat": chat.op4_chat,
     "op5_secrets": secrets.op5_secrets,
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_warc": warc.ORACLE,
     "op4_chat": chat.ORACLE,
     "op9_topk": topk.ORACLE,
     "op10_decontaminate": decontaminate.ORACLE,

@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, langid, licenses, pieces, secrets, simhash, topk, warc
+from . import chat, decontaminate, langid, licenses, pieces, secrets, simhash, surrogates, topk, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": warc.op1_warc,
+    "op2_surrogates": surrogates.op2_surrogates,
     "op3_pieces": pieces.op3_pieces,
     "op4_chat": chat.op4_chat,
     "op5_secrets": secrets.op5_secrets,

@@ -105,3 +105,16 @@ def pack(rows: Iterable[tuple], names: list[str], arrow: pa.Schema, size: int =
 def _batch(rows: list[tuple], names: list[str], arrow: pa.Schema) -> pa.RecordBatch:
     columns = list(zip(*rows))
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, arrow)], names=names)
+
+
+def segments(rows: Iterator[tuple], size: int) -> Iterator[list[tuple]]:
+    """Runs of rows with about ``size`` characters of text (the last column)."""
+    held, weight = [], 0
+    for row in rows:
+        held.append(row)
+        weight += len(row[-1] or "")
+        if weight >= size:
+            yield held
+            held, weight = [], 0
+    if held:
+        yield held

@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding by a max-plus scan.
 
 The best segmentation of a text maximises the sum of its pieces' scores (the unigram lattice). Giant
-texts are cut into chunks at fixed offsets. A piece may straddle a cut, so the state at a cut is
+texts, of ``chunk`` characters and more, are cut into chunks at fixed offsets. A piece may straddle a cut, so the state at a cut is
 how many characters past it the straddling piece ends. A chunk yields the transfer matrix of best
 scores from each state at its start to each state at its end; matrices combine associatively in
 max-plus arithmetic, in two levels of blocks. With the scores at its start known, each chunk
@@ -12,7 +12,8 @@ Scores are the model file's. Whole-number scores, as in the files here, add up e
 longer last piece, so the result does not depend on where the cuts fall.
 
 Inside a chunk, a space that follows another character ends every piece, since no piece of the
-vocabulary goes on past it (checked when the model is loaded). Such runs are solved once and remembered.
+vocabulary goes on past it (checked when the model is loaded), and so does a character that is in no piece. The runs between
+are solved many at a time and remembered.
 
 Spaces are the model's word marks and one is put before the text. A character that no piece covers, and a literal
 word mark (U+2581), becomes byte pieces, so ``decode(encode(x)) == x`` for every text. Defined cases: null text has
@@ -24,17 +25,23 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_rows, new_folder, stage, table
+from .common import map_rows, new_folder, segments, stage, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-CHUNK = 16_384
+CHUNK = 65_536
 BLOCK = 256
+SEGMENT = 1 << 20
+#: Runs of up to so many characters are remembered, and about so many of them in each worker.
+REMEMBERED = 40
+MEMORY = 400_000
 UNK_PENALTY = 10
 NEG = -(1 << 62)
 
@@ -45,10 +52,70 @@ class Vocabulary:
     def __init__(self, pieces: dict[str, tuple[int, int]], byte_ids: list[int], spelling: dict[int, str], unk_score: int):
         self.pieces, self.byte_ids, self.spelling, self.unk_score = pieces, byte_ids, spelling, unk_score
         self.longest = max(map(len, pieces), default=1)
-        self.cuts = not any(" " in p.lstrip(" ") for p in pieces)
-        self.words = re.compile(r" +[^ ]*|[^ ]+" if self.cuts else r"(?s).+")
         self.raw = {i: t.encode("utf-8", "surrogatepass") for i, t in spelling.items()} | {i: bytes([b]) for b, i in enumerate(byte_ids)}
-        self.memory: dict[str, tuple[int, tuple[int, ...]]] = {}
+        spelled = [self.raw.get(i, b"") for i in range(max(self.raw, default=0) + 1)]
+        self.byte_size = np.array([len(x) for x in spelled], dtype=np.int64)
+        self.byte_start = np.cumsum(self.byte_size) - self.byte_size
+        self.byte_flat = np.frombuffer(b"".join(spelled), dtype=np.uint8)
+        self.cuts = not any(" " in p.lstrip(" ") for p in pieces)
+        letters = "".join(sorted(set().union(*pieces) - {" "}))
+        inside = f"[{re.escape(letters)}]" if letters else r"(?!)"
+        # Runs of the pieces' own characters, each with the spaces before it; any other character by itself.
+        self.words = re.compile(f" +{inside}*|{inside}+|[^ {re.escape(letters)}]" if self.cuts else r"(?s).+")
+        self._build_trie()
+        self.forget()
+
+    def _build_trie(self) -> None:
+        """Edges of the pieces' trie as one sorted array of node * alphabet + code; a code is 0 if the character is no piece."""
+        singles = sorted(p for p in self.pieces if len(p) == 1)
+        self.code = np.zeros(0x110000, dtype=np.int64)
+        self.code[[ord(c) for c in singles]] = np.arange(1, len(singles) + 1)
+        self.width = len(singles) + 1
+        edges: dict[int, int] = {}
+        ends, scores, depths = [-1], [0], [0]
+        for piece, (i, score) in self.pieces.items():
+            codes = self.code[[ord(c) for c in piece]].tolist()
+            if not all(codes):
+                continue  # holds a character that is no piece; such texts are solved one by one
+            node = 0
+            for c in codes:
+                key = node * self.width + c
+                if key not in edges:
+                    edges[key] = len(ends)
+                    ends.append(-1)
+                    scores.append(0)
+                    depths.append(depths[node] + 1)
+                node = edges[key]
+            ends[node], scores[node] = i, score
+        bits = max(4, (4 * len(edges) + 1).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.keys = np.full(1 << bits, -1, dtype=np.int64)
+        self.nodes = np.zeros(1 << bits, dtype=np.int32)
+        spots = self._spot(np.array(list(edges), dtype=np.int64)).tolist()
+        for spot, (key, node) in zip(spots, edges.items()):
+            while self.keys[spot] >= 0:
+                spot = spot + 1 & (1 << bits) - 1
+            self.keys[spot], self.nodes[spot] = key, node
+        self.ends = np.array(ends, dtype=np.int32)
+        self.depths = np.array(depths, dtype=np.int32)
+        self.scores = np.array(scores, dtype=np.int64 if all(isinstance(x, int) for x in scores) else np.float64)
+
+    def _spot(self, key: np.ndarray) -> np.ndarray:
+        return (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+
+    def _follow(self, key: np.ndarray) -> np.ndarray:
+        """The node that each edge leads to, or -1."""
+        spot = self._spot(key)
+        held = self.keys[spot]
+        out = np.where(held == key, self.nodes[spot], -1)
+        open_ = np.flatnonzero((held != key) & (held >= 0))
+        while len(open_):
+            spot[open_] = spot[open_] + 1 & len(self.keys) - 1
+            held = self.keys[spot[open_]]
+            hit = held == key[open_]
+            out[open_[hit]] = self.nodes[spot[open_[hit]]]
+            open_ = open_[~hit & (held >= 0)]
+        return out
 
     @classmethod
     def load(cls, path: str) -> Vocabulary:
@@ -106,50 +173,179 @@ class Vocabulary:
             at = back[at]
         return best[-1], [i for p in reversed(parts) for i in p]
 
-    def run(self, text: str) -> tuple[int, tuple[int, ...]]:
-        got = self.memory.get(text)
-        if got is None:
-            score, ids = self.solve(text)
-            got = score, tuple(ids)
-            if len(text) <= 40:
-                if len(self.memory) >= 300_000:
-                    self.memory.clear()
-                self.memory[text] = got
-        return got
+    # --- runs, remembered ----------------------------------------------------------------------
+
+    def forget(self) -> None:
+        """Known runs: ``index`` numbers them; ``flat[start : start + count]`` are the ids of one, ``score`` its sum."""
+        self.index: dict[str, int] = {}
+        self.start = np.empty(0, dtype=np.int64)
+        self.count = np.empty(0, dtype=np.int64)
+        self.score = np.empty(0, dtype=self.scores.dtype)
+        self.flat = np.empty(0, dtype=np.int32)
+
+    def number(self, words: list[str]) -> np.ndarray:
+        """The numbers of runs, all of them solved."""
+        index = self.index
+        known = len(index)
+        give = index.setdefault
+        out = np.array([give(w, len(index)) for w in words], dtype=np.int64)
+        if len(index) > known:
+            fresh = list(islice(index, known, None))
+            counts = np.zeros(len(fresh), dtype=np.int64)
+            scores = np.zeros(len(fresh), dtype=self.scores.dtype)
+            parts = self._learn(fresh, counts, scores)
+            begin = np.cumsum(counts) - counts + len(self.flat)
+            self.start = np.r_[self.start, begin]
+            self.count, self.score = np.r_[self.count, counts], np.r_[self.score, scores]
+            self.flat = np.concatenate([self.flat, parts])
+        return out
+
+    def gather(self, numbers: np.ndarray) -> np.ndarray:
+        """The ids of runs, one after another."""
+        counts = self.count[numbers]
+        shift = self.start[numbers] - (np.cumsum(counts) - counts)
+        return self.flat[np.repeat(shift, counts) + np.arange(int(counts.sum()))]
+
+    def _learn(self, words: list[str], counts: np.ndarray, scores: np.ndarray) -> np.ndarray:
+        """Solves distinct runs; fills their counts and scores and returns their ids, one after another."""
+        usual = [i for i, w in enumerate(words) if len(w) <= REMEMBERED]
+        where, owner, ids = self._side_by_side(words, np.array(usual, dtype=np.int64), scores)
+        solved = np.zeros(len(words), dtype=bool)
+        solved[where] = True
+        owners, parts = [owner], [ids]
+        for i in np.flatnonzero(~solved).tolist():
+            scores[i], found = self.solve(words[i])
+            owners.append(np.full(len(found), i, dtype=np.int64))
+            parts.append(np.array(found, dtype=np.int32))
+        owner, ids = np.concatenate(owners), np.concatenate(parts)
+        counts += np.bincount(owner, minlength=len(words))
+        return ids[np.argsort(owner, kind="stable")]
+
+    def _side_by_side(self, words: list[str], usual: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Many runs at once: all trie walks step together, then all lattices do.
+
+        Returns which runs it solved, and the owners and ids of all their pieces in order. Runs with a character that is no piece are left.
+        """
+        none = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int32)
+        if not len(usual) or not len(self.nodes):
+            return none
+        fresh = [words[i] for i in usual.tolist()]
+        lengths = np.fromiter(map(len, fresh), dtype=np.int64, count=len(fresh))
+        codes = self.code[np.frombuffer("".join(fresh).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
+        starts = np.cumsum(lengths) - lengths
+        plain = np.minimum.reduceat(codes, starts) > 0
+        if not plain.all():
+            usual = usual[plain]
+            codes, lengths = codes[np.repeat(plain, lengths)], lengths[plain]
+            starts = np.cumsum(lengths) - lengths
+        if not len(usual):
+            return none
+        n = len(usual)
+        stops = np.repeat(starts + lengths, lengths)
+        word = np.repeat(np.arange(n), lengths)
+        offset = (np.arange(len(codes)) - starts[word]).astype(np.int16)
+        # Place p of word w is node p + w of its lattice.
+        base = starts + np.arange(n)
+        best = np.full(len(codes) + n, NEG, dtype=self.scores.dtype)
+        back = np.zeros(len(codes) + n, dtype=np.int64)  # the trie node of the last piece
+        best[base] = 0
+        # Trie walks from every character, in order of the character's offset in its word.
+        at = np.argsort(offset, kind="stable")
+        node = np.zeros(len(codes), dtype=np.int64)
+        found = []
+        for depth in range(1, self.longest + 1):
+            live = at + depth <= stops[at]
+            at, node = at[live], node[live]
+            if not len(at):
+                break
+            to = self._follow(node.astype(np.int64) * self.width + codes[at + depth - 1])
+            live = to >= 0
+            at, node = at[live], to[live]
+            whole = self.ends[node] >= 0
+            edges = at[whole]
+            found.append((depth, edges + word[edges], node[whole], np.searchsorted(offset[edges], np.arange(lengths.max() + 1))))
+        # All lattices advance together, by offset: of equal sums the earliest start stays.
+        for i in range(int(lengths.max())):
+            for depth, tail, node, bounds in found:
+                low, high = bounds[i], bounds[i + 1]
+                if low < high:
+                    total = best[tail[low:high]] + self.scores[node[low:high]]
+                    head = tail[low:high] + depth
+                    better = total > best[head]
+                    best[head[better]] = total[better]
+                    back[head[better]] = node[low:high][better]
+        # All words walk back together.
+        here, who = base + lengths, np.arange(n)
+        path_word, path_id = [], []
+        while len(who):
+            path_word.append(who)
+            path_id.append(self.ends[back[here]])
+            here = here - self.depths[back[here]]
+            live = here != base[who]
+            here, who = here[live], who[live]
+        scores[usual] = best[base + lengths]
+        owner, ids = np.concatenate(path_word[::-1]), np.concatenate(path_id[::-1])
+        order = np.argsort(owner, kind="stable")  # the last steps back come first
+        return usual, usual[owner[order]], ids[order]
 
     def encode(self, text: str) -> tuple[int, list[int]]:
-        score, out = 0, []
-        memory, run = self.memory, self.run
-        if not text:
-            return 0, out
-        for word in self.words.findall(" " + text):
-            got = memory.get(word) or run(word)
-            score += got[0]
-            out += got[1]
-        return score, out
+        score, ids, _ = self.encode_all([text])
+        return score[0], ids.tolist()
+
+    def encode_all(self, texts: list[str]) -> tuple[list[int], np.ndarray, np.ndarray]:
+        """Scores of texts, their ids one after another, and where each text's ids begin and the last ones end."""
+        if len(self.index) > MEMORY:
+            self.forget()
+        split = [self.words.findall(" " + t) if t else [] for t in texts]
+        numbers = self.number([w for words in split for w in words])
+        ends = np.cumsum([len(words) for words in split])
+        counts = np.r_[0, np.cumsum(self.count[numbers])]
+        sums = np.r_[0, np.cumsum(self.score[numbers])]
+        begins = np.r_[0, ends]
+        return (sums[begins[1:]] - sums[begins[:-1]]).tolist(), self.gather(numbers), counts[begins]
+
+    def spell_all(self, ids: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+        """The bytes of each text's ids."""
+        sizes = self.byte_size[ids]
+        shift = self.byte_start[ids] - (np.cumsum(sizes) - sizes)
+        blob = self.byte_flat[np.repeat(shift, sizes) + np.arange(int(sizes.sum()))].tobytes()
+        cuts = np.r_[0, np.cumsum(sizes)][bounds].tolist()
+        return [blob[a:b] for a, b in zip(cuts, cuts[1:])]
 
     def decode(self, ids) -> str:
         """The text of ids from ``encode``."""
+        return self.spell(ids)[1:]
+
+    def spell(self, ids) -> str:
         raw = self.raw
-        return b"".join([raw[i] for i in ids if i in raw]).decode("utf-8", "surrogatepass")[1:]
+        return b"".join([raw[i] for i in ids if i in raw]).decode("utf-8", "surrogatepass")
 
     # --- one chunk -----------------------------------------------------------------------------
 
-    def parts(self, text: str, own: int) -> tuple[int, int]:
-        """First and last cut of a chunk, or (own, own) without one; what lies between is whole runs."""
+    def parts(self, text: str, own: int) -> list[str]:
+        """The runs that begin in the chunk, the first and the last of which may lie across its ends; one run if no cut is known."""
         if not self.cuts:
-            return own, own
-        found = [m.start() + 1 for m in re.finditer(r"[^ ](?= )", text[: own + 1]) if m.start() + 1 <= own]
-        return (found[0], found[-1]) if found else (own, own)
+            return [text]
+        found = self.words.findall(text)
+        size = len(text)
+        while len(found) > 1 and size - len(found[-1]) >= own:  # begins past the chunk's end
+            size -= len(found.pop())
+        if size < len(text):
+            found[-1] += text[size:]
+        if len(self.index) > MEMORY:
+            self.forget()
+        return found
 
     def matrix(self, text: str, own: int) -> np.ndarray:
         """Best scores from each state at the chunk's start to each at its end; NEG where there is no path."""
         k = self.longest
-        out = np.full((k, k), NEG, dtype=object)
-        first, last = self.parts(text, own)
-        if first == last == own:
+        runs = self.parts(text, own)
+        if len(runs) == 1:
             return self._direct(text, own)
-        middle = sum(self.run(w)[0] for w in self.words.findall(text[first:last]))
+        out = np.full((k, k), NEG, dtype=object)
+        first, last = len(runs[0]), len(text) - len(runs[-1])
+        numbers = self.number(runs[1:-1])
+        middle = self.score[numbers].sum().item()
         tail, _ = self.forward(text[last:], own - last, [0])
         ends = tail[own - last : own - last + k]
         for s in range(min(k, first + 1)):
@@ -190,38 +386,61 @@ class Vocabulary:
                 return [e if e == NEG else e + gap for e in base[own : own + k]]
             size *= 2
 
-    def trace(self, text: str, own: int, entry: list, ends: list[int], want: int | None) -> tuple[list[int], list[int]]:
-        """For each end state its start state (-1: no path), and the ids of the path to ``want``.
+    def trace(self, text: str, own: int, entry: list) -> tuple[list[int], list[int], list[list[int]], list[bool]]:
+        """What the chunk holds for each end state, given the best scores of the states at its start.
 
-        ``entry`` are the best scores of the states at the chunk's start.
+        The start state that each end state goes back to (-1: no path); the ids up to the last place on all paths; the ids from there
+        to each end; and whether the ids spell the characters between start and end.
         """
-        first, last = self.parts(text, own)
-        single = first == last == own
-        if single:
+        k = self.longest
+        runs = self.parts(text, own)
+        if len(runs) == 1:
             best, back = self.forward(text, own, entry)
-            states = [self._walk_back(back, own + t) if own + t < len(best) and best[own + t] != NEG else -1 for t in ends]
-            return states, self._ids(text, back, own + want) if want is not None else []
-        # All paths pass the cuts, so the start state is the same for every end.
-        _, back_head = self.forward(text[:first], first, entry)
-        start = self._walk_back(back_head, first)
-        tail, back_tail = self.forward(text[last:], own - last, [0])
-        states = [start if own - last + t < len(tail) and tail[own - last + t] != NEG else -1 for t in ends]
-        if want is None:
-            return states, []
-        ids = self._ids(text[:first], back_head, first)
-        for word in self.words.findall(text[first:last]):
-            ids += self.run(word)[1]
-        return states, ids + self._ids(text[last:], back_tail, own - last + want)
-
-    @staticmethod
-    def _walk_back(back: list[int], at: int) -> int:
-        while back[at] >= 0:
-            at = back[at]
-        return at
-
-    def _ids(self, text: str, back: list[int], at: int) -> list[int]:
+            return self._fork(text, back, [own + t if own + t < len(best) and best[own + t] != NEG else -1 for t in range(k)])
+        first, last = len(runs[0]), len(text) - len(runs[-1])
+        _, back = self.forward(text[:first], first, entry)
+        start = first
+        while back[start] >= 0:
+            start = back[start]
+        common = self._ids(text, back, first)
+        common += self.gather(self.number(runs[1:-1])).tolist()
+        best, back = self.forward(text[last:], own - last, [0])
+        places = [own - last + t if own - last + t < len(best) and best[own - last + t] != NEG else -1 for t in range(k)]
+        fine = self.spell(common) == text[start:last]
+        tails, states, good = [], [], []
+        for p in places:
+            ids = self._ids(text[last:], back, p) if p >= 0 else []
+            tails.append(ids)
+            states.append(start if p >= 0 else -1)
+            good.append(p < 0 or fine and self.spell(ids) == text[last : last + p])
+        return states, common, tails, good
+
+    def _fork(self, text: str, back: list[int], places: list[int]) -> tuple[list[int], list[int], list[list[int]], list[bool]]:
+        paths = []
+        for p in places:
+            path = [p] if p >= 0 else []
+            while path and back[path[-1]] >= 0:
+                path.append(back[path[-1]])
+            paths.append(path)
+        shared = set.intersection(*(set(path) for path in paths if path))
+        meet = max(shared, default=-1)
+        common = self._ids(text, back, meet) if meet >= 0 else []
+        origin = meet
+        while origin >= 0 and back[origin] >= 0:
+            origin = back[origin]
+        fine = meet < 0 or self.spell(common) == text[origin:meet]
+        states, tails, good = [], [], []
+        for path in paths:
+            low = meet if meet >= 0 else path[-1] if path else 0
+            ids = self._ids(text, back, path[0], low) if path else []
+            states.append(path[-1] if path else -1)
+            tails.append(ids)
+            good.append(not path or fine and self.spell(ids) == text[low : path[0]])
+        return states, common, tails, good
+
+    def _ids(self, text: str, back: list[int], at: int, low: int = -1) -> list[int]:
         parts = []
-        while back[at] >= 0:
+        while at != low and back[at] >= 0:
             parts.append(self.ids_between(text, back[at], at))
             at = back[at]
         return [i for p in reversed(parts) for i in p]
@@ -289,17 +508,30 @@ def encode(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", text_col
     out = f"{id_col} bigint, n_chunks int, score string, ids array<int>, round_trip boolean"
     docs = docs.select(F.col(id_col).alias(id_col), F.col(text_col).cast("string").alias(text_col))
 
-    def whole(batch):
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = loaded()
-        for key, text in batch:
-            if text is None:
-                yield key, 0, None, None, None
-            else:
-                score, ids = v.encode(text)
-                yield key, 1, repr(score), ids, v.decode(ids) == text
+        for batch in batches:
+            keys, texts = batch.column(0), batch.column(1)
+            at = 0
+            for part in segments(((t,) for t in texts.to_pylist()), SEGMENT):
+                part = [t for (t,) in part]
+                scores, ids, bounds = v.encode_all([t or "" for t in part])
+                missing = np.array([t is None for t in part])
+                good = [None if t is None else b == (" " + t if t else t).encode("utf-8", "surrogatepass") for t, b in zip(part, v.spell_all(ids, bounds))]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        keys.slice(at, len(part)),
+                        pa.array([0 if t is None else 1 for t in part], pa.int32()),
+                        pa.array([None if t is None else repr(x) for t, x in zip(part, scores)], pa.string()),
+                        pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()), mask=pa.array(missing)),
+                        pa.array(good, pa.bool_()),
+                    ],
+                    names=[id_col, "n_chunks", "score", "ids", "round_trip"],
+                )
+                at += len(part)
 
     small = docs.where(F.col(text_col).isNull() | (F.length(text_col) < chunk))
-    short = map_rows(small, whole, out, [F.col(id_col).cast("bigint"), text_col])
+    short = small.select(F.col(id_col).cast("bigint").alias(id_col), text_col).mapInArrow(whole, out)
 
     folder = new_folder(spark, "pieces")
     chunks = stage(_chunks(docs, id_col, text_col, chunk, k).repartition("uid", "idx"), "chunks", folder)
@@ -316,45 +548,33 @@ def encode(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", text_col
     ).withColumn("blk", F.floor(F.col("idx") / block).cast("int"))
     states = stage(_scan(made, k), "states", folder)
 
-    def maps(batch):
-        v = loaded()
-        for uid, idx, n, part, own, entry in batch:
-            back, _ = v.trace(part, own, unpack_scores(entry), list(range(k)), None)
-            yield uid, idx, n, back
-
-    parts = chunks.join(states.select("uid", "idx", "entry"), ["uid", "idx"])
-    going = stage(
-        map_rows(parts, maps, "uid bigint, idx int, n int, back array<int>", ["uid", "idx", "n", "part", "own", "entry"]), "maps", folder
-    ).withColumn("blk", F.floor(F.col("idx") / block).cast("int"))
-    ends = _compose(going, k)
-
-    def backtraces(batch):
+    def traces(batch):
         v = loaded()
-        for uid, key, idx, n, part, own, entry, end in batch:
-            yield uid, key, idx, n, v.trace(part, own, unpack_scores(entry), [], end)[1]
+        for uid, key, idx, n, part, own, entry in batch:
+            yield uid, key, idx, n, *v.trace(part, own, unpack_scores(entry))
 
-    traced = map_rows(
-        parts.join(ends, ["uid", "idx"]), backtraces, f"uid bigint, {id_col} bigint, idx int, n int, ids array<int>",
-        ["uid", id_col, "idx", "n", "part", "own", "entry", "end"],
+    going = map_rows(
+        chunks.join(states.select("uid", "idx", "entry"), ["uid", "idx"]), traces,
+        f"uid bigint, {id_col} bigint, idx int, n int, back array<int>, common array<int>, tails array<array<int>>, good array<boolean>",
+        ["uid", id_col, "idx", "n", "part", "own", "entry"],
     )
-    total = states.where("idx = n - 1").select("uid", "total")
-    joined = (
-        traced.groupBy("uid", id_col)
-        .agg(F.max("n").alias("n_chunks"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("idx", "ids"))), lambda x: x["ids"])).alias("ids"))
-        .join(total, "uid")
-        .select("uid", id_col, "n_chunks", F.col("total").alias("score"), "ids")
+    going = stage(going, "traces", folder).withColumn("blk", F.floor(F.col("idx") / block).cast("int"))
+    ends = _compose(going.select("uid", "idx", "blk", "back"), k)
+    place = F.col("end") + 1
+    chosen = going.join(ends, ["uid", "idx"]).select(
+        "uid", id_col, "idx", "n", F.concat("common", F.element_at("tails", place)).alias("ids"), F.element_at("good", place).alias("good")
     )
-    texts = chunks.groupBy("uid").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", F.expr("substring(part, 1, own)").alias("t")))), lambda x: x["t"]), "").alias("text")
+    giant = (
+        chosen.groupBy("uid", id_col)
+        .agg(
+            F.max("n").alias("n_chunks"),
+            F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("idx", "ids"))), lambda x: x["ids"])).alias("ids"),
+            F.min("good").alias("round_trip"),
+        )
+        .join(states.where("idx = n - 1").select("uid", F.col("total").alias("score")), "uid")
     )
-
-    def check(batch):
-        v = loaded()
-        for key, n, score, ids, text in batch:
-            yield key, n, score, ids, v.decode(ids) == text[1:]
-
-    giant = map_rows(joined.join(texts, "uid"), check, out, [id_col, "n_chunks", "score", "ids", "text"])
-    return short.unionByName(giant).select(id_col, "n_chunks", F.col("score").cast("double").alias("score"), "ids", "round_trip")
+    columns = [id_col, "n_chunks", F.col("score").cast("double").alias("score"), "ids", "round_trip"]
+    return short.select(*columns).unionByName(giant.select(*columns))
 
 
 def _scan(made: DataFrame, k: int) -> DataFrame:

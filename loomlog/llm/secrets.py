@@ -13,7 +13,6 @@ repeated rows and null ids are kept; matches of one rule never overlap, those of
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from re import _constants as K
 from re import _parser as P
 from typing import NamedTuple
@@ -22,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_rows, table
+from .common import map_rows, segments, table
 
 SEGMENT = 4 << 20
 
@@ -229,25 +228,12 @@ def _searcher(rules: tuple[Rule, ...]) -> Searcher:
     return _SEARCHERS[rules]
 
 
-def segments(rows: Iterator[tuple], size: int = SEGMENT) -> Iterator[list[tuple]]:
-    """Runs of rows with about ``size`` characters of text (the last column)."""
-    held, weight = [], 0
-    for row in rows:
-        held.append(row)
-        weight += len(row[-1] or "")
-        if weight >= size:
-            yield held
-            held, weight = [], 0
-    if held:
-        yield held
-
-
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``(id, spans)`` per row; spans are structs (kind, start, stop, value_start, value_stop) by start, then rule."""
 
     def rows(batch):
         search = _searcher(rules)
-        for part in segments(batch):
+        for part in segments(batch, SEGMENT):
             for (key, _), spans in zip(part, search.search([t or "" for _, t in part])):
                 yield key, [{"kind": rules[k].kind, "start": a, "stop": b, "value_start": c, "value_stop": d} for a, k, b, c, d in spans]
 
@@ -294,7 +280,7 @@ def redact(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RU
             texts: list[str | None] = batch.column(where).to_pylist()
             chars = batch.column(sized).to_pylist() if sized is not None else []
             i = 0
-            for part in segments((t,) for t in texts):
+            for part in segments(((t,) for t in texts), SEGMENT):
                 for j, spans in enumerate(search.search([t or "" for (t,) in part]), i):
                     if spans:
                         texts[j] = redact_text(texts[j], [(c, d, rules[k].kind) for _, k, _, c, d in spans])

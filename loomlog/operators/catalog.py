@@ -36,6 +36,12 @@ def key_exists(df: DataFrame, column: str, keys: Sequence[str]) -> DataFrame:
     return v.agg(*made).select(pairs.alias("p")).select("p.*")
 
 
+def key_counts(df: DataFrame, column: str) -> DataFrame:
+    """``(key, n)``: in how many records of a JSON text column each top-level key is there, explicit nulls included."""
+    keys = F.json_object_keys(F.col(column))
+    return df.select(F.explode(F.array_distinct(keys)).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+
+
 def browse(df: DataFrame, r: Resolver, field: str, templates: bool = False) -> DataFrame:
     """The distinct values of a field, or the distinct templates of its texts."""
     parts = []
@@ -102,8 +108,13 @@ def cells(df: DataFrame, fields: Sequence[Field]) -> DataFrame:
     return df.select(F.explode(F.array(*parts)).alias("c")).select("c.*").where("value is not null")
 
 
+#: Texts longer than this are counted by their SHA-256, so that whole texts are not shuffled.
+LONG = 64
+
+
 def value_counts(df: DataFrame, fields: Sequence[Field]) -> DataFrame:
-    return cells(df, fields).groupBy("name", "type", "value").agg(F.count(F.lit(1)).alias("n"))
+    short = F.when(F.length("value") > LONG, F.sha2(F.col("value").cast("binary"), 256)).otherwise(F.col("value"))
+    return cells(df, fields).withColumn("value", short).groupBy("name", "type", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
 def field_stats(df: DataFrame, fields: Sequence[Field]) -> DataFrame:

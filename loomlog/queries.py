@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .engine import Engine
-from .functions import detect, templates
+from .functions import detect, templates, text
 from .operators import catalog, pruning, relational
 from .operators.flatten import discover, extract, parse_json
 from .sources import ndjson
@@ -167,6 +167,11 @@ def json_catalog(spark, sf_dir):
     return spark.createDataFrame([(x.name, x.type, x.occurrences) for x in found], "name string, type string, occurrences bigint")
 
 
+@register("json_key_counts", "SELECT k AS key, count(*) AS n FROM (SELECT unnest(json_keys(props)) AS k FROM events) GROUP BY 1")
+def json_key_counts(spark, sf_dir):
+    return catalog.key_counts(read(spark, sf_dir, "events"), "props")
+
+
 @register("dict_browse", "SELECT DISTINCT event_type AS value FROM events WHERE event_type IS NOT NULL")
 def dict_browse(spark, sf_dir):
     return events(spark, sf_dir).browse("event_type")
@@ -510,6 +515,17 @@ def template_refill(spark, sf_dir):
     return df.select("doc_id", templates.refill(templates.log_template(F.col("text")), templates.log_variables(F.col("text"))).alias("refilled"))
 
 
+@register("epoch_text", "SELECT event_id, strftime(make_timestamp(user_id * 86400000000), '%Y-%m-%d %H:%M:%S') AS at FROM events")
+def epoch_text(spark, sf_dir):
+    return read(spark, sf_dir, "events").select("event_id", text.epoch_text(F.col("user_id") * 86400).alias("at"))
+
+
+@register("aggregate_text", "SELECT 'SUM(user_id) = ' || printf('%.6f', CAST(sum(user_id) AS DOUBLE)) AS answer FROM events")
+def aggregate_text(spark, sf_dir):
+    out = events(spark, sf_dir).query("SUM(user_id)")
+    return out.select(text.aggregate_text("SUM(user_id)", F.col("sum_user_id")).alias("answer"))
+
+
 # --- rows and blocks ------------------------------------------------------------------------------------------
 
 

@@ -101,7 +101,9 @@ class Engine:
     def _condition(self, where: str | None):
         return None if where is None else self.resolver.condition(parser.parse(where))
 
-    def point(self, field: str, value: str, kind: str | None = None) -> DataFrame:
+    def point(self, field: str, value: str, kind: str | None = None, as_text: bool = False) -> DataFrame:
+        if as_text:
+            return relational.text_point(self.df, self.resolver, field, value)
         return relational.point(self.df, self.resolver, field, value, kind)
 
     def range(self, field: str, low: str, high: str, kind: str | None = None, as_text: bool = False) -> DataFrame:
@@ -124,11 +126,28 @@ class Engine:
     def query(self, text: str) -> DataFrame:
         return relational.run(self.df, self.resolver, text)
 
+    def analyse(self, text: str) -> dict:
+        """What a query reads: its fields with their types, the fields that a match needs, and its number of predicates."""
+        tree = parser.parse(text)
+        names = sorted(parser.fields_of(tree))
+        needed = pruning.required_fields(tree.child if isinstance(tree, parser.GroupBy) else tree)
+        types = {n: sorted({f.type for f in self.resolver.find(n)}) for n in names}
+        return {"tree": tree, "fields": types, "required": sorted(needed or ()), "predicates": parser.count_predicates(tree)}
+
     def pruned(self, text: str, block_catalog: DataFrame) -> Engine:
         """This engine over the blocks that the query can match."""
         blocks = pruning.select_blocks(block_catalog, text, self.block)
         return Engine(pruning.prune(self.df, blocks, self.block), self.fields, self.resolver.null_is_different, self.block)
 
+    # --- caching -------------------------------------------------------------------------------
+
+    def cache(self) -> Engine:
+        """Keeps the flattened records, in memory and on disk, for several queries."""
+        return Engine(self.df.persist(), self.fields, self.resolver.null_is_different, self.block)
+
+    def uncache(self) -> None:
+        self.df.unpersist()
+
     # --- rows ----------------------------------------------------------------------------------
 
     def distinct(self, by_block: bool = False) -> Engine:

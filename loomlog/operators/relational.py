@@ -18,6 +18,11 @@ def point(df: DataFrame, r: Resolver, field: str, value: str, kind: str | None =
     return df.where(r.predicate(P.Predicate(field, "=", (value,), kind)))
 
 
+def text_point(df: DataFrame, r: Resolver, field: str, value: str) -> DataFrame:
+    """Rows whose field, of whatever type, reads as the value."""
+    return df.where(r.value(field).cast("string") == value)
+
+
 def between(df: DataFrame, r: Resolver, field: str, low: str, high: str, kind: str | None = None) -> DataFrame:
     """Rows in the inclusive range: by number for numbers, by time for timestamps, else by text. Reversed bounds give no rows."""
     return df.where(r.predicate(P.Predicate(field, "range", (low, high), kind)))

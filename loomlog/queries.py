@@ -98,6 +98,11 @@ def range_as_text(spark, sf_dir):
     return shown(events(spark, sf_dir).range("user_id", "10", "2", as_text=True))
 
 
+@register("point_as_text", f"SELECT {EVENT} FROM events WHERE CAST(user_id AS VARCHAR) = '8'")
+def point_as_text(spark, sf_dir):
+    return shown(events(spark, sf_dir).point("user_id", "8", as_text=True))
+
+
 @register("null_is_different", "SELECT doc_id, lang FROM documents WHERE lang IS DISTINCT FROM 'en'")
 def null_is_different(spark, sf_dir):
     return Engine(read(spark, sf_dir, "documents").select("doc_id", "lang"), null_is_different=True).query("lang != en")

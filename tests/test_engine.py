@@ -189,3 +189,12 @@ def test_plans_push_down(spark, tmp_path):
 def test_key_exists(spark):
     rows = lines(spark, ['{"k":null}', '{"j":1}'])
     assert {tuple(r) for r in catalog.key_exists(rows, "value", ["k", "j", "z"]).collect()} == {("k", True), ("j", True), ("z", False)}
+
+
+def test_analysis_and_cache(typed):
+    found = typed.analyse("age > 3 AND (user:ann OR user:bob) GROUP BY msg")
+    assert found["fields"] == {"age": ["int"], "msg": ["logtype", "string"], "user": ["string"]}
+    assert found["required"] == ["age", "user"] and found["predicates"] == 3
+    kept = typed.cache()
+    assert kept.point("age", "25", as_text=True).count() == 2
+    assert kept.df.storageLevel.useMemory

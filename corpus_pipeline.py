@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from loomlog.llm import decontaminate, langid, pieces, secrets, simhash
-from loomlog.llm.common import new_folder, stage, table
+from loomlog.llm.common import drop_folder, new_folder, stage, table, working_in
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,10 +46,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents; each is written to the shared folder and read again by the next."""
+    """All stages over the documents; each is written to the shared folder and read again by the next.
+
+    What a stage has used goes once its result is written, so the folder holds two stages at most.
+    """
     folder = new_folder(spark, "pipeline")
-    docs = table(spark, sf_dir, "documents")
-    for name, step in STAGES[:-1]:
-        docs = stage(step(spark, docs, sf_dir), name, folder)
-    name, step = STAGES[-1]
-    return stage(step(spark, docs, sf_dir), name, folder)
+    docs, before = table(spark, sf_dir, "documents"), None
+    for name, step in STAGES:
+        with working_in(spark, f"{folder}/{name}-work"):
+            docs = stage(step(spark, docs, sf_dir), name, folder)
+        if before:
+            drop_folder(spark, f"{folder}/{before}")
+        before = name
+    return docs

@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -38,9 +40,24 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root
 
 
+_WITHIN: ContextVar[str | None] = ContextVar("within", default=None)
+
+
+@contextmanager
+def working_in(spark: SparkSession, folder: str):
+    """Operators keep their tables below ``folder``, which is removed at the end: results must be written by then."""
+    token = _WITHIN.set(folder)
+    try:
+        yield
+    finally:
+        _WITHIN.reset(token)
+        drop_folder(spark, folder)
+
+
 def new_folder(spark: SparkSession, label: str) -> str:
-    """A fresh path in the shared folder, for tables and files of one operator run."""
-    return f"{checkpoint_root(spark).rstrip('/')}/loomlog/{label}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder, for tables and files of one operator run. Whoever needs the room drops it with ``drop_folder``."""
+    base = _WITHIN.get() or f"{checkpoint_root(spark).rstrip('/')}/loomlog"
+    return f"{base}/{label}-{uuid.uuid4().hex}"
 
 
 def drop_folder(spark: SparkSession, path: str) -> None:

@@ -202,8 +202,11 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """The documents with one of each group left: that with the component's smallest id.
 
-    Rows whose id is null cannot be told apart, and stay. Repeated ids (repeated rows) leave one row each.
+    An id names a document, so of several rows with one id one stays. Rows with a null id cannot be told apart, and all stay.
     """
-    found = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(found, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    first = near_duplicates(docs).where("doc_id = component_id").groupBy("doc_id").count()
+    first = stage(first, "first")
+    named = docs.where("doc_id is not null").join(first.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    if not first.where("count > 1").isEmpty():
+        named = named.dropDuplicates(["doc_id"])
     return named.unionByName(docs.where("doc_id is null"))

@@ -99,12 +99,18 @@ def map_rows(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = setup() if setup else fn
         for batch in batches:
-            rows = zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns))) if batch.num_rows else []
-            yield from pack(work(rows), names, arrow)
+            yield from pack(work(python_rows(batch)), names, arrow)
 
     return df.select(*columns).mapInArrow(run, schema)
 
 
+def python_rows(batch: pa.RecordBatch, step: int = 512) -> Iterator[tuple]:
+    """The rows of a batch as tuples, made a few at a time."""
+    for start in range(0, batch.num_rows, step):
+        part = batch.slice(start, step)
+        yield from zip(*(part.column(i).to_pylist() for i in range(part.num_columns)))
+
+
 def pack(rows: Iterable[tuple], names: list[str], arrow: pa.Schema, size: int = 4096, budget: int = 32 << 20) -> Iterator[pa.RecordBatch]:
     """Record batches of at most ``size`` rows and about ``budget`` bytes of text."""
     held: list[tuple] = []

@@ -142,26 +142,34 @@ def report(docs: DataFrame, benchmark: DataFrame, n: int = N, share: int = SHARE
     )
 
 
+#: The working column of the two functions below.
+TEXT_KEY = "_loomlog_text_md5"
+
+
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = N, share: int = SHARE) -> DataFrame:
     """``docs`` without the contaminated rows. Contamination follows from the text alone, so texts are the key."""
-    bad = stage(report(docs, benchmark, n, share).where("contaminated").select("text_md5").distinct(), "contaminated")
-    keyed = docs.withColumn("text_md5", F.md5(F.col("text").cast("binary")))
-    return keyed.join(bad, "text_md5", "left_anti").select(*docs.columns)
+    bad = report(docs, benchmark, n, share).where("contaminated").select(F.col("text_md5").alias(TEXT_KEY)).distinct()
+    keyed = docs.withColumn(TEXT_KEY, F.md5(F.col("text").cast("binary")))
+    return keyed.join(stage(bad, "contaminated"), TEXT_KEY, "left_anti").select(*docs.columns)
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
     """``docs`` with every hit word taken out of its text; all else, separators included, stays."""
     touched = stage(
-        hits(docs, benchmark, n).where(F.size("spans") > 0).select("text_md5", "spans").dropDuplicates(["text_md5"]), "spans"
+        hits(docs, benchmark, n)
+        .where(F.size("spans") > 0)
+        .select(F.col("text_md5").alias(TEXT_KEY), F.col("spans").alias("_spans"))
+        .dropDuplicates([TEXT_KEY]),
+        "spans",
     )
-    keyed = docs.withColumn("text_md5", F.md5(F.col("text").cast("binary"))).join(touched, "text_md5", "left")
+    keyed = docs.withColumn(TEXT_KEY, F.md5(F.col("text").cast("binary"))).join(touched, TEXT_KEY, "left")
     raw = F.regexp_extract_all("text", F.lit(f"({RAW_WORD})"), F.lit(1))
     gaps = F.split("text", RAW_WORD, -1)
-    keyed = keyed.withColumn("_w", F.when(F.col("spans").isNotNull(), raw)).withColumn("_g", F.when(F.col("spans").isNotNull(), gaps))
+    keyed = keyed.withColumn("_w", F.when(F.col("_spans").isNotNull(), raw)).withColumn("_g", F.when(F.col("_spans").isNotNull(), gaps))
     rebuilt = F.expr(
-        "concat(array_join(transform(_w, (x, i) -> concat(_g[i], if(exists(spans, s -> i >= s.start and i < s.stop), '', x))), ''), _g[size(_w)])"
+        "concat(array_join(transform(_w, (x, i) -> concat(_g[i], if(exists(_spans, s -> i >= s.start and i < s.stop), '', x))), ''), _g[size(_w)])"
     )
-    return keyed.withColumn("text", F.when(F.col("spans").isNotNull(), rebuilt).otherwise(F.col("text"))).select(*docs.columns)
+    return keyed.withColumn("text", F.when(F.col("_spans").isNotNull(), rebuilt).otherwise(F.col("text"))).select(*docs.columns)
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,7 +38,7 @@ ROWS = 48
 CHARS = 24_000
 WINDOW = 512
 ALPHABET = 250
-LANES = 8192
+LANES = 4096
 
 SPACE, OTHER, PAD = 0, 1, 2  # codes before the alphabet's
 
@@ -261,8 +261,8 @@ def predict(docs: DataFrame, samples: dict[str, str], text_col: str = "text") ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(shared.value)
         for batch in batches:
-            for start in range(0, batch.num_rows, 2048):
-                part = batch.slice(start, 2048)
+            for start in range(0, batch.num_rows, 1024):
+                part = batch.slice(start, 1024)
                 langs, scores = model.predict(part.column(where).to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*part.schema.names, "lang_pred", "score"]

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD_TABLE, map_rows, table
+from .common import WORD_TABLE, map_rows, python_rows, table
 
 
 class Template(NamedTuple):
@@ -169,7 +169,7 @@ def document_frequency(docs: DataFrame, text_col: str = "text", templates: tuple
         vocabulary = Index(templates).vocabulary
         count: Counter[bytes] = Counter()
         for batch in batches:
-            for text in batch.column(0).to_pylist():
+            for (text,) in python_rows(batch):
                 count[b""] += 1
                 count.update(vocabulary.intersection(words_of(text)))
         yield pa.RecordBatch.from_arrays([pa.array([w.decode() for w in count], pa.string()), pa.array(list(count.values()), pa.int64())], names=["word", "n"])

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_rows, new_folder, segments, stage, table
+from .common import map_rows, new_folder, python_rows, segments, stage, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -41,7 +41,7 @@ BLOCK = 256
 SEGMENT = 1 << 20
 #: Runs of up to so many characters are remembered, and about so many of them in each worker.
 REMEMBERED = 40
-MEMORY = 400_000
+MEMORY = 250_000
 UNK_PENALTY = 10
 NEG = -(1 << 62)
 
@@ -511,9 +511,8 @@ def encode(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", text_col
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = loaded()
         for batch in batches:
-            keys, texts = batch.column(0), batch.column(1)
-            at = 0
-            for part in segments(((t,) for t in texts.to_pylist()), SEGMENT):
+            keys, at = batch.column(0), 0
+            for part in segments(python_rows(batch.select([1])), SEGMENT):
                 part = [t for (t,) in part]
                 scores, ids, bounds = v.encode_all([t or "" for t in part])
                 missing = np.array([t is None for t in part])
@@ -529,6 +528,7 @@ def encode(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", text_col
                     names=[id_col, "n_chunks", "score", "ids", "round_trip"],
                 )
                 at += len(part)
+        v.forget()  # the worker lives on
 
     small = docs.where(F.col(text_col).isNull() | (F.length(text_col) < chunk))
     short = small.select(F.col(id_col).cast("bigint").alias(id_col), text_col).mapInArrow(whole, out)

@@ -21,9 +21,9 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_rows, segments, table
+from .common import map_rows, python_rows, segments, table
 
-SEGMENT = 4 << 20
+SEGMENT = 1 << 20
 
 
 class Rule(NamedTuple):
@@ -276,21 +276,22 @@ def redact(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RU
 
     def run(batches):
         search = _searcher(rules)
-        for batch in batches:
-            texts: list[str | None] = batch.column(where).to_pylist()
-            chars = batch.column(sized).to_pylist() if sized is not None else []
-            i = 0
-            for part in segments(((t,) for t in texts), SEGMENT):
-                for j, spans in enumerate(search.search([t or "" for (t,) in part]), i):
+        for whole in batches:
+            at = 0
+            for part in segments(python_rows(whole.select([where])), SEGMENT):
+                batch = whole.slice(at, len(part))
+                at += len(part)
+                texts = [t for (t,) in part]
+                chars = batch.column(sized).to_pylist() if sized is not None else []
+                for j, spans in enumerate(search.search([t or "" for t in texts])):
                     if spans:
                         texts[j] = redact_text(texts[j], [(c, d, rules[k].kind) for _, k, _, c, d in spans])
                         if sized is not None:
                             chars[j] = len(texts[j])
-                i += len(part)
-            columns = list(batch.columns)
-            columns[where] = pa.array(texts, batch.schema.field(where).type)
-            if sized is not None:
-                columns[sized] = pa.array(chars, batch.schema.field(sized).type)
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+                columns = list(batch.columns)
+                columns[where] = pa.array(texts, batch.schema.field(where).type)
+                if sized is not None:
+                    columns[sized] = pa.array(chars, batch.schema.field(sized).type)
+                yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
     return docs.mapInArrow(run, docs.schema)

@@ -15,7 +15,8 @@ result; columns besides id and text are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,32 +33,46 @@ SHINGLE = 3
 DISTANCE = 3
 SMALL_GROUP = 48
 SPLIT = 20_000
-
-
-def text_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
-    """XXH64 of every shingle of ``shingle`` words, repeats included."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z only, ASCII space only
-    if not words:
-        return np.empty(0, dtype=np.uint64)
-    digest = xxhash.xxh64_intdigest
-    if len(words) <= shingle:
-        return np.array([digest(b" ".join(words), SEED)], dtype=np.uint64)
-    joined = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1)
-    starts = (ends - np.fromiter(map(len, words), dtype=np.int64, count=len(words)) - 1).tolist()
-    stops = (ends - 1).tolist()[shingle - 1 :]
+SPACE = re.compile(rb"[\x20\x09-\x0d]")
+
+
+def text_hashes(text: str | None, shingle: int = SHINGLE, size: int = 4 << 20) -> Iterator[np.ndarray]:
+    """XXH64 of every shingle of ``shingle`` words, repeats included, in blocks of about ``size`` bytes of text."""
+    data = (text or "").encode("utf-8", "surrogatepass").lower()  # bytes: A-Z only, and ASCII space only
+    held: list[bytes] = []  # words that the next block's first shingles begin with
+    total = start = 0
+    while start < len(data):
+        gap = SPACE.search(data, start + size)
+        stop = gap.start() if gap else len(data)
+        fresh = data[start:stop].split()
+        words, start = held + fresh, stop
+        total += len(fresh)
+        if len(words) >= shingle:
+            yield _hashes(words, shingle)
+            held = words[len(words) - shingle + 1 :]
+        else:
+            held = words
+    if 0 < total < shingle:
+        yield np.array([xxhash.xxh64_intdigest(b" ".join(held), SEED)], dtype=np.uint64)
+
+
+def _hashes(words: list[bytes], shingle: int) -> np.ndarray:
+    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
+    sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+    ends = np.cumsum(sizes + 1) - 1
+    starts, stops = (ends - sizes).tolist(), ends.tolist()[shingle - 1 :]
     return np.fromiter((digest(joined[i:j], SEED) for i, j in zip(starts, stops)), dtype=np.uint64, count=len(stops))
 
 
-def fold(hashes: np.ndarray, block: int = 1 << 18) -> int:
+def fold(blocks: Iterable[np.ndarray], size: int = 1 << 18) -> int:
     """The fingerprint: bit k is 1 if it is set in over half of the hashes."""
-    if not len(hashes):
-        return 0
-    counts = np.zeros(64, dtype=np.int64)
-    for i in range(0, len(hashes), block):
-        part = hashes[i : i + block].astype(">u8").view(np.uint8).reshape(-1, 8)
-        counts += np.unpackbits(part, axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(counts * 2 > len(hashes)).tobytes(), "big")
+    counts, total = np.zeros(64, dtype=np.int64), 0
+    for hashes in blocks:
+        total += len(hashes)
+        for i in range(0, len(hashes), size):
+            part = hashes[i : i + size].astype(">u8").view(np.uint8).reshape(-1, 8)
+            counts += np.unpackbits(part, axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(counts * 2 > total).tobytes(), "big") if total else 0
 
 
 def signed(value: int) -> int:
@@ -206,7 +221,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """
     first = near_duplicates(docs).where("doc_id = component_id").groupBy("doc_id").count()
     first = stage(first, "first")
-    named = docs.where("doc_id is not null").join(first.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    # The ids that stay are nearly all ids: they are never broadcast, at no size.
+    named = docs.where("doc_id is not null").join(first.select("doc_id").hint("merge"), "doc_id", "left_semi").select(*docs.columns)
     if not first.where("count > 1").isEmpty():
         named = named.dropDuplicates(["doc_id"])
     return named.unionByName(docs.where("doc_id is null"))

@@ -217,14 +217,14 @@ def replace_personal_data(docs: DataFrame, text_col: str = "text", key: str = KE
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sub", "piece"))), lambda x: x["piece"]), " ").alias("piece"), *of_kind
     )
     pieces = entity.groupBy("tid").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "piece"))), lambda x: x["piece"]).alias("_pieces"),
+        F.transform(F.array_sort(F.collect_list(F.struct("pos", "piece"))), lambda x: x["piece"]).alias("_loomlog_pieces"),
         *[F.sum(c).alias(c) for c in counts],
     )
     pieces = stage(pieces, "pieces", folder)
 
-    touched = frame.where(has).withColumn("_tid", hashed).join(pieces.withColumnRenamed("tid", "_tid"), "_tid")
-    touched = touched.withColumn("_gaps", F.split(text, ANY, -1))
-    rebuilt = F.expr("concat(array_join(transform(_pieces, (p, i) -> concat(_gaps[i], p)), ''), _gaps[size(_pieces)])")
+    touched = frame.where(has).withColumn("_loomlog_tid", hashed).join(pieces.withColumnRenamed("tid", "_loomlog_tid"), "_loomlog_tid")
+    touched = touched.withColumn("_loomlog_gaps", F.split(text, ANY, -1))
+    rebuilt = F.expr("concat(array_join(transform(_loomlog_pieces, (p, i) -> concat(_loomlog_gaps[i], p)), ''), _loomlog_gaps[size(_loomlog_pieces)])")
     columns = [rebuilt.alias(c) if c == text_col else F.col(f"`{c}`") for c in kept]
     touched = touched.select(*columns, *[F.col(c).cast("long").alias(c) for c in counts])
     clean = frame.where(~has).select("*", *[F.lit(0).cast("long").alias(c) for c in counts])

@@ -107,3 +107,11 @@ def test_keep_one(spark):
     kept = simhash.keep_one(docs)
     assert kept.columns == ["doc_id", "text", "fp"]
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["2", "9", "None"]
+
+
+@pytest.mark.parametrize("size", [1, 5, 40, 1 << 20])
+def test_blocks_of_a_text_give_the_same_hashes(size):
+    for text in ("", " ", "one", "one two", " one  two three ", "a b c d e f g " * 9, "long" * 30 + " x\ty\nz"):
+        whole = [h for part in simhash.text_hashes(text) for h in part.tolist()]
+        assert [h for part in simhash.text_hashes(text, size=size) for h in part.tolist()] == whole
+        assert len(whole) == max(min(1, len(text.split())), len(text.split()) - 2)

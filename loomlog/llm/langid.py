@@ -5,8 +5,8 @@ matches. A text is parsed greedily into the longest phrases that occur in the sa
 mean that the sample predicts the text. The cost of a language is phrases times log2 of the sample's
 length, an estimate of the text's code length given the sample, and the cheapest language wins.
 
-The automata become flat transition tables, and all windows of a batch walk them in step, one
-character at a time. A text is cut into windows of ``window`` characters, every one of which is
+Letters are lower-cased and spelled in UTF-8, so any script fits; each run of anything else is one space. The
+automata become flat transition tables, and all windows of a batch walk them in step, byte by byte. A text is cut into windows of ``window`` bytes, every one of which is
 parsed, so one long text costs no more than many short ones.
 
 Bounds of the model, all parameters: ``languages`` (most frequent first), ``rows`` labelled rows a language,
@@ -21,7 +21,6 @@ extra columns are kept by ``predict`` under their own names.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,10 +36,9 @@ LANGUAGES = 256
 ROWS = 48
 CHARS = 24_000
 WINDOW = 512
-ALPHABET = 250
 LANES = 4096
 
-SPACE, OTHER, PAD = 0, 1, 2  # codes before the alphabet's
+SPACE, OTHER, PAD = 0, 1, 2  # codes before those of the bytes in use
 
 
 class Automaton:
@@ -122,26 +120,27 @@ def letters_of(text: str) -> np.ndarray:
     return low[(low != 0) | np.r_[True, low[:-1] != 0]]
 
 
+def spelled(letters: np.ndarray) -> np.ndarray:
+    """The letters' UTF-8 bytes: at most 256 symbols for any script."""
+    return np.frombuffer(letters.astype("<u4").tobytes().decode("utf-32-le").encode(), dtype=np.uint8)
+
+
 class Model:
-    """Transition tables of all languages over one alphabet."""
+    """Transition tables of all languages over the bytes of their letters."""
 
     def __init__(self, samples: dict[str, str]):
-        parts = {lang: letters_of(text) for lang, text in samples.items()}
-        seen: Counter[int] = Counter()
-        for part in parts.values():
-            seen.update(part[part != 0].tolist())
-        order = sorted(seen, key=lambda c: (-seen[c], c))[: ALPHABET - 3]
-        self.code = np.full(0x110000, OTHER, dtype=np.uint8)
+        parts = {lang: spelled(letters_of(text)) for lang, text in samples.items()}
+        self.langs = sorted(lang for lang, part in parts.items() if part.any())
+        seen = np.unique(np.concatenate([np.zeros(1, dtype=np.uint8), *parts.values()]))[1:]
+        self.code = np.full(256, OTHER, dtype=np.uint8)
         self.code[0] = SPACE
-        self.code[np.array(order, dtype=np.int64)] = np.arange(3, 3 + len(order), dtype=np.uint8)
-        self.width = 3 + len(order)
-        self.langs = sorted(lang for lang, part in parts.items() if (part != 0).any())
+        self.code[seen] = np.arange(3, 3 + len(seen), dtype=np.uint8)
+        self.width = 3 + len(seen)
         self.tables, self.weights = [], []
         for lang in self.langs:
-            codes = self.code[parts[lang]]
-            known = [c for c in codes.tolist() if c != OTHER]
-            self.tables.append(Automaton(known).table(self.width))
-            self.weights.append(math.log2(len(known) + 2))
+            codes = self.code[parts[lang]].tolist()
+            self.tables.append(Automaton(codes).table(self.width))
+            self.weights.append(math.log2(len(codes) + 1))
 
     def phrases(self, windows: np.ndarray) -> np.ndarray:
         """Phrases of each column of ``windows`` (characters by lanes), per language."""
@@ -178,7 +177,7 @@ class Model:
             lettered[i] = bool((low != 0).any())
             if not lettered[i]:
                 continue
-            codes = self.code[low]
+            codes = self.code[spelled(low)]
             for start in range(0, len(codes), window * LANES):
                 part = codes[start : start + window * LANES]
                 rows = -(-len(part) // window)

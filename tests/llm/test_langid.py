@@ -27,14 +27,14 @@ def test_automaton_parses_like_brute_force():
         model = langid.Model({"x": sample})
         clean = "".join(chr(c) if c else " " for c in langid.letters_of(text))
         known = "".join(chr(c) if c else " " for c in langid.letters_of(sample))
-        codes = model.code[langid.letters_of(text)].astype(np.int32)
+        codes = model.code[langid.spelled(langid.letters_of(text))].astype(np.int32)
         lane = np.r_[codes, np.full(5, langid.PAD)].astype(np.int32)[:, None]
         assert model.phrases(lane)[0, 0] == parse(clean, known)
 
 
 def rows():
     rng = random.Random(1)
-    words = {"en": ["the", "thing", "when", "this", "other"], "de": ["der", "und", "nicht", "schön", "über"], "xx": ["ζωή", "και", "λόγος"]}
+    words = {"zh": ["天地玄黄", "宇宙洪荒", "日月盈昃"], "ja": ["いろはに", "ほへとち", "りぬるを"], "en": ["the", "thing", "when", "this", "other"], "de": ["der", "und", "nicht", "schön", "über"], "xx": ["ζωή", "και", "λόγος"]}
     out = []
     for i in range(400):
         lang = rng.choice(list(words))
@@ -48,7 +48,7 @@ def test_predictions(spark):
     extra += [(903, "nicht der " * 60000, None, ""), (904, "漢字", None, "")]
     docs = spark.createDataFrame(data + extra, SCHEMA)
     samples = langid.fit(docs)
-    assert sorted(samples) == ["de", "en", "xx"] and all(len(s) <= langid.CHARS for s in samples.values())
+    assert sorted(samples) == ["de", "en", "ja", "xx", "zh"] and all(len(s) <= langid.CHARS for s in samples.values())
     out = langid.predict(docs, samples).collect()
     assert len(out) == len(data) + len(extra)
     got = {r.doc_id: r.lang_pred for r in out}

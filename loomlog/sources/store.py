@@ -8,32 +8,57 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, LongType, StructType
 
 from ..operators.pruning import block_catalog
 from ..plans.resolver import Field
 
 
+_FIELDS = "position int, name string, type string, column string, native boolean, ddl string"
+
+
 def save(df: DataFrame, fields: Sequence[Field], root: str, block: str = "block_id", codec: str = "zstd", mode: str = "errorifexists") -> None:
-    """Write a store; ``mode="append"`` adds blocks. ``codec``: zstd, snappy, lz4, gzip, brotli or none."""
-    spark = df.sparkSession
+    """Write a store; ``mode="append"`` adds blocks, with fields of their own. ``codec``: zstd, snappy, lz4, gzip, brotli or none."""
     df.repartition(block).write.mode(mode).option("compression", codec).partitionBy(block).parquet(f"{root}/data")
-    stored = spark.read.parquet(f"{root}/data")
-    kept = [f for f in fields if f.column in stored.columns and f.column != block]
-    block_catalog(stored, kept, block).write.mode("overwrite").parquet(f"{root}/catalog")
-    rows = [(i, f.name, f.type, f.column, f.native) for i, f in enumerate(fields)]
-    spark.createDataFrame(rows, "position int, name string, type string, column string, native boolean").coalesce(1).write.mode("overwrite").parquet(f"{root}/fields")
+    index(df.sparkSession, root, fields, df.schema, block, add=mode == "append")
+
+
+def index(spark: SparkSession, root: str, fields: Sequence[Field], schema: StructType, block: str = "block_id", add: bool = False) -> None:
+    """Write the field list and the catalog of the blocks that are there; ``add`` keeps the fields listed before."""
+    rows = [(f.name, f.type, f.column, f.native, schema[f.column].dataType.simpleString()) for f in fields if f.column in schema.names and f.column != block]
+    if add:
+        old = [tuple(r)[1:] for r in _listed(spark, root)]
+        rows = old + [r for r in rows if r[:3] not in {o[:3] for o in old}]
+    frame = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], _FIELDS)
+    frame.coalesce(1).write.mode("overwrite").parquet(f"{root}/fields")
+    kept = load_fields(spark, root)
+    block_catalog(load(spark, root, block=block), kept, block).write.mode("overwrite").parquet(f"{root}/catalog")
+
+
+def _listed(spark: SparkSession, root: str) -> list:
+    try:
+        return spark.read.schema(_FIELDS).parquet(f"{root}/fields").orderBy("position").collect()
+    except AnalysisException:  # a store without a list yet
+        return []
 
 
 def load_fields(spark: SparkSession, root: str) -> list[Field]:
-    rows = spark.read.parquet(f"{root}/fields").orderBy("position").collect()
-    return [Field(r["name"], r["type"], r["column"], r["native"]) for r in rows]
+    return [Field(r["name"], r["type"], r["column"], r["native"]) for r in _listed(spark, root)]
 
 
 def load(spark: SparkSession, root: str, blocks: Sequence[int] | None = None, columns: Sequence[str] | None = None, block: str = "block_id") -> DataFrame:
-    """All of a store, or chosen blocks and columns of it."""
-    df = spark.read.parquet(f"{root}/data")
+    """All of a store, or chosen blocks and columns of it.
+
+    The schema is that of the field list, so blocks may differ in their fields and no footer is read to find out.
+    """
+    schema = StructType()
+    for r in _listed(spark, root):
+        if r["column"] not in schema.names:
+            schema = schema.add(r["column"], DataType.fromDDL(r["ddl"]))
+    df = spark.read.schema(schema.add(block, LongType())).parquet(f"{root}/data")
     if blocks is not None:
         df = df.where(F.col(block).isin(*blocks))
     return df if columns is None else df.select(*[F.col(f"`{c}`") for c in columns])

@@ -14,6 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.flatten import Leaf, discover, flatten, parse_json
 from ..plans.resolver import Field
+from ..sources import store
 
 
 def learn(lines: DataFrame, column: str = "value", timestamp_fields: Sequence[str] = ()) -> list[Leaf]:
@@ -27,7 +28,10 @@ def flattened(lines: DataFrame, leaves: list[Leaf], column: str = "value", times
 
 
 def ingest(spark: SparkSession, source: str, root: str, leaves: list[Leaf], checkpoint: str, timestamp_fields: Sequence[str] = (), codec: str = "zstd") -> StreamingQuery:
-    """Starts a query that takes all that is there and stops; call it again for what comes later."""
+    """Starts a query that takes all that is there and stops; call it again for what comes later.
+
+    ``refresh`` makes the blocks so far a store that an engine can open.
+    """
     lines = spark.readStream.text(source).where("trim(value) <> ''")
 
     def block(batch: DataFrame, batch_id: int) -> None:
@@ -37,6 +41,13 @@ def ingest(spark: SparkSession, source: str, root: str, leaves: list[Leaf], chec
     return lines.writeStream.foreachBatch(block).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def refresh(spark: SparkSession, root: str, leaves: list[Leaf], timestamp_fields: Sequence[str] = ()) -> None:
+    """Write the field list and the block catalog of what has been ingested."""
+    empty = spark.createDataFrame([], "value string")
+    df, fields = flattened(empty, leaves, timestamp_fields=timestamp_fields)
+    store.index(spark, root, fields, df.schema)
+
+
 def windowed_counts(events: DataFrame, time: str, key: str, width: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
     """Counts per window and key of a stream (or a table); rows later than ``late`` are left out of a stream."""
     return (

@@ -70,6 +70,21 @@ def test_stream_of_batches(spark, tmp_path):
         write(source / "2.json", [{"id": i, "user": "b", "new": 1} for i in range(3)])
     df = spark.read.parquet(f"{root}/data")
     assert {r[0] for r in df.select("block_id").distinct().collect()} == {0, 1} and set(df.columns) == {"id", "user", "block_id"}
+    ingest.refresh(spark, root, leaves)
+    assert Engine.from_store(spark, root).query("user:b AND COUNT(*)").first()[0] == 3
+    assert pruning.with_range(store.catalog(spark, root), "id", 4, 9).count() == 1
+
+
+def test_blocks_with_fields_of_their_own(spark, tmp_path):
+    root = f"file://{tmp_path}/store"
+    for n, rows in enumerate(([{"a": 1, "x": 5}], [{"a": 2, "y": "new"}])):
+        write(tmp_path / f"{n}.json", rows)
+        lines = ndjson.read_lines(spark, str(tmp_path / f"{n}.json")).selectExpr("value", f"{n}L as block_id")
+        Engine.from_json(lines, keep=["block_id"]).save(root, mode="append")
+    e = Engine.from_store(spark, root)
+    assert {(f.name, f.type) for f in e.fields} == {("a", "int"), ("x", "int"), ("y", "string")}
+    assert [r.a for r in e.query("y:new").collect()] == [2] and e.query("x:5 OR a:2").count() == 2
+    assert [r.block_id for r in pruning.with_fields(store.catalog(spark, root), ["y"]).collect()] == [1]
 
 
 def test_windowed_counts(spark, tmp_path):

@@ -119,7 +119,7 @@ def value_counts(df: DataFrame, fields: Sequence[Field]) -> DataFrame:
 
 def field_stats(df: DataFrame, fields: Sequence[Field]) -> DataFrame:
     """Occurrences, distinct values, frequency (share of records), uniqueness (distinct/occurrences) and Shannon entropy with its redundancy."""
-    total = df.agg(F.count(F.lit(1)).alias("records"))
+    records = df.agg(F.count(F.lit(1))).scalar()
     n = F.col("n").cast("double")
     sums = (
         value_counts(df, fields)
@@ -128,12 +128,12 @@ def field_stats(df: DataFrame, fields: Sequence[Field]) -> DataFrame:
     )
     entropy = F.log2("occurrences") - F.col("nlogn") / F.col("occurrences")
     most = F.log2(F.col("distinct_values"))
-    return sums.join(F.broadcast(total)).select(
+    return sums.select(
         "name",
         "type",
         "occurrences",
         "distinct_values",
-        (F.col("occurrences") / F.col("records")).alias("frequency"),
+        (F.col("occurrences") / records).alias("frequency"),
         (F.col("distinct_values") / F.col("occurrences")).alias("uniqueness"),
         F.greatest(entropy, F.lit(0.0)).alias("entropy"),
         F.when(F.col("distinct_values") > 1, (1 - F.greatest(entropy, F.lit(0.0)) / most) * F.col("occurrences")).otherwise(F.col("occurrences").cast("double")).alias("redundancy"),
@@ -183,9 +183,9 @@ def top_fields(stats: DataFrame, n: int = 20) -> DataFrame:
 
 def overall_indexes(df: DataFrame, stats: DataFrame) -> DataFrame:
     """fi: filled share of the table of records and fields; ui: sum of uniqueness."""
-    total = df.agg(F.count(F.lit(1)).alias("records"))
+    records = df.agg(F.count(F.lit(1))).scalar()
     sums = stats.agg(F.sum("occurrences").alias("occ"), F.count(F.lit(1)).alias("fields"), F.sum("uniqueness").alias("ui"))
-    return sums.join(F.broadcast(total)).select((F.col("occ") / (F.col("records") * F.col("fields"))).alias("fi"), "ui")
+    return sums.select((F.col("occ") / (records * F.col("fields"))).alias("fi"), "ui")
 
 
 def missing_ratio(df: DataFrame, fields: Sequence[Field], block: str | None = None, limit: float = 0.05) -> DataFrame:

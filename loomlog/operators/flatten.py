@@ -106,20 +106,21 @@ def _path(path: tuple[str, ...]) -> str:
 
 
 def column_of(source: str, leaf: Leaf, timestamp_fields: Iterable[str] = (), only: bool = False) -> Column:
-    """The typed column of a leaf; null where the row has another type. ``only``: the name has no other type."""
+    """The typed column of a leaf; null where the row has another type. ``only``: no row has another type, so none is looked at."""
     where = _path(leaf.path).replace("'", "\\'")
     item = f"try_variant_get({source}, '{where}', 'variant')"
-    kind = F.expr(_class(item))
     if leaf.type == "null":
         return F.lit(None).cast("string")
     if leaf.type == "array":
-        return F.when(kind == "array", F.to_json(F.expr(item)))
-    if leaf.type in _SPARK:
-        value = F.expr(f"try_variant_get({source}, '{where}', '{_SPARK[leaf.type]}')")
-        return value if only else F.when(kind == leaf.type, value)
-    text = F.expr(f"try_variant_get({source}, '{where}', 'string')")
-    detected = string_type(text, leaf.name, timestamp_fields)
-    return F.when((kind == "string") & (detected == leaf.type), text)
+        value = F.to_json(F.expr(item))
+    else:
+        value = F.expr(f"try_variant_get({source}, '{where}', '{_SPARK.get(leaf.type, 'string')}')")
+    if only:
+        return value
+    kind = F.expr(_class(item))
+    if leaf.type in ("array", *_SPARK):
+        return F.when(kind == leaf.type, value)
+    return F.when((kind == "string") & (string_type(value, leaf.name, timestamp_fields) == leaf.type), value)
 
 
 def flatten(
@@ -128,10 +129,11 @@ def flatten(
 ) -> tuple[DataFrame, list[Field], list[Leaf]]:
     """The wide typed frame of a JSON text column, its fields, and the leaves found.
 
-    ``keep`` are columns that stay in front. A name with several types has a column ``name__type`` for each. ``prefix`` goes before every name, as ``props.``.
+    ``leaves`` given from elsewhere are not trusted: each value's type is looked at. ``keep`` are columns that stay in front. A name with several types has a column ``name__type`` for each. ``prefix`` goes before every name, as ``props.``.
     """
     parsed = frame.withColumn("_v", parse_json(F.col(column)))
-    leaves = discover(parsed, "_v", timestamp_fields, structured) if leaves is None else leaves
+    found_here = leaves is None
+    leaves = discover(parsed, "_v", timestamp_fields, structured) if found_here else leaves
     names = [leaf.name for leaf in leaves if leaf.type != "null"]
     columns, fields = [], []
     for leaf in leaves:
@@ -140,7 +142,7 @@ def flatten(
         shown = prefix + leaf.name.lstrip("~") if prefix else leaf.name
         single = names.count(leaf.name) <= 1
         physical = shown if single else f"{shown}__{leaf.type}"
-        columns.append(column_of("_v", leaf, timestamp_fields, only=single and leaf.type != "int").alias(physical))
+        columns.append(column_of("_v", leaf, timestamp_fields, only=single and found_here).alias(physical))
         fields.append(Field(shown, leaf.type, physical))
     return parsed.select(*[F.col(f"`{c}`") for c in keep], *columns), fields, leaves
 

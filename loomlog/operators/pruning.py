@@ -83,6 +83,6 @@ def prune(df: DataFrame, blocks: DataFrame | None, block: str = "block_id") -> D
 def strategy(catalog: DataFrame, blocks: DataFrame, block: str = "block_id") -> DataFrame:
     """One row: blocks in all, blocks chosen, their ratio, and whether a full scan is as good."""
     total = catalog.agg(F.count_distinct(block).alias("blocks"))
-    chosen = blocks.agg(F.count_distinct(block).alias("chosen"))
+    both = total.withColumn("chosen", blocks.agg(F.count_distinct(block)).scalar())
     ratio = F.col("chosen") / F.col("blocks")
-    return total.join(F.broadcast(chosen)).select("blocks", "chosen", ratio.alias("ratio"), (ratio > FULL_SCAN).alias("full_scan"))
+    return both.select("blocks", "chosen", ratio.alias("ratio"), (ratio > FULL_SCAN).alias("full_scan"))

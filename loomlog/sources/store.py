@@ -73,8 +73,8 @@ def compression_stats(spark: SparkSession, root: str, columns: Sequence[str], bl
     from ..operators.catalog import block_stats
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(f"{root}/data")
-    stored = files.agg(F.sum("length").alias("stored_bytes"))
+    stored = files.agg(F.sum("length")).scalar()
     data = block_stats(load(spark, root), block, columns).agg(
         F.sum("records").alias("records"), F.count(F.lit(1)).alias("blocks"), F.sum("json_bytes").alias("json_bytes")
     )
-    return data.join(F.broadcast(stored)).withColumn("ratio", F.col("json_bytes") / F.col("stored_bytes"))
+    return data.withColumn("stored_bytes", stored).withColumn("ratio", F.col("json_bytes") / F.col("stored_bytes"))

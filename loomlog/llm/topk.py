@@ -180,10 +180,11 @@ def top_k(
     folder = new_folder(spark, "topk")
     out = f"query_id bigint, {id_col} bigint, score bigint"
     pick = lambda df: df.select(F.col(id_col).cast("bigint"), F.col(vector_col).cast("array<double>"))
-    wanted = stage(pick(queries).where(f"`{id_col}` is not null and `{vector_col}` is not null"), "queries", folder)
-    # Ranges of ids, so that every row is in one block; the rows of one id stay together.
-    passes = max(1, -(-wanted.count() // query_block))
-    edges = wanted.approxQuantile(id_col, [i / passes for i in range(1, passes)], 0.0) if passes > 1 else []
+    wanted = stage(pick(queries).where(f"`{id_col}` is not null and `{vector_col}` is not null").distinct(), "queries", folder)
+    # Ranges of ids, so that every row is in one block; the different vectors of one id stay together. The quantiles may
+    # be off by a quarter of a range at either end, and ranges are two thirds of a block.
+    passes = max(1, -(-3 * wanted.count() // (2 * query_block)))
+    edges = wanted.approxQuantile(id_col, [i / passes for i in range(1, passes)], 0.25 / passes) if passes > 1 else []
     edges = sorted(set(edges))
     source = pick(vectors)
     parts = None

@@ -13,6 +13,10 @@ TIMESTAMP_VARIABLE = r"\d{4}|\d{2}"
 LOG_VARIABLE = r"\b\d+\b|\b\d{1,3}(?:\.\d{1,3}){3}\b|[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z0-9-.]+"
 
 
+#: The same for Java: no ``@`` is in the run before it, so nothing is to be tried again once the run has ended.
+_LOG = LOG_VARIABLE.replace("]+@", "]++@")
+
+
 def _variables(value: Column, pattern: str) -> Column:
     return F.regexp_extract_all(value, F.lit(f"({pattern})"), F.lit(1))
 
@@ -26,11 +30,11 @@ def timestamp_variables(value: Column) -> Column:
 
 
 def log_template(value: Column) -> Column:
-    return F.regexp_replace(value, LOG_VARIABLE, "*")
+    return F.regexp_replace(value, _LOG, "*")
 
 
 def log_variables(value: Column) -> Column:
-    return _variables(value, LOG_VARIABLE)
+    return _variables(value, _LOG)
 
 
 def refill(template: Column, variables: Column) -> Column:

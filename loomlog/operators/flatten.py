@@ -32,24 +32,29 @@ def parse_json(col: Column) -> Column:
     return F.try_parse_json(col)
 
 
-def _class(v: str) -> str:
-    """Type of a non-object VARIANT by its schema text."""
-    s = f"schema_of_variant({v})"
-    return (
-        f"case when {s} = 'BIGINT' then 'int' when {s} like 'DECIMAL%' or {s} in ('DOUBLE', 'FLOAT') then 'double' when {s} = 'BOOLEAN' then 'bool'"
-        f" when {s} = 'VOID' then 'null' when {s} like 'ARRAY%' then 'array' when {s} like 'OBJECT%' then 'object' when {s} = 'STRING' then 'string' else lower({s}) end"
-    )
-
-
-def _typed(v: str, timestamp_fields: Iterable[str], leaf: str) -> Column:
-    """The class, with strings divided into string, logtype and timestamp."""
-    text = F.expr(f"try_variant_get({v}, '$', 'string')")
-    kind = F.expr(_class(v))
-    names = list(timestamp_fields)
+#: Types by the head of a value's VARIANT schema.
+CLASSES = {"BIGINT": "int", "DECIMAL": "double", "DOUBLE": "double", "FLOAT": "double", "BOOLEAN": "bool", "VOID": "null", "ARRAY": "array", "OBJECT": "object", "STRING": "string"}
+
+
+def _is(item: str, kind: str) -> Column:
+    return F.expr(f"schema_of_variant({item})").rlike(f"^(?:{'|'.join(h for h, k in CLASSES.items() if k == kind)})")
+
+
+def _counted(level: DataFrame, timestamp_fields: Iterable[str]) -> list:
+    """(path, type, count) of a level's values."""
+    head = F.substring_index(F.substring_index(F.expr("schema_of_variant(v)"), "<", 1), "(", 1)
+    text = F.expr("try_variant_get(v, '$', 'string')")
     detected = string_type(text)
+    names = list(timestamp_fields)
     if names:
-        detected = F.when(F.expr(leaf).isin(*names), "timestamp").otherwise(detected)
-    return F.when(kind == "string", detected).otherwise(kind)
+        leaf = F.concat(F.when(F.size("path") > 1, "~").otherwise(""), F.array_join("path", "."))
+        detected = F.when(leaf.isin(*names), "timestamp").otherwise(detected)
+    typed = level.withColumn("head", head).select("path", F.when(F.col("head") == "STRING", detected).otherwise(F.col("head")).alias("type"))
+    found: dict[tuple, int] = {}
+    for r in typed.groupBy("path", "type").count().collect():
+        key = tuple(r["path"]), CLASSES.get(r["type"], r["type"].lower())
+        found[key] = found.get(key, 0) + r["count"]
+    return [(path, kind, n) for (path, kind), n in found.items()]
 
 
 def name_of(path: tuple[str, ...]) -> str:
@@ -62,28 +67,25 @@ def name_of(path: tuple[str, ...]) -> str:
 
 def discover(frame: DataFrame, column: str, timestamp_fields: Iterable[str] = (), structured: bool = False, depth: int = DEPTH) -> list[Leaf]:
     """All leaves of a VARIANT column, sorted by name and type."""
-    level = frame.select(F.array().cast("array<string>").alias("path"), F.col(column).alias("v")).where("v is not null")
+    level = frame.select(F.array().cast("array<string>").alias("path"), F.col(column).alias("v"))
     leaves: list[Leaf] = []
     for step in range(depth):
-        if step == 0:
-            inner = level.where("schema_of_variant(v) like 'OBJECT%'")
-            inner = inner.lateralJoin(_spread("v")).select(F.concat("path", F.array("key")).alias("path"), F.col("value").alias("v"))
+        # Values without members give no rows. What follows an explode cannot be pushed below it, so nothing is parsed twice.
+        spread = level.lateralJoin(_spread("v"))
+        key = F.col("key")
+        if structured and step:
+            key = F.coalesce(key, F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]")))
         else:
-            inner = level.where(F.expr(_class("v")) == "object").lateralJoin(_spread("v"))
-            inner = inner.select(F.concat("path", F.array("key")).alias("path"), F.col("value").alias("v"))
-            if structured:
-                arrays = level.where(F.expr(_class("v")) == "array").lateralJoin(_spread("v"))
-                arrays = arrays.select(F.concat("path", F.array(F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]")))).alias("path"), F.col("value").alias("v"))
-                inner = inner.unionByName(arrays)
-        leaf = "concat(if(size(path) > 1, '~', ''), array_join(path, '.'))"
-        counted = inner.groupBy("path", _typed("v", timestamp_fields, leaf).alias("type")).count().collect()
-        for r in counted:
-            open_ = r["type"] == "object" or structured and r["type"] == "array"
-            if not open_:
-                leaves.append(Leaf(tuple(r["path"]), name_of(tuple(r["path"])), r["type"], r["count"]))
-        if not any(r["type"] == "object" or structured and r["type"] == "array" for r in counted):
+            spread = spread.where("key is not null")
+        level = spread.select(F.concat("path", F.array(key)).alias("path"), F.col("value").alias("v"))
+        deeper = False
+        for path, kind, n in _counted(level, timestamp_fields):
+            if kind == "object" or structured and kind == "array":
+                deeper = True
+            else:
+                leaves.append(Leaf(path, name_of(path), kind, n))
+        if not deeper:
             break
-        level = inner
     else:
         raise ValueError(f"objects are nested more than {depth} deep")
     return sorted(leaves, key=lambda x: (x.name, x.type))
@@ -117,10 +119,9 @@ def column_of(source: str, leaf: Leaf, timestamp_fields: Iterable[str] = (), onl
         value = F.expr(f"try_variant_get({source}, '{where}', '{_SPARK.get(leaf.type, 'string')}')")
     if only:
         return value
-    kind = F.expr(_class(item))
     if leaf.type in ("array", *_SPARK):
-        return F.when(kind == leaf.type, value)
-    return F.when((kind == "string") & (string_type(value, leaf.name, timestamp_fields) == leaf.type), value)
+        return F.when(_is(item, leaf.type), value)
+    return F.when(_is(item, "string") & (string_type(value, leaf.name, timestamp_fields) == leaf.type), value)
 
 
 def flatten(

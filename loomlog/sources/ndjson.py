@@ -16,8 +16,8 @@ def read_lines(spark: SparkSession, path: str | list[str], limit: int | None = N
 
 def split_malformed(lines: DataFrame, column: str = "value") -> tuple[DataFrame, DataFrame]:
     """Records, and the lines that are no JSON object."""
-    v = F.try_parse_json(F.col(column))
-    good = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+    good = F.ltrim(F.col(column)).startswith("{") & F.try_parse_json(F.col(column)).isNotNull()
+    good = F.coalesce(good, F.lit(False))
     return lines.where(good), lines.where(~good)
 
 

@@ -135,6 +135,7 @@ def _objects(x: np.ndarray) -> np.ndarray:
 def _collect(scores, active, part, query_ids, ids, best: Best, which) -> None:
     k = best.k
     names = ids[part]
+    repeated = bool((names[1:] == names[:-1]).any())
     for row, q in zip(scores, active):
         place = which[q]
         other = names != query_ids[q]
@@ -143,20 +144,25 @@ def _collect(scores, active, part, query_ids, ids, best: Best, which) -> None:
             picked = np.array([i for i in np.flatnonzero(other) if float(row[i]) >= least or len(best.rows[place]) < k], dtype=np.int64)
             best.add(place, [min(max(int(row[i]), LONG[0]), LONG[1]) for i in picked], names[picked])
             continue
-        keep = other & (row >= least)
-        if keep.sum() > 4 * k:
+        picked = np.flatnonzero(other & (row >= least))
+        if repeated and len(picked) > 4 * k:
+            picked = _once(picked, names, row)  # copies of a row must not take more than one of the k ranks
+        if len(picked) > 4 * k:
             # Rows are in order of id, so the first ones of the lowest kept score are the right ones.
-            cut = np.partition(row[keep], -k)[-k]
-            high = np.flatnonzero(keep & (row > cut))
-            level = np.flatnonzero(keep & (row == cut))
-            level = level[np.sort(np.unique(names[level], return_index=True)[1])][:k]
-            picked = np.r_[high, level]
-        else:
-            picked = np.flatnonzero(keep)
+            kept = row[picked]
+            cut = np.partition(kept, -k)[-k]
+            picked = np.r_[picked[kept > cut], picked[kept == cut][:k]]
         if len(picked):
             best.add(place, row[picked], names[picked])
 
 
+def _once(picked: np.ndarray, names: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """The first of the places of each (id, score), in order of id."""
+    picked = picked[np.lexsort((row[picked], names[picked]))]
+    name, score = names[picked], row[picked]
+    return picked[np.r_[True, (name[1:] != name[:-1]) | (score[1:] != score[:-1])]]
+
+
 def _blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Blocks of at least ``size`` rows (but for the last), one length of vector each."""
     held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}

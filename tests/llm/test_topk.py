@@ -47,6 +47,20 @@ def test_large_components_are_exact(spark):
     assert sorted(map(tuple, topk.top_k(frame, frame.where("vec_id % 10 = 0")).collect())) == brute(data)
 
 
+@pytest.mark.parametrize("copies", [3, 20])
+@pytest.mark.parametrize("limits", [{}, {"block": 64}])
+def test_repeated_rows_take_one_rank(spark, copies, limits):
+    rng = random.Random(copies)
+    data = [(i, [rng.uniform(-1, 1) for _ in range(8)], "", 0) for i in range(120)] * copies
+    # Different vectors of one id that score the same for queries without weight on the first component.
+    data += [(500, [rng.uniform(-1, 1)] + [1.0] * 7, "", 0) for _ in range(60)] + [(510, [0.0] + [1.0] * 7, "", 0)] * copies
+    frame = spark.createDataFrame(data, SCHEMA).coalesce(1)
+    got = topk.top_k(frame, frame.where("vec_id % 10 = 0").dropDuplicates(["vec_id"]), **limits)
+    assert 500 in {r.vec_id for r in got.where("query_id = 510").collect()}
+    want = [r for r in brute(data) if r[0] != 500]
+    assert sorted(tuple(r) for r in got.where("query_id <> 500").collect()) == want and len(want) == 13 * 10
+
+
 def test_the_bound_saves_reads():
     rng = np.random.default_rng(0)
     vectors = np.floor(rng.normal(size=(20_000, 2)) * 1000)

@@ -1,10 +1,11 @@
 """Licence scanning with a positional rare-token index.
 
-The index holds, for every word of the licence templates, the templates and positions where it stands. Each
-file looks up its rarest licence words (highest inverse document frequency, counted over all documents),
-and an occurrence at word p of a template word at q votes for the template lying at p - q. Only places
-on which enough distinct rare words agree go on; there the template's mandatory key phrases are
-verified, and the score is the share of template words that stand in their places.
+The index holds, for every word of the licence templates, the templates and positions where it stands. For each
+template a file looks up the rarest of the template's words that it holds (highest inverse document
+frequency, counted over all documents), so no other licence in the file takes their room. An occurrence at word
+p of a template word at q votes for the template lying at p - q. Only places on which enough distinct rare
+words agree go on (where a notice stands whole, all agree); there the template's mandatory key phrases
+are verified, and the score is the share of template words that stand in their places.
 
 Two passes read the texts: one counts documents for the templates' words (a table no larger than that
 vocabulary), one scans. Neither shuffles texts.
@@ -103,13 +104,12 @@ class Index:
         self.templates, self.rare, self.agree = templates, rare, agree
         self.words = [words_of(t.text) for t in templates]
         self.keys = [[words_of(k) for k in t.keys] for t in templates]
-        self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
-        for t, words in enumerate(self.words):
+        self.places_of: list[dict[bytes, list[int]]] = [defaultdict(list) for _ in templates]
+        for own, words in zip(self.places_of, self.words):
             for q, w in enumerate(words):
-                self.postings[w].append((t, q))
-        self.vocabulary = frozenset(self.postings)
+                own[w].append(q)
+        self.vocabulary = frozenset(w for words in self.words for w in words)
         self.phrases = [(words_of(p), label) for p, label in PHRASES]
-        self.holding: dict[bytes, set[int]] = {w: {t for t, _ in spots} for w, spots in self.postings.items()}
 
     def places(self, words: list[bytes], seen: set[bytes]) -> list[tuple[int, str]]:
         """Where each base phrase stands: (first word, label)."""
@@ -123,14 +123,18 @@ class Index:
         return sorted((i, label) for p, label in wanted for i in at[p[0]] if words[i : i + len(p)] == p)
 
     def candidates(self, words: list[bytes], seen: set[bytes], idf: dict[bytes, float]) -> set[tuple[int, int]]:
-        """(template, place) on which enough of the file's rarest licence words agree."""
-        known = sorted(seen & self.vocabulary, key=lambda w: (-idf.get(w, 0.0), w))[: self.rare]
-        expected = Counter(t for w in known for t in self.holding[w])
-        need = {t: max(2, math.ceil(self.agree * min(len(set(self.words[t])), self.rare, n))) for t, n in expected.items()}
-        need = {t: n for t, n in need.items() if n <= expected[t] and all(seen.issuperset(k) for k in self.keys[t])}
-        if not need:
+        """(template, place) on which enough of the template's rarest words in the file agree."""
+        need: dict[int, int] = {}
+        chosen: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
+        for t, own in enumerate(self.places_of):
+            if not all(seen.issuperset(k) for k in self.keys[t]):
+                continue
+            known = sorted(seen.intersection(own), key=lambda w: (-idf.get(w, 0.0), w))[: self.rare]
+            need[t] = max(min(2, len(own)), math.ceil(self.agree * len(known)))
+            for w in known:
+                chosen[w] += [(t, q) for q in own[w]]
+        if not chosen:
             return set()
-        chosen = {w: [(t, q) for t, q in self.postings[w] if t in need] for w in known}
         votes: dict[tuple[int, int], set[bytes]] = defaultdict(set)
         for p, w in enumerate(words):
             for t, q in chosen.get(w, ()):

@@ -54,6 +54,17 @@ def test_edited_templates_are_found(t):
     assert licenses.TEMPLATES[t].label in index.scan(text, dict.fromkeys(index.vocabulary, 1.0))[5]
 
 
+@pytest.mark.parametrize("common", range(len(licenses.TEMPLATES)))
+def test_every_notice_of_a_file_is_found(common):
+    index = licenses.Index()
+    idf = {w: 0.5 if w in index.words[common] else 5.0 for w in index.vocabulary}
+    texts = [t.text for t in licenses.TEMPLATES]
+    for t, template in enumerate(licenses.TEMPLATES):
+        both = f"{texts[common]}\n\nsome code here\n\n{texts[t]}"
+        assert {template.label, licenses.TEMPLATES[common].label} <= set(index.scan(both, idf)[5].split(","))
+    assert {t.label for t in licenses.TEMPLATES} == set(index.scan("\n".join(texts), idf)[5].split(","))
+
+
 def test_key_phrases_are_mandatory():
     index = licenses.Index()
     text = licenses.TEMPLATES[7].text.replace("retain the above", "keep the above")

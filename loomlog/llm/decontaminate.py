@@ -163,13 +163,47 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame
         "spans",
     )
     keyed = docs.withColumn(TEXT_KEY, F.md5(F.col("text").cast("binary"))).join(touched, TEXT_KEY, "left")
+    return _without(keyed, docs.columns)
+
+
+def _without(keyed: DataFrame, columns: list[str]) -> DataFrame:
+    """``columns`` of the rows, without the words in ``_spans`` where that is not null; an ``n_chars`` column follows the text."""
     raw = F.regexp_extract_all("text", F.lit(f"({RAW_WORD})"), F.lit(1))
     gaps = F.split("text", RAW_WORD, -1)
     keyed = keyed.withColumn("_w", F.when(F.col("_spans").isNotNull(), raw)).withColumn("_g", F.when(F.col("_spans").isNotNull(), gaps))
     rebuilt = F.expr(
         "concat(array_join(transform(_w, (x, i) -> concat(_g[i], if(exists(_spans, s -> i >= s.start and i < s.stop), '', x))), ''), _g[size(_w)])"
     )
-    return keyed.withColumn("text", F.when(F.col("_spans").isNotNull(), rebuilt).otherwise(F.col("text"))).select(*docs.columns)
+    keyed = keyed.withColumn("text", F.when(F.col("_spans").isNotNull(), rebuilt).otherwise(F.col("text")))
+    if "n_chars" in columns:
+        kind = keyed.schema["n_chars"].dataType
+        keyed = keyed.withColumn("n_chars", F.when(F.col("_spans").isNotNull(), F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return keyed.select(*columns)
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, n: int = N, share: int = SHARE) -> DataFrame:
+    """``docs`` without the contaminated rows, and with the hit words of the others taken out.
+
+    Words that meet where a passage was can make a window again, so the rows that had hits are searched until none has any.
+    No hit is left in the result; rows without hits stay as they are.
+    """
+    n_hit = F.expr("aggregate(spans, 0L, (a, x) -> a + x.stop - x.start)")
+    key = F.md5(F.col("text").cast("binary"))
+
+    def found(rows: DataFrame) -> DataFrame:
+        met = hits(rows, benchmark, n).where(F.size("spans") > 0)
+        bad = (share * n_hit >= F.col("n_words")).alias("_bad")
+        return stage(met.select(F.col("text_md5").alias(TEXT_KEY), F.col("spans").alias("_spans"), bad).dropDuplicates([TEXT_KEY]), "hits")
+
+    met = found(docs)
+    keyed = docs.withColumn(TEXT_KEY, key)
+    out = keyed.join(met, TEXT_KEY, "left_anti").select(*docs.columns)
+    cut = stage(_without(keyed.join(met.where("not _bad"), TEXT_KEY), docs.columns), "cut")
+    while not (met := found(cut)).isEmpty():
+        keyed = cut.withColumn(TEXT_KEY, key)
+        out = out.unionByName(keyed.join(met, TEXT_KEY, "left_anti").select(*docs.columns))
+        cut = stage(_without(keyed.join(met, TEXT_KEY), docs.columns), "cut")
+    return out.unionByName(cut)
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -67,3 +67,19 @@ def test_stages_keep_the_columns(spark, tmp_path):
             frame = step(spark, frame, folder)
             assert frame.columns == ["doc_id", "text", "lang", "source", "n_chars"]
         corpus_pipeline.STAGES[-1][1](spark, frame, folder).count()
+
+
+def test_no_passage_is_left(spark, tmp_path):
+    bench = [(1, " ".join(f"b{i}" for i in range(24))), (2, " ".join(f"c{i}" for i in range(20)))]
+    plain = [" ".join(f"w{j}x{i}" for i in range(900)) for j in range(4)]
+    half = 450 * 2
+    nested = " ".join([*bench[0][1].split()[:12], bench[1][1], *bench[0][1].split()[12:]])
+    texts = [plain[0], plain[1][:half] + " " + bench[0][1] + "; " + plain[1][half:], plain[2][:half] + " " + nested + " " + plain[2][half:], bench[1][1] + " short", None]
+    docs = [(i, t, "en", "s", None if t is None else len(t)) for i, t in enumerate(texts)]
+    assert [r[0] for r in hits_of(docs, bench) if r[2] and not r[5]] == ["1", "2"]
+    frame = corpus_pipeline.benchmark(spark, spark.createDataFrame(docs, DOCS), write(spark, tmp_path, docs, bench))
+    out = {r.doc_id: r for r in frame.collect()}
+    assert set(out) == {0, 1, 2, 4} and out[0].text == texts[0] and out[4].text is None and out[4].n_chars is None
+    assert all(not r[2] for r in hits_of([tuple(r) for r in out.values()], bench))
+    assert out[1].text.split() == (plain[1][:half] + " ; " + plain[1][half:]).split() and out[2].text.split() == (plain[2][:half] + " " + plain[2][half:]).split()
+    assert all(r.n_chars == len(r.text) for r in out.values() if r.text)

@@ -130,13 +130,13 @@ class Engine:
         """What a query reads: its fields with their types, the fields that a match needs, and its number of predicates."""
         tree = parser.parse(text)
         names = sorted(parser.fields_of(tree))
-        needed = pruning.required_fields(tree.child if isinstance(tree, parser.GroupBy) else tree)
+        needed = pruning.required_fields(tree.child if isinstance(tree, parser.GroupBy) else tree, self.resolver.null_is_different)
         types = {n: sorted({f.type for f in self.resolver.find(n)}) for n in names}
         return {"tree": tree, "fields": types, "required": sorted(needed or ()), "predicates": parser.count_predicates(tree)}
 
     def pruned(self, text: str, block_catalog: DataFrame) -> Engine:
         """This engine over the blocks that the query can match."""
-        blocks = pruning.select_blocks(block_catalog, text, self.block)
+        blocks = pruning.select_blocks(block_catalog, text, self.block, self.resolver.null_is_different)
         return Engine(pruning.prune(self.df, blocks, self.block), self.fields, self.resolver.null_is_different, self.block)
 
     # --- caching -------------------------------------------------------------------------------

@@ -49,25 +49,30 @@ def with_range(catalog: DataFrame, name: str, low, high, block: str = "block_id"
     return rows.where((F.col("low") <= float(high)) & (F.col("high") >= float(low))).select(block).distinct()
 
 
-def required_fields(node) -> set[str] | None:
-    """Fields without which a row cannot match; None if a match needs none."""
+def required_fields(node, null_is_different: bool = False, outcome: bool = True) -> set[str] | None:
+    """Fields without which a condition cannot come to ``outcome``; None if it needs none.
+
+    Most predicates are neither true nor false on a missing value. An existence test is false there, so are ``!=`` and
+    ``!~`` on a name of several types, and ``!=`` is true where ``null_is_different``.
+    """
     if isinstance(node, P.Predicate):
-        return {node.field}
-    if isinstance(node, P.And):
-        left, right = required_fields(node.left), required_fields(node.right)
-        return left if right is None else right if left is None else left | right
-    if isinstance(node, P.Or):
-        left, right = required_fields(node.left), required_fields(node.right)
+        met = node.op == "!=" and null_is_different if outcome else node.op in ("exists", "!=", "!~")
+        return None if met else {node.field}
+    if isinstance(node, (P.And, P.Or)):
+        left = required_fields(node.left, null_is_different, outcome)
+        right = required_fields(node.right, null_is_different, outcome)
+        if isinstance(node, P.And) == outcome:  # both sides must come to it
+            return left if right is None else right if left is None else left | right
         return None if left is None or right is None else (left & right) or None
     if isinstance(node, P.Not):
-        return required_fields(node.child)  # a missing value makes the inside neither true nor false
+        return required_fields(node.child, null_is_different, not outcome)
     return None
 
 
-def select_blocks(catalog: DataFrame, text: str, block: str = "block_id") -> DataFrame | None:
+def select_blocks(catalog: DataFrame, text: str, block: str = "block_id", null_is_different: bool = False) -> DataFrame | None:
     """Blocks that a query can match; None for all of them. No block is left out that may hold a match."""
     tree = P.parse(text)
-    needed = required_fields(tree.child if isinstance(tree, P.GroupBy) else tree)
+    needed = required_fields(tree.child if isinstance(tree, P.GroupBy) else tree, null_is_different)
     needed = None if needed is None else {n for n in needed if "*" not in n}
     return with_fields(catalog, sorted(needed), block) if needed else None
 

@@ -46,6 +46,26 @@ def test_round_trip_and_pruning(spark, saved):
     assert stats.records == 100 and stats.blocks == 5 and stats.ratio > 0
 
 
+def test_pruning_of_negations(spark, saved):
+    cat = store.catalog(spark, saved)
+    plain = Engine.from_store(spark, saved)
+    texts = ["NOT extra:*", "NOT (user:u1 AND extra:70)", "NOT (NOT extra:*)", "NOT (extra:* OR user:u1)", "NOT (extra:70 OR user:u1)", "NOT (extra != 70)",
+             "extra != 70", "extra != 70 AND user:u1", "NOT (extra:70 AND NOT at:*)"]
+    for e in (plain, Engine(plain.df, plain.fields, null_is_different=True)):
+        for text in texts:
+            want = sorted(r.id for r in e.query(text).collect())
+            assert want and sorted(r.id for r in e.pruned(text, cat).query(text).collect()) == want, text
+    assert plain.query("NOT extra:*").count() == 60
+    assert pruning.select_blocks(cat, "NOT (extra:70 OR user:u1)").count() == 2  # a comparison is not false without its field
+    # A name of several types: != is false where none is there.
+    rows = [[{"a": 1}, {"a": "x"}], [{"b": 1}]]
+    lines = spark.createDataFrame([(json.dumps(r), n) for n, part in enumerate(rows) for r in part], "value string, block_id long")
+    e = Engine.from_json(lines, keep=["block_id"])
+    blocks = pruning.block_catalog(e.df, [f for f in e.fields if f.name != "block_id"])
+    for text in ("NOT (a != 1)", "NOT (a !~ x)", "a != 1", "NOT a:1"):
+        assert sorted(map(str, e.pruned(text, blocks).query(text).collect())) == sorted(map(str, e.query(text).collect())), text
+
+
 def test_rebuilt_lines(spark, saved, tmp_path):
     ndjson.write_lines(Engine.from_store(spark, saved).to_json(), f"file://{tmp_path}/out")
     got = [json.loads(r.value) for r in spark.read.text(f"file://{tmp_path}/out").collect()]

@@ -37,8 +37,16 @@ def log_variables(value: Column) -> Column:
     return _variables(value, _LOG)
 
 
+def log_stars(value: Column) -> Column:
+    """What each star of the log template stands for, in order: a variable, or a star of the text itself."""
+    return _variables(value, _LOG + r"|\*")
+
+
 def refill(template: Column, variables: Column) -> Column:
-    """Variables in place of the stars, from the left; stars beyond the variables stay."""
-    parts = F.split(template, r"\*", -1)
-    filled = F.transform(parts, lambda x, i: F.when(i == 0, x).otherwise(F.concat(F.coalesce(F.get(variables, i - 1), F.lit("*")), x)))
-    return F.array_join(filled, "")
+    """Variables in place of the stars, from the left; stars beyond the variables stay.
+
+    Where a text has stars of its own, ``log_stars`` gives the whole text again; its variables alone do not tell which star is one.
+    """
+    # Zipped, so that the variables are made once a text and not once a star.
+    before = F.concat(F.array(F.lit("")), F.coalesce(variables, F.array().cast("array<string>")))
+    return F.array_join(F.zip_with(F.split(template, r"\*", -1), before, lambda x, v: F.concat(F.coalesce(v, F.lit("*")), x)), "")

@@ -520,6 +520,12 @@ def template_refill(spark, sf_dir):
     return df.select("doc_id", templates.refill(templates.log_template(F.col("text")), templates.log_variables(F.col("text"))).alias("refilled"))
 
 
+@register("template_refill_all", "SELECT doc_id, text AS refilled FROM documents")
+def template_refill_all(spark, sf_dir):
+    df = read(spark, sf_dir, "documents")
+    return df.select("doc_id", templates.refill(templates.log_template(F.col("text")), templates.log_stars(F.col("text"))).alias("refilled"))
+
+
 @register("epoch_text", "SELECT event_id, strftime(make_timestamp(user_id * 86400000000), '%Y-%m-%d %H:%M:%S') AS at FROM events")
 def epoch_text(spark, sf_dir):
     return read(spark, sf_dir, "events").select("event_id", text.epoch_text(F.col("user_id") * 86400).alias("at"))

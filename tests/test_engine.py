@@ -164,6 +164,15 @@ def test_templates_refill(spark):
     assert row == "*-*-*T*:*:*.*0Z"
 
 
+def test_templates_refill_texts_with_stars(spark):
+    from loomlog.functions import templates as T
+
+    df = lines(spark, ["* 12 ** at 10.0.0.1 *mailed* a.b@c.org", "**", "7*8", "a*b@c.org*", "5 * 6 = 30", "none", ""])
+    made = T.refill(T.log_template(F.col("value")), T.log_stars(F.col("value")))
+    assert df.where(made.eqNullSafe(F.col("value"))).count() == df.count() == 7
+    assert spark.sql("select cast(null as string) as value").select(made).first()[0] is None
+
+
 @pytest.mark.parametrize(
     "text,kind",
     [

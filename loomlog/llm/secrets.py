@@ -42,13 +42,18 @@ BASE = (
     Rule("access", r"AKIA[A-Z0-9]+", 0, 18),
     Rule("hex", r"[0-9a-f]+", 0, 16),
 )
+#: The key after its BEGIN line: all up to the END line or, where none follows, the base64 run. Line ends may be escaped.
+PEM_KEY = (
+    r"(?:[^-]*+(?:-(?!----)[^-]*+)*+-----END [A-Z ]{0,30}PRIVATE KEY-----"
+    r"|(?:(?:\s|\\[rn])*+(?:Proc-Type|DEK-Info):[^\r\n\\]*+)*+(?:(?:\s|\\[rn])*+[A-Za-z0-9+/]{16,}+={0,2})*+(?:(?:\s|\\[rn])*+[A-Za-z0-9+/]{1,15}={1,2})?)"
+)
 ADDED = (
     Rule("forge", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("chat", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("mapkey", r"AIza[A-Za-z0-9_-]{35}"),
     Rule("pay", r"[rs]k_live_[A-Za-z0-9]{16,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    Rule("pem", r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"),
+    Rule("pem", r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----" + PEM_KEY),
 )
 RULES = BASE + ADDED
 

@@ -43,6 +43,24 @@ def test_added_rules_and_redaction(spark):
     assert secrets.redact(docs.limit(0)).count() == 0 and secrets.scan(docs.limit(0)).count() == 0
 
 
+def test_whole_keys_are_redacted():
+    key = "\n".join(["MIIEpAIBAAKCAQEA7b+/x" * 3] * 4 + ["q9Zx0A=="])
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    bodies = [f"\n{key}\n", "\\n" + key.replace("\n", "\\n") + "\\n", f"\r\nProc-Type: 4,ENCRYPTED\r\nDEK-Info: AES-128-CBC,0A1B\r\n\r\n{key}\n"]
+    search = secrets.Searcher()
+
+    def redacted(text):
+        return secrets.redact_text(text, [(c, e, secrets.RULES[k].kind) for _, k, _, c, e in search.search([text])[0]])
+
+    for body in bodies:
+        assert redacted(f"a {begin}{body}{end} b") == "a <pem> b"
+        assert redacted(f"a {begin}{body}{end}\n{begin}{body}{end} b") == "a <pem>\n<pem> b"
+        cut = redacted(f"a {begin}{body} then words")
+        assert cut.startswith("a <pem>") and cut.endswith(" then words") and "MII" not in cut and "q9Z" not in cut
+    assert redacted(f"the line {begin} opens a key, {begin}") == "the line <pem> opens a key, <pem>"
+    assert redacted((begin + "- words ") * 20_000) == "<pem>- words " * 20_000
+
+
 def test_queries():
     for rule in secrets.RULES:
         query = secrets.trigram_query(rule.pattern)

@@ -70,3 +70,10 @@ def test_windows_of_a_long_text_sum_up():
     text = "abc" * 5000
     cost, _ = model.costs([text, None, text])
     assert cost[0].tolist() == cost[2].tolist() and cost[1].tolist() == [0, 0] and cost[0][0] < cost[0][1]
+
+
+def test_letters_of_every_plane():
+    every = [chr(c) for c in range(0x110000) if chr(c).isalpha()]
+    assert all((langid.letters_of("".join(every[i : i + 4096])) != 0).all() for i in range(0, len(every), 4096))
+    model = langid.Model({"en": "the thing", "zh": "漢字"})
+    assert model.predict(["\U00030000\U00030001", "12 34"])[0][0] != "und" and model.predict(["12 34"])[0][0] == "und"

@@ -1,20 +1,24 @@
 """Benchmark decontamination with a broadcast hash set of test n-grams; DataFrame functions only.
 
-Words are made inside the row. Every run of benchmark-vocabulary words at least as long as a
-window yields candidate windows, in the same row: a window can only occur where all of its words
-are in the vocabulary, so nothing is lost and few windows leave the row. Candidates meet the
-windows by hash, and the joined words are compared, so hash collisions do not count. The
-window table is broadcast while it has at most ``broadcast_windows`` rows; beyond that the
-join shuffles. Above ``vocabulary`` distinct words the run filter is left out and every window is a candidate.
+Words are made inside the row. Each word position is looked up in a bit table of the benchmark's windows by a hash of four words
+of its window, and what passes in a second table by a hash of all of them; both tables have a bounded size, are made by
+an aggregate and reach the tasks as one value. They only ever let too much pass, so nothing is lost, and only windows that pass both
+leave the row, with their words. These meet the true windows by hash and words, so neither hash collisions nor the tables' false
+hits count. The set of windows is broadcast while it has at most ``broadcast_bytes`` bytes; beyond that the few windows
+that passed are joined by a shuffle. The result is the same either way and at every size.
 
 Defined cases: null or word-less text has no words and is never contaminated; empty benchmark
 items have no windows; an item of fewer than ``n`` words is one window; rows of equal item_id are one item, and a
 null item_id counts as the item ``''``; each input row gives one output row, repeated and
-null ids included; an empty table gives an empty result.
+null ids included; texts of any length are read whole, in work and memory linear in their length; an empty table gives an
+empty result; of other columns ``report`` returns none, whatever their names, and ``clean``, ``remove_spans`` and
+``drop_contaminated`` keep all, but for ``_loomlog_*``, which are theirs.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,8 +28,10 @@ N = 13
 SHARE = 20
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-BROADCAST_WINDOWS = 500_000
-VOCABULARY = 50_000
+BROADCAST_BYTES = 64 << 20
+#: Bits of a table for each window, and the least and most 64-bit words of a table. More windows than fit only let more pass.
+BITS = 64
+LEAST, MOST = 1 << 6, 1 << 20
 
 
 def words(col):
@@ -34,84 +40,107 @@ def words(col):
     return F.coalesce(found, F.array().cast("array<string>"))
 
 
-def windows(benchmark: DataFrame, n: int = N, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """``(h, gram, len, items)``: each distinct window with the items that hold it."""
+def _anchor(w: str, at: str, k: int) -> str:
+    """Hash of four words, spread over the window of ``k`` words at ``at``."""
+    return f"xxhash64({', '.join(f'get({w}, {at} + {i})' for i in sorted({0, k // 3, 2 * k // 3, k - 1}))})"
+
+
+class Windows(NamedTuple):
+    """The benchmark's windows: ``(h, gram, len)``, ``(h, gram, item)``, their lengths, and two bit tables of one row each."""
+
+    grams: DataFrame
+    items: DataFrame
+    lengths: list[int]
+    slots: int
+    anchors: DataFrame
+    hashes: DataFrame
+    bounded: bool
+
+
+def windows(
+    benchmark: DataFrame, n: int = N, item_col: str = "item_id", text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES,
+    most: int = MOST, folder: str | None = None,
+) -> Windows:
+    """Each distinct window of the items, staged, and what finds it."""
+    folder = folder or new_folder(benchmark.sparkSession, "windows")
     items = benchmark.select(
-        F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), words(F.col(text_col)).alias("w")
+        F.coalesce(F.col(f"`{item_col}`").cast("string"), F.lit("")).alias("item"), words(F.col(f"`{text_col}`")).alias("w")
     ).where(F.size("w") > 0)
-    grams = items.select(
+    spread = items.select(
         "item", F.explode(F.expr(f"transform(sequence(0, greatest(size(w) - {n}, 0)), i -> slice(w, i + 1, {n}))")).alias("g")
     )
-    return (
-        grams.groupBy(F.xxhash64("g").alias("h"), F.array_join("g", " ").alias("gram"), F.size("g").alias("len"))
-        .agg(F.collect_set("item").alias("items"))
-    )
-
-
-def _candidates(length: int, in_vocabulary: bool) -> str:
-    every = f"sequence(0, size(w) - {length})"
-    if in_vocabulary:
-        run = "1" * length
-        starts = (
-            f"case when contains(flags, '{run}') then"
-            f" filter({every}, i -> substring(bits, i + 1, {length}) = cast('{run}' as binary)) else array() end"
-        )
-    else:
-        starts = f"case when size(w) >= {length} then {every} else array() end"
-    return (
-        f"transform({starts}, i -> named_struct('pos', i, 'len', {length}, 'h', xxhash64(slice(w, i + 1, {length})),"
-        f" 'gram', array_join(slice(w, i + 1, {length}), ' ')))"
+    members = spread.select(F.xxhash64("g").alias("h"), F.array_join("g", " ").alias("gram"), "item").distinct()
+    members = stage(members, "members", folder)
+    grams = stage(members.select("h", "gram", F.size(F.split("gram", " ")).alias("len")).distinct(), "grams", folder)
+    # At most n lengths, and one row of two sums.
+    lengths = sorted(r["len"] for r in grams.select("len").distinct().collect())
+    count, size = grams.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("gram") + 24), F.lit(0))).first()
+    slots = LEAST
+    while slots < most and slots * 64 < BITS * count:
+        slots *= 2
+    w = grams.withColumn("w", F.split("gram", " "))
+    anchor = F.lit(None).cast("bigint")
+    for k in lengths:
+        anchor = F.when(F.col("len") == k, F.expr(_anchor("w", "0", k))).otherwise(anchor)
+    return Windows(grams, members, lengths, slots, _bit_table(w.select(anchor.alias("h")), slots), _bit_table(grams, slots), size <= broadcast_bytes)
+
+
+def _bit_table(hashes: DataFrame, slots: int) -> DataFrame:
+    """One row with an array of ``slots`` 64-bit words in which the bit of each hash is set."""
+    spark = hashes.sparkSession
+    held = hashes.select(F.expr(f"shiftright(h, 6) & {slots - 1}L").alias("slot"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("bit"))
+    held = held.groupBy("slot").agg(F.bit_or("bit").alias("bits"))
+    every = spark.range(slots).join(held, F.col("id") == F.col("slot"), "left").select(F.struct("id", F.coalesce("bits", F.lit(0).cast("bigint")).alias("bits")).alias("x"))
+    return every.agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["bits"]).alias("bits"))
+
+
+def _passing(bits: str, x: str, slots: int) -> str:
+    return f"getbit(get({bits}, cast((shiftright({x}.h, 6) & {slots - 1}L) as int)), cast({x}.h & 63 as int)) = 1"
+
+
+def _candidates(lengths: list[int], slots: int) -> str:
+    """``array<struct<pos, len, h, gram>>`` of the windows of ``w`` that pass both bit tables.
+
+    Each table is named once, so that the optimizer puts its value in the lambda and does not copy it into rows.
+    """
+    places = ", ".join(
+        f"transform(case when size(w) >= {k} then sequence(0, size(w) - {k}) else cast(array() as array<int>) end,"
+        f" i -> named_struct('pos', i, 'len', {k}, 'h', {_anchor('w', 'i', k)}))"
+        for k in lengths
     )
+    near = f"filter(concat({places}), x -> {_passing('_anchors', 'x', slots)})"
+    hashed = f"transform({near}, x -> named_struct('pos', x.pos, 'len', x.len, 'h', xxhash64(slice(w, x.pos + 1, x.len))))"
+    passed = f"filter({hashed}, x -> {_passing('_hashes', 'x', slots)})"
+    return f"transform({passed}, x -> named_struct('pos', x.pos, 'len', x.len, 'h', x.h, 'gram', array_join(slice(w, x.pos + 1, x.len), ' ')))"
 
 
-def hits(
-    docs: DataFrame,
-    benchmark: DataFrame,
-    n: int = N,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    broadcast_windows: int = BROADCAST_WINDOWS,
-    vocabulary: int = VOCABULARY,
-) -> DataFrame:
+def hits(docs: DataFrame, known: Windows, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> DataFrame:
     """Per row of ``docs``: id, text_md5, n_words, spans (merged word ranges hit, end exclusive), items (sorted strings)."""
-    spark = docs.sparkSession
-    folder = new_folder(spark, "decontaminate")
-    grams = stage(windows(benchmark, n), "windows", folder)
-    lengths = sorted(r["len"] for r in grams.select("len").distinct().collect())  # at most n of them
-    known = grams.select(F.explode(F.split("gram", " ")).alias("w")).distinct()
-    listed = [r["w"] for r in known.limit(vocabulary + 1).collect()]
-    filtered = len(listed) <= vocabulary
-
+    folder = folder or new_folder(docs.sparkSession, "decontaminate")
+    text = F.col(f"`{text_col}`")
     rows = docs.select(
         F.monotonically_increasing_id().alias("uid"),
-        F.col(id_col).alias(id_col),
-        F.md5(F.col(text_col).cast("binary")).alias("text_md5"),
-        words(F.col(text_col)).alias("w"),
+        F.col(f"`{id_col}`").alias(id_col),
+        F.md5(text.cast("binary")).alias("text_md5"),
+        words(text).alias("w"),
     )
-    if filtered and listed:
-        inside = ",".join(f"'{w}'" for w in listed)
-        rows = rows.withColumn("flags", F.expr(f"array_join(transform(w, x -> if(x IN ({inside}), '1', '0')), '')"))
-        rows = rows.withColumn("bits", F.expr("cast(flags as binary)"))
     empty = "cast(array() as array<struct<pos:int,len:int,h:bigint,gram:string>>)"
-    found = [_candidates(k, filtered and bool(listed)) for k in lengths]
-    found = f"concat({', '.join(found)})" if found else empty
-    rows = stage(
-        rows.select("uid", id_col, "text_md5", F.size("w").alias("n_words"), F.expr(found).alias("found")), "rows", folder
-    )
-    bounded = grams.count() <= broadcast_windows
-    spans = (
+    found = _candidates(known.lengths, known.slots) if known.lengths else empty
+    # The uid keeps this projection apart from the one below, where the tables' values take the place of their names.
+    rows = rows.withColumns({"_anchors": known.anchors.scalar(), "_hashes": known.hashes.scalar()})
+    rows = stage(rows.select("uid", id_col, "text_md5", F.size("w").alias("n_words"), F.expr(found).alias("found")), "rows", folder)
+    small = (lambda df: F.broadcast(df)) if known.bounded else (lambda df: df)
+    met = (
         rows.where(F.size("found") > 0)
         .select("uid", F.explode("found").alias("f"))
         .select("uid", "f.*")
-        .join(F.broadcast(grams) if bounded else grams, ["h", "gram", "len"])
-        .groupBy("uid")
-        .agg(
-            F.array_sort(F.collect_set(F.struct(F.col("pos").alias("start"), (F.col("pos") + F.col("len")).alias("stop")))).alias("s"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
-        )
-        .select("uid", "items", F.expr(MERGE).alias("spans"))
+        .join(small(known.grams), ["h", "gram", "len"])
     )
-    out = rows.drop("found").join(spans, "uid", "left")
+    met = stage(met.select("uid", "pos", "len", "h", "gram"), "met", folder)
+    places = met.groupBy("uid").agg(F.collect_set(F.struct("pos", "len")).alias("s")).select("uid", F.expr(HIT_WORDS).alias("p")).select("uid", F.expr(RUNS).alias("spans"))
+    items = met.select("uid", "h", "gram").distinct().join(small(known.items), ["h", "gram"]).select("uid", "item").distinct()
+    items = items.groupBy("uid").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    out = rows.drop("found").join(places.join(items, "uid"), "uid", "left")
     return out.select(
         id_col,
         "text_md5",
@@ -121,64 +150,81 @@ def hits(
     )
 
 
-#: Sorted ranges to disjoint ones: the last range grows while the next begins inside it.
-MERGE = """aggregate(s, cast(array() as array<struct<start:int,stop:int>>), (a, x) ->
-  case when size(a) > 0 and element_at(a, -1).stop >= x.start
-       then concat(slice(a, 1, size(a) - 1), array(named_struct('start', element_at(a, -1).start, 'stop', greatest(element_at(a, -1).stop, x.stop))))
-       else concat(a, array(x)) end)"""
+#: Windows to the sorted places of the words hit, and these to disjoint ranges: a range begins and ends where a neighbour is missing.
+HIT_WORDS = "array_sort(array_distinct(flatten(transform(s, x -> sequence(x.pos, x.pos + x.len - 1)))))"
+RUNS = """zip_with(filter(p, (x, i) -> i = 0 or get(p, i - 1) < x - 1), filter(p, (x, i) -> i = size(p) - 1 or get(p, i + 1) > x + 1),
+  (a, b) -> named_struct('start', a, 'stop', b + 1))"""
+
+
+def _n_hit():
+    return F.expr("aggregate(spans, 0L, (a, x) -> a + x.stop - x.start)")
 
 
 def report(docs: DataFrame, benchmark: DataFrame, n: int = N, share: int = SHARE, id_col: str = "doc_id", **kw) -> DataFrame:
     """Per row: words, words hit, items met, and whether hits reach one word in ``share``."""
-    n_hit = F.expr("aggregate(spans, 0L, (a, x) -> a + x.stop - x.start)")
-    return hits(docs, benchmark, n, id_col, **kw).select(
+    return hits(docs, windows(benchmark, n, **kw), id_col).select(
         id_col,
         "text_md5",
         F.col("n_words").cast("long").alias("n_words"),
-        n_hit.alias("n_hit"),
+        _n_hit().alias("n_hit"),
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
-        ((n_hit > 0) & (share * n_hit >= F.col("n_words"))).alias("contaminated"),
+        ((_n_hit() > 0) & (share * _n_hit() >= F.col("n_words"))).alias("contaminated"),
     )
 
 
-#: The working column of the two functions below.
-TEXT_KEY = "_loomlog_text_md5"
+#: The working columns of the functions below.
+TEXT_KEY, SPANS, BAD = "_loomlog_text_md5", "_loomlog_spans", "_loomlog_bad"
+
+
+def _met(docs: DataFrame, known: Windows, share: int) -> DataFrame:
+    """``(text key, spans, bad)`` of the distinct texts with hits. Hits follow from the text alone, so texts are the key."""
+    met = hits(docs, known).where(F.size("spans") > 0)
+    bad = (share * _n_hit() >= F.col("n_words")).alias(BAD)
+    return stage(met.select(F.col("text_md5").alias(TEXT_KEY), F.col("spans").alias(SPANS), bad).dropDuplicates([TEXT_KEY]), "hits")
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.withColumn(TEXT_KEY, F.md5(F.col("text").cast("binary")))
+
+
+def _plain(docs: DataFrame) -> list:
+    return [F.col(f"`{c}`") for c in docs.columns]
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = N, share: int = SHARE) -> DataFrame:
-    """``docs`` without the contaminated rows. Contamination follows from the text alone, so texts are the key."""
-    bad = report(docs, benchmark, n, share).where("contaminated").select(F.col("text_md5").alias(TEXT_KEY)).distinct()
-    keyed = docs.withColumn(TEXT_KEY, F.md5(F.col("text").cast("binary")))
-    return keyed.join(stage(bad, "contaminated"), TEXT_KEY, "left_anti").select(*docs.columns)
+    """``docs`` without the contaminated rows."""
+    met = _met(docs, windows(benchmark, n), share)
+    return _keyed(docs).join(met.where(BAD).select(TEXT_KEY), TEXT_KEY, "left_anti").select(*_plain(docs))
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
     """``docs`` with every hit word taken out of its text; all else, separators included, stays."""
-    touched = stage(
-        hits(docs, benchmark, n)
-        .where(F.size("spans") > 0)
-        .select(F.col("text_md5").alias(TEXT_KEY), F.col("spans").alias("_spans"))
-        .dropDuplicates([TEXT_KEY]),
-        "spans",
-    )
-    keyed = docs.withColumn(TEXT_KEY, F.md5(F.col("text").cast("binary"))).join(touched, TEXT_KEY, "left")
-    return _without(keyed, docs.columns)
+    met = _met(docs, windows(benchmark, n), SHARE)
+    return _without(_keyed(docs).join(met, TEXT_KEY, "left"), docs)
 
 
-def _without(keyed: DataFrame, columns: list[str]) -> DataFrame:
-    """``columns`` of the rows, without the words in ``_spans`` where that is not null; an ``n_chars`` column follows the text."""
+def _without(keyed: DataFrame, docs: DataFrame) -> DataFrame:
+    """The rows in the columns of ``docs``, without the words in the spans where these are not null; an ``n_chars`` column follows the text."""
+    hit = F.col(SPANS).isNotNull()
     raw = F.regexp_extract_all("text", F.lit(f"({RAW_WORD})"), F.lit(1))
     gaps = F.split("text", RAW_WORD, -1)
-    keyed = keyed.withColumn("_w", F.when(F.col("_spans").isNotNull(), raw)).withColumn("_g", F.when(F.col("_spans").isNotNull(), gaps))
-    rebuilt = F.expr(
-        "concat(array_join(transform(_w, (x, i) -> concat(_g[i], if(exists(_spans, s -> i >= s.start and i < s.stop), '', x))), ''), _g[size(_w)])"
+    # Hit words as a set of places would be searched for every word; ranges of words between the spans are joined as they are.
+    starts = "concat(array(0), transform(_loomlog_spans, s -> s.stop))"
+    stops = "concat(transform(_loomlog_spans, s -> s.start), array(size(_loomlog_w)))"
+    piece = "array_join(transform(slice(_loomlog_w, k.a + 1, k.b - k.a), (x, i) -> concat(get(_loomlog_g, k.a + i), x)), '')"
+    lost = "array_join(slice(_loomlog_g, k.b + 1, k.c - k.b), '')"
+    ranges = (
+        f"transform(zip_with({starts}, {stops}, (a, b) -> named_struct('a', a, 'b', b)), (k, j) -> named_struct('a', k.a, 'b', k.b,"
+        " 'c', coalesce(get(_loomlog_spans, j).stop, size(_loomlog_w) + 1)))"
     )
-    keyed = keyed.withColumn("text", F.when(F.col("_spans").isNotNull(), rebuilt).otherwise(F.col("text")))
-    if "n_chars" in columns:
+    rebuilt = f"array_join(transform({ranges}, k -> concat({piece}, {lost})), '')"
+    keyed = keyed.withColumn("_loomlog_w", F.when(hit, raw)).withColumn("_loomlog_g", F.when(hit, gaps))
+    keyed = keyed.withColumn("text", F.when(hit, F.expr(rebuilt)).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
         kind = keyed.schema["n_chars"].dataType
-        keyed = keyed.withColumn("n_chars", F.when(F.col("_spans").isNotNull(), F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return keyed.select(*columns)
+        keyed = keyed.withColumn("n_chars", F.when(hit, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return keyed.select(*_plain(docs))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, n: int = N, share: int = SHARE) -> DataFrame:
@@ -187,22 +233,13 @@ def clean(docs: DataFrame, benchmark: DataFrame, n: int = N, share: int = SHARE)
     Words that meet where a passage was can make a window again, so the rows that had hits are searched until none has any.
     No hit is left in the result; rows without hits stay as they are.
     """
-    n_hit = F.expr("aggregate(spans, 0L, (a, x) -> a + x.stop - x.start)")
-    key = F.md5(F.col("text").cast("binary"))
-
-    def found(rows: DataFrame) -> DataFrame:
-        met = hits(rows, benchmark, n).where(F.size("spans") > 0)
-        bad = (share * n_hit >= F.col("n_words")).alias("_bad")
-        return stage(met.select(F.col("text_md5").alias(TEXT_KEY), F.col("spans").alias("_spans"), bad).dropDuplicates([TEXT_KEY]), "hits")
-
-    met = found(docs)
-    keyed = docs.withColumn(TEXT_KEY, key)
-    out = keyed.join(met, TEXT_KEY, "left_anti").select(*docs.columns)
-    cut = stage(_without(keyed.join(met.where("not _bad"), TEXT_KEY), docs.columns), "cut")
-    while not (met := found(cut)).isEmpty():
-        keyed = cut.withColumn(TEXT_KEY, key)
-        out = out.unionByName(keyed.join(met, TEXT_KEY, "left_anti").select(*docs.columns))
-        cut = stage(_without(keyed.join(met, TEXT_KEY), docs.columns), "cut")
+    known = windows(benchmark, n)
+    met = _met(docs, known, share)
+    out = _keyed(docs).join(met, TEXT_KEY, "left_anti").select(*_plain(docs))
+    cut = stage(_without(_keyed(docs).join(met.where(~F.col(BAD)), TEXT_KEY), docs), "cut")
+    while not (met := _met(cut, known, share)).isEmpty():
+        out = out.unionByName(_keyed(cut).join(met, TEXT_KEY, "left_anti").select(*_plain(docs)))
+        cut = stage(_without(_keyed(cut).join(met, TEXT_KEY), docs), "cut")
     return out.unionByName(cut)
 
 

@@ -48,7 +48,7 @@ def data():
     return docs, bench
 
 
-@pytest.mark.parametrize("limits", [{}, {"vocabulary": 3}, {"broadcast_windows": 1}])
+@pytest.mark.parametrize("limits", [{}, {"most": 1}, {"broadcast_bytes": 0}])
 def test_matches_brute_force(spark, limits):
     docs, bench = data()
     got = decontaminate.report(spark.createDataFrame(docs, DOCS), spark.createDataFrame(bench, "item_id bigint, text string"), **limits)
@@ -69,6 +69,29 @@ def test_removal(spark):
     assert out[1].startswith("Keep this, ") and out[1].endswith("; and that.") and split(out[1]) == ["keep", "this", "and", "that"]
 
 
+def test_many_separate_hits_in_a_long_text(spark):
+    bench = [(1, " ".join(f"b{i}" for i in range(13))), (2, "alone")]
+    text = (bench[0][1] + "; Gap, alone x ") * 20_000 + bench[0][1] + " " + bench[0][1]
+    docs = [(1, text, None, None), (2, "gap", None, None)]
+    d, b = spark.createDataFrame(docs, DOCS), spark.createDataFrame(bench, "item_id bigint, text string")
+    got = {r.doc_id: r for r in decontaminate.report(d, b).collect()}
+    assert (got[1].n_words, got[1].n_hit, got[1].n_items) == (20_000 * 16 + 26, 20_000 * 14 + 26, 2) and got[2].n_hit == 0
+    out = {r.doc_id: r.text for r in decontaminate.remove_spans(d, b).collect()}
+    assert out[1].split() == [";", "Gap,", "x"] * 20_000 and out[2] == "gap"
+
+
+def test_few_windows_leave_the_row(spark, tmp_path):
+    """A benchmark of the corpus's own words, all of them: what is staged for verification is little more than the true hits."""
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(3000)]
+    bench = [(i, " ".join(rng.choices(words, k=60))) for i in range(2000)]
+    docs = [(i, " ".join(rng.choices(words, k=500)), None, None) for i in range(200)] + [(500, bench[7][1], None, None)]
+    known = decontaminate.windows(spark.createDataFrame(bench, "item_id bigint, text string"))
+    decontaminate.hits(spark.createDataFrame(docs, DOCS), known, folder=f"file://{tmp_path}").count()
+    found = spark.read.parquet(f"file://{tmp_path}/rows").selectExpr("sum(size(found))").first()[0]
+    assert 48 <= found <= 48 + 200
+
+
 def test_empty(spark):
     docs, bench = data()
     d, b = spark.createDataFrame(docs, DOCS), spark.createDataFrame([], "item_id bigint, text string")

@@ -28,12 +28,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a local one only where that is unset."""
+    """The shared folder named by ``spark.checkpoint.dir``; a folder of this machine only where all tasks run on it as well."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         if set_dir.isDefined():
             return str(set_dir.get())
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="loomlog-")
         spark.sparkContext.setCheckpointDir(root)
         root = str(spark.sparkContext._jsc.sc().getCheckpointDir().get())
@@ -77,6 +80,11 @@ def stage(df: DataFrame, label: str, folder: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def hot_share(total, pieces: int = 4096, least: int = 1000):
+    """The number of rows from which on a key is hot: at most ``pieces`` keys can hold more than one in ``pieces`` of all rows."""
+    return F.greatest(F.lit(least).cast("bigint"), (total / pieces).cast("bigint"))
+
+
 def lower_ascii(col):
     """A-Z to a-z and nothing else (``lower`` would also change É)."""
     return F.translate(col, ASCII_UPPER, ASCII_LOWER)

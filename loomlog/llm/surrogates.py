@@ -27,12 +27,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_folder, stage, table
+from .common import hot_share, new_folder, stage, table
 
 #: Attempts from which on a replacement is longer than what it replaces.
 WIDER = 16
-#: An entity is dealt over salts if it holds more than one in so many occurrences, and at least ``LEAST_HOT``.
-HOT, LEAST_HOT = 4096, 1000
 
 # Titles by gender.
 TITLES = {
@@ -301,8 +299,7 @@ def replace_personal_data(docs: DataFrame, key: bytes, text_col: str = "text") -
     names = dictionary(known, key, folder)
 
     # An entity may stand in a third of all texts: such ones are dealt over salts, the more the more they hold.
-    total = known.agg(F.coalesce(F.sum("n"), F.lit(0))).scalar()
-    share = F.greatest(F.lit(LEAST_HOT).cast("bigint"), (total / HOT).cast("bigint"))
+    share = hot_share(known.agg(F.coalesce(F.sum("n"), F.lit(0))).scalar())
     hot = known.withColumn("share", share).where("n > share").select("kind", "norm", F.ceil(F.col("n") / F.col("share")).cast("int").alias("salts"))
     hot = F.broadcast(stage(hot, "hot", folder))
     one = F.coalesce("salts", F.lit(1))

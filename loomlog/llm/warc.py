@@ -12,9 +12,13 @@ a range read. ``fetch`` reads the records found in order of file and offset, thr
 Files go to the folder of ``spark.checkpoint.dir`` by ``pyarrow.fs``. Their names hold the attempt's own random part, and
 only rows of finished tasks name files, so a lost or repeated task leaves at most a file that nobody reads.
 
+Pages are read and looked up in as many ranges as the archives' bytes ask for (``SHARE`` a task). A digest that more than one page in 4,096
+has is dealt over salts by its count; at most 4,096 digests can be that frequent, so their list is broadcast.
+
 Defined cases: null html is an empty payload; a null url has the empty key and no target; rows with a null id are responses and
 are found by their url; repeated rows are records of their own, and all rows with the largest id
-are responses; an empty table gives an empty archive.
+are responses; equal keys are in order of id; a payload of any length is one record, held whole while it is written or read; an empty table gives
+an empty archive; columns besides page_id, url and html are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,12 +39,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_rows, new_folder, pack, stage, table
+from .common import hot_share, map_rows, new_folder, pack, stage, table
 
 LEAST_REVISIT = 1000
 LINES = 1000
 ROLL = 1 << 30
-SALTS = 16
+SHARE = 32 << 20
 PREFIX = 1024
 WINDOW = 4 << 20
 URN = "urn:x-page:"
@@ -138,16 +142,19 @@ def _typed(pages: DataFrame) -> DataFrame:
     page, url = F.col("page_id").cast("bigint"), F.col("url").cast("string")
     full = pages.select(page.alias("page_id"), url.alias("url"), payload.alias("payload"), F.sha1(payload).alias("digest"))
     large = F.octet_length("payload") >= LEAST_REVISIT
-    groups = (
-        full.where(large).groupBy("digest").agg(F.max("page_id").alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1 and top is not null")
-    )
-    # A digest may hold a third of all rows: its rows are dealt over SALTS keys, and small payloads over keys that match none.
-    groups = stage(groups.select("top", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), "digest"), "digests").select(
-        "top", F.concat_ws("#", "digest", "salt").alias("key")
-    )
-    row = F.pmod(F.xxhash64("page_id", "url"), F.lit(1 << 16))
-    key = F.when(large, F.concat_ws("#", F.col("digest"), row % SALTS)).otherwise(F.concat_ws("-", F.lit("small"), row))
-    joined = full.withColumn("key", key).join(groups, "key", "left")
+    counts = full.where(large).groupBy("digest").agg(F.max("page_id").alias("top"), F.count(F.lit(1)).alias("n"))
+    groups = stage(counts.where("n > 1 and top is not null"), "digests")
+    share = hot_share(groups.agg(F.coalesce(F.sum("n"), F.lit(0))).scalar())
+    hot = groups.withColumn("share", share).where("n > share").select("digest", F.ceil(F.col("n") / F.col("share")).cast("int").alias("salts"))
+    hot = F.broadcast(stage(hot, "hot"))
+    one = F.coalesce("salts", F.lit(1))
+    spread = groups.join(hot, "digest", "left").select("top", F.explode(F.sequence(F.lit(0), one - 1)).alias("salt"), "digest")
+    spread = spread.select("top", F.concat_ws("#", "digest", "salt").alias("key"))
+    # Small payloads have keys that match none, one for each row, so that none of them is hot.
+    row = F.xxhash64("page_id", "url")
+    keyed = full.join(hot, "digest", "left")
+    keyed = keyed.withColumn("key", F.when(large, F.concat_ws("#", "digest", F.pmod(row, one))).otherwise(F.concat_ws("-", F.lit("small"), row)))
+    joined = keyed.join(spread, "key", "left")
     return joined.select("page_id", "url", "payload", "digest", F.when(F.col("top") != F.col("page_id"), F.col("top")).alias("refers_to"))
 
 
@@ -304,7 +311,13 @@ class Reader:
             i += 1
 
 
-def look_up(wanted: DataFrame, folder: str, parts: list[tuple[str, str, str]]) -> DataFrame:
+def ranges(captures: DataFrame, share: int = SHARE) -> int:
+    """How many tasks read the archives back: one for ``share`` bytes, and no fewer than run at a time."""
+    size = captures.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    return max(captures.sparkSession.sparkContext.defaultParallelism, -(-size // share))
+
+
+def look_up(wanted: DataFrame, folder: str, parts: list[tuple[str, str, str]], tasks: int) -> DataFrame:
     """``(page_id, file, offset, length)`` of the captures of each distinct ``(url, page_id)`` of ``wanted``."""
 
     def rows(batch):
@@ -319,10 +332,10 @@ def look_up(wanted: DataFrame, folder: str, parts: list[tuple[str, str, str]]) -
             yield from found.get(page_id, ())
 
     asked = wanted.select(F.col("url").cast("string").alias("url"), F.col("page_id").cast("bigint").alias("page_id")).distinct()
-    asked = asked.repartitionByRange("url", "page_id").sortWithinPartitions("url", "page_id")
+    asked = asked.repartitionByRange(tasks, "url", "page_id").sortWithinPartitions("url", "page_id")
     found = map_rows(asked, rows, "page_id bigint, file string, offset bigint, length bigint", ["url", "page_id"])
     # Urls that differ may share a key, and then a null id finds the same record from each of them.
-    return found.distinct()
+    return stage(found.distinct(), "places", folder)
 
 
 class Window:
@@ -348,7 +361,7 @@ class Window:
             self.file.close()
 
 
-def fetch(found: DataFrame, folder: str) -> DataFrame:
+def fetch(found: DataFrame, folder: str, tasks: int) -> DataFrame:
     """``(page_id, url, record_type, payload, payload_bytes, payload_digest, refers_to)`` of records, by range reads in order of file and offset."""
 
     def rows(batch):
@@ -360,7 +373,7 @@ def fetch(found: DataFrame, folder: str) -> DataFrame:
         finally:
             window.close()
 
-    ordered = found.repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    ordered = found.repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset")
     schema = "page_id bigint, url string, record_type string, payload binary, payload_bytes bigint, payload_digest string, refers_to bigint"
     return map_rows(ordered, rows, schema, ["file", "offset", "length"])
 
@@ -370,7 +383,8 @@ def round_trip(pages: DataFrame, folder: str | None = None, lines: int = LINES)
     folder = folder or new_folder(pages.sparkSession, "warc")
     captures = write_archives(pages, folder)
     parts = build_index(captures, folder, lines)
-    return fetch(look_up(pages, folder, parts), folder)
+    tasks = ranges(captures)
+    return fetch(look_up(pages, folder, parts, tasks), folder, tasks)
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -50,6 +50,18 @@ def test_look_up_reads_few_blocks(spark, tmp_path):
     assert data.startswith(b"WARC/1.1\r\nWARC-Type: warcinfo")
 
 
+def test_hot_digests_are_dealt_out(spark):
+    big = "<p>same</p>" * 120
+    data = [(i, f"http://h/{i}", big if i % 3 else f"{i} " * 400, "") for i in range(6000)]
+    typed = warc._typed(spark.createDataFrame(data, SCHEMA))
+    assert typed.where("refers_to is not null").count() == 3999 and typed.where("refers_to <> 5999").count() == 0
+
+
+def test_readers_follow_the_bytes(spark):
+    captures = spark.createDataFrame([(40 << 20,)] * 50, "length bigint")
+    assert warc.ranges(captures, 100 << 20) == 20 and warc.ranges(captures.limit(0)) == spark.sparkContext.defaultParallelism
+
+
 def test_keys():
     assert warc.surt("http://Blog.Example.com:80/a?b#c") == "com,example,blog)/a?b"
     assert warc.surt("https://example.com:8443") == "com,example:8443)/"

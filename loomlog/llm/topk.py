@@ -1,14 +1,15 @@
 """Exact top-k inner products by Fagin's threshold algorithm.
 
-Each block of vectors keeps one sorted list per dimension. For a query, lists of positive weights are read
-from the top and lists of negative weights from the bottom, in growing strides; rows met on the way are
-scored exactly (random access), and the sum of weight times frontier over all dimensions bounds every row
+Each block of vectors keeps one sorted list per dimension; blocks and lists are made once and written to the shared folder. For a
+query, lists of positive weights are read from the top and lists of negative weights from the bottom, in growing strides; rows met on
+the way are scored exactly (random access), and the sum of weight times frontier over all dimensions bounds every row
 not met yet. A query stops in a block as soon as that bound is below its k-th best score so far, which
 is carried from block to block, so later blocks often end before their first read. All queries of a
-block go together, as matrix products.
+pass go together, as matrix products.
 
-Queries are broadcast in blocks of at most ``query_block`` rows; beyond that there are more passes, not larger
-broadcasts. Each task returns k rows a query at most, and a ranked window merges them.
+A pass takes at most ``query_block`` queries: they are broadcast, their answers are written, and the broadcast is destroyed before the
+next pass begins, so neither the driver nor a task holds more however many queries there are. Each task returns k rows a query at
+most, and a ranked window merges them.
 
 Components become floor(1024 * x) exactly. Products run in doubles only where every partial sum is a
 whole number below 2^53, otherwise in unbounded integers, cut to the range of a long at the end.
@@ -16,7 +17,9 @@ whole number below 2^53, otherwise in unbounded integers, cut to the range of a
 Defined cases: vectors that are null, or hold a null, a non-finite component or one whose whole number is beyond a long, take no
 part, nor do rows with a null id; only vectors of a query's own length are its candidates; rows with
 the query's id are never its candidates; each of several rows with one query id is a query of its own, and the best of their joint
-answers are returned for the id; equal scores rank by smaller id; rows that are equal in id and vector count once for a query.
+answers are returned for the id; equal scores rank by smaller id; rows that are equal in id and vector count once for a query; vectors of any
+length are whole, the longer the fewer go in a block; without vectors or queries the result is empty; columns besides id and vector are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -35,6 +38,7 @@ K = 10
 SCALE = 1024
 QUERY_BLOCK = 8192
 BLOCK = 8192
+BLOCK_BYTES = 4 << 20
 FIRST = 16
 LONG = (-(1 << 63), (1 << 63) - 1)
 
@@ -80,22 +84,28 @@ class Best:
             self.least[q] = float(-self.rows[q][-1][0])
 
 
-def threshold_search(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, best: Best, which: np.ndarray) -> int:
-    """Puts the block's rows that belong among each query's k best into ``best``; returns how many rows were scored.
+def sorted_block(ids: np.ndarray, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows in order of id, and for each dimension the rows' places in order of their component."""
+    order = np.argsort(ids, kind="stable")
+    return ids[order], vectors[order], np.argsort(vectors[order], axis=0, kind="stable")
+
+
+def threshold_search(
+    query_ids: np.ndarray, queries: np.ndarray, block: tuple[np.ndarray, np.ndarray, np.ndarray], best: Best, which: np.ndarray
+) -> int:
+    """Puts the rows of a ``sorted_block`` that belong among each query's k best into ``best``; returns how many rows were scored.
 
     ``which`` are the queries' places in ``best``.
     """
+    ids, vectors, lists = block
     n, d = vectors.shape
     if not n or not len(queries):
         return 0
-    order = np.argsort(ids, kind="stable")
-    ids, vectors = ids[order], vectors[order]
     largest = float(np.abs(queries).max(initial=0)) * float(np.abs(vectors).max(initial=0)) * max(d, 1)
     exact = largest < 2.0**52
     q_all, v_all = (queries, vectors) if exact else (_objects(queries), _objects(vectors))
     # Bounds may lose the last bits of a sum; this slack keeps them bounds.
     slack = 0.0 if exact else largest * 1e-12 + 1
-    lists = np.argsort(vectors, axis=0, kind="stable")
     ordered = np.take_along_axis(vectors, lists, axis=0)
     up, down = np.maximum(queries, 0), np.minimum(queries, 0)
     active = np.arange(len(queries))
@@ -163,18 +173,55 @@ def _once(picked: np.ndarray, names: np.ndarray, row: np.ndarray) -> np.ndarray:
     return picked[np.r_[True, (name[1:] != name[:-1]) | (score[1:] != score[:-1])]]
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Blocks of at least ``size`` rows (but for the last), one length of vector each."""
+def _rows(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Runs of at most ``size`` rows, and of about ``BLOCK_BYTES``, with vectors of one length each."""
     held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+
+    def cut(n: int, all_of_it: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        most = max(1, min(size, BLOCK_BYTES // (8 * n or 1)))
+        kept = held.pop(n)
+        ids, vectors = np.concatenate([i for i, _ in kept]), np.concatenate([v for _, v in kept])
+        stop = len(ids) if all_of_it else len(ids) - len(ids) % most
+        for at in range(0, stop, most):
+            yield ids[at : min(at + most, stop)], vectors[at : min(at + most, stop)]
+        if stop < len(ids):
+            held[n] = [(ids[stop:], vectors[stop:])]
+
     for batch in batches:
         for ids, vectors in whole(batch):
-            kept = held.setdefault(vectors.shape[1], [])
-            kept.append((ids, vectors))
-            if sum(len(i) for i, _ in kept) >= size:
-                del held[vectors.shape[1]]
-                yield np.concatenate([i for i, _ in kept]), np.concatenate([v for _, v in kept])
-    for kept in held.values():
-        yield np.concatenate([i for i, _ in kept]), np.concatenate([v for _, v in kept])
+            n = vectors.shape[1]
+            held.setdefault(n, []).append((ids, vectors))
+            if sum(len(i) for i, _ in held[n]) >= min(size, BLOCK_BYTES // (8 * n or 1)):
+                yield from cut(n, False)
+    for n in list(held):
+        yield from cut(n, True)
+
+
+_BLOCK = "width int, ids binary, vectors binary, whole boolean, lists binary"
+
+
+def make_blocks(vectors: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Blocks of ``(id, vector)`` rows with their sorted lists, a row each: components as 32-bit numbers where they fit, else as doubles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, found in _rows(batches, block):
+            ids, found, lists = sorted_block(ids, found)
+            small = bool(np.abs(found).max(initial=0) < 2**31)
+            row = [found.shape[1], ids.astype("<i8").tobytes(), found.astype("<i4" if small else "<f8").tobytes(), small, lists.astype("<u2" if len(ids) <= 1 << 16 else "<u4").tobytes()]
+            types = [pa.int32(), pa.binary(), pa.binary(), pa.bool_(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types)], names=["width", "ids", "vectors", "whole", "lists"])
+
+    return vectors.mapInArrow(run, _BLOCK)
+
+
+def _read_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            width, ids, vectors, small, lists = (batch.column(k)[i] for k in range(5))
+            ids = np.frombuffer(ids.as_buffer(), "<i8")
+            shape = (len(ids), width.as_py())
+            vectors = np.frombuffer(vectors.as_buffer(), "<i4" if small.as_py() else "<f8").astype(np.float64).reshape(shape)
+            yield ids, vectors, np.frombuffer(lists.as_buffer(), "<u2" if len(ids) <= 1 << 16 else "<u4").astype(np.int64).reshape(shape)
 
 
 def top_k(
@@ -187,20 +234,21 @@ def top_k(
     out = f"query_id bigint, {id_col} bigint, score bigint"
     pick = lambda df: df.select(F.col(id_col).cast("bigint"), F.col(vector_col).cast("array<double>"))
     wanted = stage(pick(queries).where(f"`{id_col}` is not null and `{vector_col}` is not null").distinct(), "queries", folder)
-    # Ranges of ids, so that every row is in one block; the different vectors of one id stay together. The quantiles may
-    # be off by a quarter of a range at either end, and ranges are two thirds of a block.
+    blocks = stage(make_blocks(pick(vectors), block), "blocks", folder)
+    # Ranges of ids, so that every row is in one pass; the different vectors of one id stay together. The quantiles may
+    # be off by a quarter of a range at either end, and ranges are two thirds of a pass.
     passes = max(1, -(-3 * wanted.count() // (2 * query_block)))
     edges = wanted.approxQuantile(id_col, [i / passes for i in range(1, passes)], 0.25 / passes) if passes > 1 else []
     edges = sorted(set(edges))
-    source = pick(vectors)
-    parts = None
-    for low, high in zip([None, *edges], [*edges, None]):
+    ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc(id_col))
+    answers = spark.createDataFrame([], f"query_id bigint, rank int, {id_col} bigint, score bigint")
+    written = False
+    for i, (low, high) in enumerate(zip([None, *edges], [*edges, None])):
         rows = wanted
         rows = rows if low is None else rows.where(F.col(id_col) >= low)
         rows = rows if high is None else rows.where(F.col(id_col) < high)
         groups: dict[int, tuple[list, list]] = {}
-        table_ = rows.toArrow().combine_chunks()
-        for batch in table_.to_batches():
+        for batch in rows.toArrow().combine_chunks().to_batches():
             for ids, found in whole(batch):
                 kept = groups.setdefault(found.shape[1], ([], []))
                 kept[0].append(ids)
@@ -208,17 +256,16 @@ def top_k(
         asked = {n: (np.concatenate(i), np.concatenate(v)) for n, (i, v) in groups.items()}
         if not asked:
             continue
-        part = source.mapInArrow(_searcher(spark.sparkContext.broadcast(asked), k, block, id_col), out)
-        parts = part if parts is None else parts.unionByName(part)
-    if parts is None:
-        parts = spark.createDataFrame([], out)
-    ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc(id_col))
-    return (
-        parts.distinct().withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).select("query_id", "rank", id_col, "score")
-    )
+        shared = spark.sparkContext.broadcast(asked)
+        found = blocks.mapInArrow(_searcher(shared, k, id_col), out).distinct()
+        found = found.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
+        found.select("query_id", "rank", id_col, "score").write.parquet(f"{folder}/answers/pass={i}")
+        shared.destroy()
+        written = True
+    return spark.read.schema(answers.schema).parquet(f"{folder}/answers").select(*answers.columns) if written else answers
 
 
-def _searcher(shared, k: int, block: int, id_col: str):
+def _searcher(shared, k: int, id_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked = shared.value
         starts, at = {}, 0
@@ -227,10 +274,11 @@ def _searcher(shared, k: int, block: int, id_col: str):
             at += len(ids)
         best = Best(at, k)
         names = np.concatenate([ids for ids, _ in asked.values()])
-        for ids, vectors in _blocks(batches, block):
-            if vectors.shape[1] in asked:
-                q_ids, q = asked[vectors.shape[1]]
-                threshold_search(q_ids, q, ids, vectors, best, np.arange(len(q_ids)) + starts[vectors.shape[1]])
+        for block in _read_blocks(batches):
+            width = block[1].shape[1]
+            if width in asked:
+                q_ids, q = asked[width]
+                threshold_search(q_ids, q, block, best, np.arange(len(q_ids)) + starts[width])
         found = [(int(names[q]), i, -s) for q, rows in enumerate(best.rows) for s, i in rows]
         for start in range(0, len(found), 65536):
             a, b, c = zip(*found[start : start + 65536])

@@ -68,10 +68,43 @@ def test_the_bound_saves_reads():
     ids = np.arange(len(vectors))
     queries = np.array([[500.0, 700.0]])
     best = topk.Best(1, 1)
-    scored = topk.threshold_search(np.array([-1]), queries, ids, vectors, best, np.arange(1))
+    scored = topk.threshold_search(np.array([-1]), queries, topk.sorted_block(ids, vectors), best, np.arange(1))
     assert best.rows[0][0][1] == 0 and scored < len(vectors) / 50
 
 
+def test_blocks_are_bounded_and_whole(spark):
+    rng = random.Random(1)
+    data = [(i, [rng.uniform(-1, 1) for _ in range(n)]) for n in (3, 20_000) for i in range(60)] + [(900, [1e300] * 3)]
+    frame = spark.createDataFrame(data, "vec_id bigint, embedding array<double>").coalesce(1)
+    blocks = topk.make_blocks(frame, block=25).collect()
+    sizes = sorted((b.width, len(b.ids) // 8) for b in blocks)
+    assert [n for w, n in sizes if w == 3] == [10, 25, 25] and all(w * n * 8 <= topk.BLOCK_BYTES for w, n in sizes) and sum(n for w, n in sizes if w > 3) == 60
+
+
+def test_the_driver_holds_one_pass(spark, monkeypatch):
+    """Queries reach the driver a pass at a time, and each pass's broadcast is gone before the next."""
+    rng = random.Random(9)
+    data = [(i, [rng.uniform(-1, 1) for _ in range(4)], "", 0) for i in range(400)]
+    frame = spark.createDataFrame(data, SCHEMA)
+    alive, sizes = set(), []
+    real = type(spark.sparkContext).broadcast
+
+    def counted(self, value):
+        out = real(self, value)
+        assert not alive
+        alive.add(out.id if hasattr(out, "id") else id(out))
+        sizes.append(sum(len(ids) for ids, _ in value.values()))
+        destroy = out.destroy
+        out.destroy = lambda *a, **kw: (alive.clear(), destroy(*a, **kw))
+        return out
+
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", counted)
+    got = topk.top_k(frame, frame, query_block=60).count()
+    assert got == 4000 and len(sizes) >= 10 and max(sizes) <= 60 and sum(sizes) == 400
+
+
 def test_empty(spark):
     frame = spark.createDataFrame([], SCHEMA)
     assert topk.top_k(frame, frame).count() == 0
+    one = spark.createDataFrame([(1, [1.0], "", 0)], SCHEMA)
+    assert topk.top_k(frame, one).count() == 0 and topk.top_k(one, frame).count() == 0

@@ -6,16 +6,18 @@ mean that the sample predicts the text. The cost of a language is phrases times
 length, an estimate of the text's code length given the sample, and the cheapest language wins.
 
 Letters are lower-cased and spelled in UTF-8, so any script fits; each run of anything else is one space. The
-automata become flat transition tables, and all windows of a batch walk them in step, byte by byte. A text is cut into windows of ``window`` bytes, every one of which is
-parsed, so one long text costs no more than many short ones.
+automata become flat transition tables, and all windows of a batch walk them in step, byte by byte. A text is cut into windows of
+``window`` bytes, every one of which is parsed, so one long text costs no more than many short ones.
 
-Bounds of the model, all parameters: ``languages`` (most frequent first), ``rows`` labelled rows a language,
-``chars`` characters a language. Rows are drawn by a hash of their id over the whole table.
+Every language that has a label is learned. The model is bounded by parameters: at most ``rows`` labelled rows a language, ``chars``
+characters a language, and ``total`` characters of all languages together, which they share evenly where ``chars`` each would be more. Rows are
+drawn by a hash of their id over the whole table, and of a long text a stretch at a place drawn by the hash as well.
 
 Defined cases: null text or text without a letter is ``und`` with score 0; unknown letters are
 phrases of their own; equal costs go to the language that sorts first; without any learned language
-every text is ``und``; a null id is not held out and not learned from; repeated rows are judged alike;
-extra columns are kept by ``predict`` under their own names.
+every text is ``und``; a null id is not held out and not learned from; repeated rows are judged alike; texts of any length are parsed
+whole; an empty table gives an empty result and an empty model; extra columns are kept, and the columns that ``predict`` adds replace those of
+their names. ``known_language`` adds none, so a table's own ``lang_pred`` and ``score`` stay.
 """
 
 from __future__ import annotations
@@ -32,9 +34,9 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from .common import table
 
 UND = "und"
-LANGUAGES = 256
 ROWS = 48
 CHARS = 24_000
+TOTAL = 16 * CHARS
 WINDOW = 512
 LANES = 4096
 
@@ -223,21 +225,25 @@ def held_out(id_col: str):
 
 
 def fit(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-    languages: int = LANGUAGES, rows: int = ROWS, chars: int = CHARS,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = ROWS, chars: int = CHARS, total: int = TOTAL
 ) -> dict[str, str]:
-    """The sample: at most ``chars`` characters for each language, from at most ``rows`` labelled rows of it."""
-    known = docs.where(~held_out(id_col) & F.col(id_col).isNotNull() & F.col(lang_col).isNotNull())
-    counts = known.groupBy(F.col(lang_col).alias("_lang")).count().orderBy(F.desc("count"), "_lang").limit(languages)
+    """The sample: for each language at most ``chars`` characters, from at most ``rows`` labelled rows of it; of all at most ``total``."""
+    lang, key, text = (F.col(f"`{c}`") for c in (lang_col, id_col, text_col))
+    known = docs.where(~held_out(id_col) & key.isNotNull() & lang.isNotNull() & text.isNotNull())
+    known = known.select(lang.alias("_lang"), key.cast("string").alias("_id"), text.cast("string").alias("_text"))
+    counts = known.groupBy("_lang").count()
+    languages = counts.count()
+    chars = max(1, min(chars, total // max(1, languages)))
+    each = max(1, chars // 8)
     share = counts.select("_lang", (F.lit(8.0 * rows) / F.col("count")).alias("_share"))
-    draw = F.xxhash64(F.col(id_col).cast("string"), F.lit("sample"))
+    draw, at = F.xxhash64("_id", F.lit("sample")), F.xxhash64("_id", F.lit("place"))
+    stretch = F.substring("_text", 1 + F.pmod(at, F.greatest(F.lit(1), F.length("_text") - (each - 1))).cast("int"), F.lit(each))
     order = Window.partitionBy("_lang").orderBy("_draw", "_text")
-    each = max(1, chars // 8)
     drawn = (
-        known.where(F.col(text_col).isNotNull())
-        .select(F.col(lang_col).alias("_lang"), draw.alias("_draw"), F.substring(text_col, 1, each).alias("_text"))
-        .join(F.broadcast(share), "_lang")
+        known.withColumn("_draw", draw)
+        .join(share, "_lang")
         .where(F.pmod("_draw", F.lit(1 << 20)) < F.col("_share") * (1 << 20))
+        .select("_lang", "_draw", stretch.alias("_text"))
         .withColumn("_n", F.row_number().over(order))
         .where(F.col("_n") <= rows)
         .select("_lang", "_n", "_text")
@@ -249,12 +255,12 @@ def fit(
     return out
 
 
-def predict(docs: DataFrame, samples: dict[str, str], text_col: str = "text") -> DataFrame:
-    """``docs`` with two columns more, ``lang_pred`` and ``score``; columns of these names are replaced."""
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
+def predict(docs: DataFrame, samples: dict[str, str], text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``docs`` with two columns more, the predicted language and its score; columns of these ``names`` are replaced."""
+    kept = [c for c in docs.columns if c not in names]
     frame = docs.select(*[F.col(f"`{c}`") for c in kept])
     where = kept.index(text_col)
-    schema = StructType([*frame.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    schema = StructType([*frame.schema.fields, StructField(names[0], StringType()), StructField(names[1], DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast(samples)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,7 +270,7 @@ def predict(docs: DataFrame, samples: dict[str, str], text_col: str = "text") ->
                 part = batch.slice(start, 1024)
                 langs, scores = model.predict(part.column(where).to_pylist())
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*part.schema.names, "lang_pred", "score"]
+                    [*part.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*part.schema.names, *names]
                 )
 
     return frame.mapInArrow(run, schema)
@@ -277,5 +283,6 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def known_language(docs: DataFrame) -> DataFrame:
-    """The documents that have a language."""
-    return predict(docs, fit(docs)).where(F.col("lang_pred") != UND).select(*docs.columns)
+    """The documents that have a language, in their own columns."""
+    names = ("_loomlog_lang", "_loomlog_score")
+    return predict(docs, fit(docs), names=names).where(F.col(names[0]) != UND).drop(*names)

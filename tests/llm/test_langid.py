@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -57,6 +58,49 @@ def test_predictions(spark):
     assert all(0 <= r.score <= 1 for r in out)
     kept = langid.known_language(docs)
     assert kept.columns == docs.columns and kept.count() == len(data) + len(extra) - 3
+    key = lambda r: (str(r[0]), str(r[1]))
+    assert sorted(map(tuple, kept.collect()), key=key) == sorted((r for r in data + extra if r[0] not in (900, 901, 902)), key=key)
+
+
+def brute(text, samples):
+    """Language and score by phrases counted one after the other in each window."""
+    spell = lambda t: langid.spelled(langid.letters_of(t)).tobytes()
+    codes = spell(text or "")
+    if not codes.strip(b"\0") or not samples:
+        return "und", 0.0
+    costs = []
+    for lang in sorted(samples):
+        known = spell(samples[lang])
+        n = sum(parse(codes[i : i + langid.WINDOW], known) for i in range(0, len(codes), langid.WINDOW))
+        costs.append((n * math.log2(len(known) + 1), lang))
+    best = min(costs)
+    others = [c for c, lang in costs if lang != best[1]]
+    return best[1], 1 - best[0] / min(others) if others and min(others) > 0 else 1.0
+
+
+def test_predictions_match_brute_force(spark):
+    rng = random.Random(8)
+    data = [(r[0], r[1][: rng.choice([1, 5, 40, 400])], r[2], "") for r in rows()[:150]]
+    data += [(500 + i, "".join(rng.choices("abché ,ü天", k=rng.choice([1, 3, 700, 3000]))), rng.choice(["mix", None]), "") for i in range(40)]
+    data += [(600, None, "en", ""), (601, " 1 ", "en", ""), (None, "the", "en", "")]
+    docs = spark.createDataFrame(data, SCHEMA)
+    samples = langid.fit(docs)
+    got = sorted((str(r.doc_id), r.text, r.lang_pred, round(r.score, 9)) for r in langid.predict(docs, samples).collect() if r.text)
+    assert got == sorted((str(k), t, lang, round(score, 9)) for k, t, *_ in data if t for lang, score in [brute(t, samples)])
+    assert brute(None, samples) == ("und", 0.0) == brute("1", {})
+
+
+def test_every_language_is_learned_within_the_total(spark):
+    letters = [chr(c) for c in range(0x4E00, 0x4E00 + 1200)]
+    data = [(i, letters[i // 2] * 60, f"lang{i // 2:04d}", "") for i in range(2400)]
+    samples = langid.fit(spark.createDataFrame(data, SCHEMA))
+    assert len(samples) > 1100 and sum(map(len, samples.values())) <= langid.TOTAL and all(samples.values())
+
+
+def test_long_texts_are_sampled_over_their_length(spark):
+    text = "a" * 50_000 + "b" * 50_000
+    samples = langid.fit(spark.createDataFrame([(i, text, "x", "") for i in range(200)], SCHEMA))
+    assert 0.2 < samples["x"].count("b") / len(samples["x"]) < 0.8
 
 
 def test_empty_and_unlabelled(spark):

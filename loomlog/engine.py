@@ -53,7 +53,8 @@ class Engine:
 
     @classmethod
     def from_store(cls, spark: SparkSession, root: str, blocks: Sequence[int] | None = None, **kw) -> Engine:
-        return cls(store.load(spark, root, blocks, block=kw.get("block", "block_id")), store.load_fields(spark, root), **kw)
+        block = kw.get("block", "block_id")
+        return cls(store.load(spark, root, blocks, block=block), store.load_fields(spark, root, block), **kw)
 
     def save(self, root: str, **kw) -> None:
         store.save(self.df, self.resolver.fields, root, self.block, **kw)

@@ -9,11 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions.templates import log_template, log_variables, timestamp_template, timestamp_variables
 from ..plans.resolver import TEXT, Field, Resolver
+from .flatten import value_at
 
 
 def field_exists(spark: SparkSession, r: Resolver, asked: Sequence[tuple[str, str | None]]) -> DataFrame:
@@ -30,7 +32,7 @@ def key_exists(df: DataFrame, column: str, keys: Sequence[str]) -> DataFrame:
     """Whether any record of a JSON text column has the key; an explicit null counts as there."""
     v = df.select(F.try_parse_json(F.col(column)).alias("v"))
     made = [
-        F.coalesce(F.max(F.expr(f"try_variant_get(v, '$[\"{k}\"]', 'variant') is not null")), F.lit(False)).alias(f"e{i}") for i, k in enumerate(keys)
+        F.coalesce(F.max(value_at(F.col("v"), (k,)).isNotNull()), F.lit(False)).alias(f"e{i}") for i, k in enumerate(keys)
     ]
     pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("name"), F.col(f"e{i}").alias("exists")) for i, k in enumerate(keys)]))
     return v.agg(*made).select(pairs.alias("p")).select("p.*")
@@ -67,17 +69,26 @@ def lookup(df: DataFrame, r: Resolver, field: str, value: str) -> DataFrame:
     return hit.agg((F.count("one") > 0).alias("found"))
 
 
-def numbered(df: DataFrame, column: str, name: str = "code") -> DataFrame:
-    """Rows numbered from 1 in order of a column, over many partitions: the driver sees one count a partition."""
-    ordered = df.repartitionByRange(column).sortWithinPartitions(column)
-    ordered = ordered.withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)).persist()
-    sizes = {r["_p"]: r["count"] for r in ordered.groupBy("_p").count().collect()}
+def numbered(df: DataFrame, column: str, name: str = "code", pieces: int = 64) -> DataFrame:
+    """Rows with distinct values numbered from 1 in order of a column, in ``pieces`` windows.
+
+    The pieces begin at values of the column, the first ones by hash, so a row's piece and number follow from the values alone and are the same
+    when a lost task runs again. The driver sees the bounds, long texts cut, and one count a piece.
+    """
+    value = F.col(column)
+    kind = df.schema[column].dataType
+    bound = F.substring(value, 1, 64) if isinstance(kind, StringType) else value
+    drawn = df.where(value.isNotNull()).select(bound.alias("b"), F.xxhash64(value).alias("h")).orderBy("h", "b").limit(pieces - 1)
+    bounds = F.array(*[F.lit(r["b"]).cast(kind) for r in drawn.select("b").distinct().collect()])
+    placed = df.withColumn("_p", F.coalesce(F.size(F.filter(bounds, lambda b: b <= value)), F.lit(0)))
+    sizes = {r["_p"]: r["count"] for r in placed.groupBy("_p").count().collect()}
     before, total = [], 0
     for p in range(max(sizes, default=-1) + 1):
         before.append(F.lit(total).cast("bigint"))
         total += sizes.get(p, 0)
     start = F.get(F.array(*before), F.col("_p")) if before else F.lit(0).cast("bigint")
-    return ordered.select(*df.columns, (start + F.col("_i") + 1).alias(name))
+    inside = F.row_number().over(Window.partitionBy("_p").orderBy(value.asc_nulls_first()))
+    return placed.select(*df.columns, (start + inside).alias(name))
 
 
 def dictionary(df: DataFrame, r: Resolver, field: str) -> DataFrame:
@@ -147,8 +158,6 @@ TYPE_ORDER = {"string": 0, "int": 1, "double": 1, "bool": 1, "logtype": 2, "time
 
 def field_order(stats: DataFrame) -> DataFrame:
     """Fields in groups: A frequent with one value, B frequent, C rare or nearly unique; with the rank within each group."""
-    from pyspark.sql import Window
-
     kind = (
         F.when(F.col("uniqueness") >= UNIQUE, "C")
         .when((F.col("frequency") > FREQUENT) & (F.col("distinct_values") == 1), "A")
@@ -168,8 +177,6 @@ def field_order(stats: DataFrame) -> DataFrame:
 
 def type_stats(stats: DataFrame) -> DataFrame:
     """Per type: fields, occurrences and distinct values, with the share of all occurrences in percent."""
-    from pyspark.sql import Window
-
     sums = stats.groupBy("type").agg(
         F.count(F.lit(1)).alias("fields"), F.sum("occurrences").alias("occurrences"), F.sum("distinct_values").alias("distinct_values")
     )

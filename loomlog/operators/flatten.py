@@ -1,9 +1,11 @@
 """JSON text to typed columns.
 
 Objects are flattened to leaves named by dots, nested ones with a leading ``~`` that tells them from literal
-dotted keys. A leaf name with several types becomes a column for each type. Arrays stay JSON text, or become columns
-of their elements with ``structured``. Discovery explodes one level of objects at a time until no object is left; only the
-list of (path, type) reaches the driver.
+dotted keys. A leaf name with several types becomes a column for each type, and columns whose names Spark could not tell apart get a
+number; the field list keeps the names as they are. Arrays stay JSON text, or become columns
+of their elements with ``structured``. Discovery parses a record once for every ``LEVELS`` levels of nesting; only the
+list of (path, type) reaches the driver. Two bounds keep that list and the plan small without losing a value: an object below ``depth`` levels, and
+one with more than ``wide`` keys over all records (keyed by ids, say), stays JSON text of type ``object``.
 """
 
 from __future__ import annotations
@@ -15,9 +17,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.detect import string_type
-from ..plans.resolver import Field
+from ..plans.resolver import Field, physical_names, quoted
 
 DEPTH = 32
+WIDE = 2000
+LEVELS = 4
 
 
 @dataclass(frozen=True)
@@ -36,28 +40,32 @@ def parse_json(col: Column) -> Column:
 CLASSES = {"BIGINT": "int", "DECIMAL": "double", "DOUBLE": "double", "FLOAT": "double", "BOOLEAN": "bool", "VOID": "null", "ARRAY": "array", "OBJECT": "object", "STRING": "string"}
 
 
-def _is(item: str, kind: str) -> Column:
-    return F.expr(f"schema_of_variant({item})").rlike(f"^(?:{'|'.join(h for h, k in CLASSES.items() if k == kind)})")
+def _head(v: Column) -> Column:
+    return F.substring_index(F.substring_index(F.call_function("schema_of_variant", v), "<", 1), "(", 1)
 
 
-def _counted(level: DataFrame, timestamp_fields: Iterable[str]) -> list:
-    """(path, type, count) of a level's values."""
-    head = F.substring_index(F.substring_index(F.expr("schema_of_variant(v)"), "<", 1), "(", 1)
-    text = F.expr("try_variant_get(v, '$', 'string')")
+def _is(item: Column, kind: str) -> Column:
+    return F.call_function("schema_of_variant", item).rlike(f"^(?:{'|'.join(h for h, k in CLASSES.items() if k == kind)})")
+
+
+def _typed(level: DataFrame, timestamp_fields: Iterable[str]) -> DataFrame:
+    """``(path, type)`` of a level's values."""
+    text = F.try_variant_get("v", "$", "string")
     detected = string_type(text)
     names = list(timestamp_fields)
     if names:
         leaf = F.concat(F.when(F.size("path") > 1, "~").otherwise(""), F.array_join("path", "."))
         detected = F.when(leaf.isin(*names), "timestamp").otherwise(detected)
-    typed = level.withColumn("head", head).select("path", F.when(F.col("head") == "STRING", detected).otherwise(F.col("head")).alias("type"))
-    found: dict[tuple, int] = {}
-    for r in typed.groupBy("path", "type").count().collect():
-        key = tuple(r["path"]), CLASSES.get(r["type"], r["type"].lower())
-        found[key] = found.get(key, 0) + r["count"]
-    return [(path, kind, n) for (path, kind), n in found.items()]
+    return level.select("path", F.when(F.col("head") == "STRING", detected).otherwise(F.col("head")).alias("type"))
+
+
+#: The name of a record that is one field because it has too many keys.
+RECORD = "_record"
 
 
 def name_of(path: tuple[str, ...]) -> str:
+    if not path:
+        return RECORD
     out = path[0]
     for part in path[1:]:
         out += part if part.startswith("[") else f".{part}"
@@ -65,61 +73,124 @@ def name_of(path: tuple[str, ...]) -> str:
     return f"~{out}" if nested else out
 
 
-def discover(frame: DataFrame, column: str, timestamp_fields: Iterable[str] = (), structured: bool = False, depth: int = DEPTH) -> list[Leaf]:
+def discover(
+    frame: DataFrame, column: str, timestamp_fields: Iterable[str] = (), structured: bool = False, depth: int = DEPTH, wide: int = WIDE
+) -> list[Leaf]:
     """All leaves of a VARIANT column, sorted by name and type."""
-    level = frame.select(F.array().cast("array<string>").alias("path"), F.col(column).alias("v"))
-    leaves: list[Leaf] = []
-    for step in range(depth):
-        # Values without members give no rows. What follows an explode cannot be pushed below it, so nothing is parsed twice.
-        spread = level.lateralJoin(_spread("v"))
-        key = F.col("key")
-        if structured and step:
-            key = F.coalesce(key, F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]")))
+    whole: set[tuple[str, ...]] = set()  # objects that stay text
+    while True:
+        found, crowded = _explore(frame, column, timestamp_fields, structured, depth, wide, whole)
+        if not crowded:
+            break
+        whole |= crowded
+    counts: dict[tuple, int] = {}
+    for path, kind, n in found:
+        key = path, CLASSES.get(kind, kind.lower())
+        counts[key] = counts.get(key, 0) + n
+    return sorted((Leaf(path, name_of(path), kind, n) for (path, kind), n in counts.items()), key=lambda x: (x.name, x.type, x.path))
+
+
+_KEY = "\x1f"
+
+
+def _explore(frame: DataFrame, column: str, timestamp_fields, structured: bool, depth: int, wide: int, whole: set) -> tuple[list, set]:
+    """(path, type, count) of all leaves, and the objects with more than ``wide`` keys."""
+    into = ("OBJECT", "ARRAY") if structured else ("OBJECT",)
+    level = frame.select(F.array().cast("array<string>").alias("path"), F.col(column).alias("v")).withColumn("head", _head(F.col("v")))
+    # A record is an object; its own arrays, where it is none, are not explored.
+    level = level.where("head = 'OBJECT'")
+    found: list = []
+    at = 0
+    while True:
+        steps = min(LEVELS, depth - at)
+        for _ in range(steps):
+            level = _descend(level, into, whole)
+        at += steps
+        # What is still to be opened is an object deeper than these levels; leaves were passed on as they were.
+        kinds = _typed(level.where("head is not null"), timestamp_fields).groupBy("path", "type").count()
+        rows = kinds.limit(wide * 8 + 1).collect()
+        if len(rows) > wide * 8:
+            steps = F.explode(F.transform(F.sequence(F.lit(1), F.size("path")), lambda i: F.struct(F.slice("path", 1, i - 1).alias("parent"), F.get("path", i - 1).alias("key"))))
+            members = kinds.select("path").distinct().select(steps.alias("s")).select("s.*").distinct().groupBy("parent").count()
+            crowded = _outermost({tuple(r["parent"]) for r in members.where(F.col("count") > wide).collect()}) - whole
         else:
-            spread = spread.where("key is not null")
-        level = spread.select(F.concat("path", F.array(key)).alias("path"), F.col("value").alias("v"))
+            members: dict[tuple, set] = {}
+            for r in rows:
+                for i, key in enumerate(r["path"]):
+                    members.setdefault(tuple(r["path"][:i]), set()).add(key)
+            crowded = _outermost({parent for parent, keys in members.items() if len(keys) > wide}) - whole
+        if crowded:
+            return [], crowded
+        if len(rows) > wide * 8:
+            rows = kinds.collect()  # many fields, but no object has more than ``wide`` of them
         deeper = False
-        for path, kind, n in _counted(level, timestamp_fields):
-            if kind == "object" or structured and kind == "array":
+        for r in rows:
+            path = tuple(r["path"])
+            if r["type"] in into and path not in whole and at < depth:
                 deeper = True
             else:
-                leaves.append(Leaf(path, name_of(path), kind, n))
+                found.append((path, r["type"], r["count"]))
         if not deeper:
-            break
-    else:
-        raise ValueError(f"objects are nested more than {depth} deep")
-    return sorted(leaves, key=lambda x: (x.name, x.type))
+            return found, set()
+        level = level.where(F.col("head").isin(*into) & ~_among(whole))
+
+
+def _outermost(paths: set[tuple[str, ...]]) -> set[tuple[str, ...]]:
+    return {p for p in paths if not any(p[:i] in paths for i in range(len(p)))}
 
 
-def _spread(v: str):
-    from pyspark.sql import SparkSession
+def _among(paths: set) -> Column:
+    return F.array_join("path", _KEY).isin(*[_KEY.join(p) for p in paths]) if paths else F.lit(False)
 
-    return SparkSession.active().tvf.variant_explode(F.col(v).outer())
+
+def _descend(level: DataFrame, into: tuple[str, ...], whole: set) -> DataFrame:
+    """Objects give way to their members, everything else stays; objects without members are dropped.
+
+    What follows an explode cannot be pushed below it, so nothing is parsed twice.
+    """
+    opened = F.col("head").isin(*into) & ~_among(whole)
+    spread = level.withColumn("o", F.when(opened, F.col("v"))).lateralJoin(level.sparkSession.tvf.variant_explode_outer(F.col("o").outer()))
+    key = F.coalesce("key", F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]")))
+    member = key.isNotNull()
+    spread = spread.where(F.col("o").isNull() | member).select(
+        F.when(member, F.concat("path", F.array(key))).otherwise(F.col("path")).alias("path"),
+        F.when(member, F.col("value")).otherwise(F.col("v")).alias("v"),
+        F.when(~member, F.col("head")).alias("head"),
+    )
+    return spread.withColumn("head", F.coalesce("head", _head(F.col("v"))))
 
 
 _SPARK = {"int": "bigint", "double": "double", "bool": "boolean"}
 
 
-def _path(path: tuple[str, ...]) -> str:
-    out = "$"
+def value_at(source: Column, path: Iterable[str], kind: str = "variant") -> Column:
+    """The value at a path of keys and ``[i]``, cast to ``kind``; null where it is missing or cannot be cast."""
+    steps, at = "$", source
     for part in path:
-        out += part if part.startswith("[") else "[" + '"' + part.replace("\\", "\\\\").replace('"', '\\"') + '"' + "]"
-    return out
+        if part.startswith("["):
+            steps += part
+        elif "'" not in part:
+            steps += f"['{part}']"
+        elif '"' not in part:
+            steps += f'["{part}"]'
+        else:  # a path cannot spell a key with both kinds of quotes
+            at = F.try_variant_get(at, steps, "map<string,variant>").getItem(part)
+            steps = "$"
+    return F.try_variant_get(at, steps, kind)
 
 
 def column_of(source: str, leaf: Leaf, timestamp_fields: Iterable[str] = (), only: bool = False) -> Column:
     """The typed column of a leaf; null where the row has another type. ``only``: no row has another type, so none is looked at."""
-    where = _path(leaf.path).replace("'", "\\'")
-    item = f"try_variant_get({source}, '{where}', 'variant')"
+    item = value_at(F.col(source), leaf.path)
     if leaf.type == "null":
         return F.lit(None).cast("string")
-    if leaf.type == "array":
-        value = F.to_json(F.expr(item))
+    if leaf.type in ("array", "object"):
+        value = F.to_json(item)
     else:
-        value = F.expr(f"try_variant_get({source}, '{where}', '{_SPARK.get(leaf.type, 'string')}')")
+        value = value_at(F.col(source), leaf.path, _SPARK.get(leaf.type, "string"))
     if only:
         return value
-    if leaf.type in ("array", *_SPARK):
+    if leaf.type in ("array", "object", *_SPARK):
         return F.when(_is(item, leaf.type), value)
     return F.when(_is(item, "string") & (string_type(value, leaf.name, timestamp_fields) == leaf.type), value)
 
@@ -130,22 +201,23 @@ def flatten(
 ) -> tuple[DataFrame, list[Field], list[Leaf]]:
     """The wide typed frame of a JSON text column, its fields, and the leaves found.
 
-    ``leaves`` given from elsewhere are not trusted: each value's type is looked at. ``keep`` are columns that stay in front. A name with several types has a column ``name__type`` for each. ``prefix`` goes before every name, as ``props.``.
+    ``leaves`` given from elsewhere are not trusted: each value's type is looked at. ``keep`` are columns that stay in front. A name with several types
+    has a column ``name__type`` for each; names that differ in nothing but case, and other columns of one name, get a number. ``prefix`` goes before
+    every name, as ``props.``.
     """
-    parsed = frame.withColumn("_v", parse_json(F.col(column)))
+    keep = list(keep)
+    parsed = frame.withColumn("_v", parse_json(F.col(quoted(column))))
     found_here = leaves is None
     leaves = discover(parsed, "_v", timestamp_fields, structured) if found_here else leaves
     names = [leaf.name for leaf in leaves if leaf.type != "null"]
-    columns, fields = [], []
-    for leaf in leaves:
-        if leaf.type == "null" and leaf.name in names:
-            continue
-        shown = prefix + leaf.name.lstrip("~") if prefix else leaf.name
-        single = names.count(leaf.name) <= 1
-        physical = shown if single else f"{shown}__{leaf.type}"
-        columns.append(column_of("_v", leaf, timestamp_fields, only=single and found_here).alias(physical))
-        fields.append(Field(shown, leaf.type, physical))
-    return parsed.select(*[F.col(f"`{c}`") for c in keep], *columns), fields, leaves
+    leaves = [leaf for leaf in leaves if leaf.type != "null" or leaf.name not in names]
+    shown = [prefix + leaf.name.lstrip("~") if prefix else leaf.name for leaf in leaves]
+    physical = physical_names([(name, leaf.type) for name, leaf in zip(shown, leaves)], keep)
+    columns = [
+        column_of("_v", leaf, timestamp_fields, only=found_here and names.count(leaf.name) <= 1).alias(name) for leaf, name in zip(leaves, physical)
+    ]
+    fields = [Field(name, leaf.type, column) for name, leaf, column in zip(shown, leaves, physical)]
+    return parsed.select(*[F.col(quoted(c)) for c in keep], *columns), fields, leaves
 
 
 def extract(source: str, path: tuple[str, ...] | str, kind: str = "string") -> Column:
@@ -156,5 +228,4 @@ def extract(source: str, path: tuple[str, ...] | str, kind: str = "string") -> C
             head, *indexes = piece.replace("[", "\0[").split("\0")
             parts += ([head] if head else []) + indexes
         path = tuple(parts)
-    where = _path(path).replace("'", "\\'")
-    return F.expr(f"try_variant_get({source}, '{where}', '{kind}')")
+    return value_at(F.col(source), path, kind)

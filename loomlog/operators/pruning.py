@@ -2,23 +2,33 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans import parser as P
 from ..plans.resolver import Field
 
 FULL_SCAN = 0.8
+#: Bounds of texts are kept to this length. A cut text is no larger than the text, and order survives the cut.
+PREFIX = 64
 
 
 def block_catalog(df: DataFrame, fields: Sequence[Field], block: str = "block_id") -> DataFrame:
-    """``(block, name, type, occurrences, low, high)``: per block and field, with bounds as text for timestamps and as numbers for numbers."""
+    """``(block, name, type, occurrences, low, high, first, last)``: per block and field, with bounds as numbers for numbers and native times (in
+    microseconds), and as text, cut to ``PREFIX``, for texts."""
     parts = []
     for f in fields:
-        number = f.col().cast("double") if f.type in ("int", "double") else F.lit(None).cast("double")
-        text = f.col().cast("string") if f.type == "timestamp" else F.lit(None).cast("string")
+        number, text = F.lit(None).cast("double"), F.lit(None).cast("string")
+        if f.type in ("int", "double"):
+            number = f.col().cast("double")
+        elif f.native:
+            number = F.unix_micros(f.col().cast("timestamp")).cast("double")
+        elif f.type in ("string", "logtype", "timestamp"):
+            text = F.substring(f.col().cast("string"), 1, PREFIX)
         parts.append(F.struct(F.lit(f.name).alias("name"), F.lit(f.type).alias("type"), f.col().isNotNull().alias("there"), number.alias("number"), text.alias("text")))
     exploded = df.select(F.col(block), F.explode(F.array(*parts)).alias("c")).select(block, "c.*").where("there")
     return exploded.groupBy(block, "name", "type").agg(
@@ -26,6 +36,13 @@ def block_catalog(df: DataFrame, fields: Sequence[Field], block: str = "block_id
     )
 
 
+def merged(catalogs: DataFrame, block: str = "block_id") -> DataFrame:
+    """One row a block and field, from the catalogs of several writes."""
+    return catalogs.groupBy(block, "name", "type").agg(
+        F.sum("occurrences").alias("occurrences"), F.min("low").alias("low"), F.max("high").alias("high"), F.min("first").alias("first"), F.max("last").alias("last")
+    )
+
+
 def with_fields(catalog: DataFrame, names: Sequence[str], block: str = "block_id") -> DataFrame:
     """Blocks that hold all the fields."""
     wanted = [*dict.fromkeys(names)]
@@ -42,11 +59,34 @@ def with_types(catalog: DataFrame, types: dict[str, str], block: str = "block_id
 
 
 def with_range(catalog: DataFrame, name: str, low, high, block: str = "block_id") -> DataFrame:
-    """Blocks whose bounds of a field overlap the range: numbers by value, timestamps by text."""
-    rows = catalog.where(F.regexp_replace("name", "^~", "") == name.lstrip("~"))
-    if isinstance(low, str):
-        return rows.where((F.col("first") <= high) & (F.col("last") >= low)).select(block).distinct()
-    return rows.where((F.col("low") <= float(high)) & (F.col("high") >= float(low))).select(block).distinct()
+    """Blocks whose bounds of a field overlap the range: numbers and times by value, texts by text."""
+    return catalog.where(_may_match(P.Predicate(name, "range", (str(low), str(high))))).select(block).distinct()
+
+
+_NUMBER = re.compile(r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?")
+
+
+def _may_match(p: P.Predicate) -> Column:
+    """Whether a block may hold a match, by a row of its catalog. Bounds are compared without strictness, which rounding cannot make wrong."""
+    here = F.regexp_replace("name", "^~", "") == p.field.lstrip("~")
+    if p.type is not None and p.type not in ("template", "dict"):
+        here = here & (F.col("type") == p.type)
+    if p.type == "template" or p.op not in ("=", "range", "<", "<=", ">", ">="):
+        return here
+    low = p.values[0] if p.op in ("=", "range", ">", ">=") else None
+    high = p.values[-1] if p.op in ("=", "range", "<", "<=") else None
+
+    def within(least: str, most: str, value) -> Column:
+        sides = [F.col(most) >= value(low)] if low is not None else []
+        sides += [F.col(least) <= value(high)] if high is not None else []
+        return reduce(lambda a, b: a & b, sides)
+
+    texts = within("first", "last", lambda v: F.lit(v[:PREFIX]))
+    times = within("low", "high", lambda v: F.unix_micros(F.lit(v).try_cast("timestamp")).cast("double"))
+    numbers = within("low", "high", lambda v: F.lit(float(v))) if all(_NUMBER.fullmatch(v) for v in p.values) else F.lit(False)
+    fits = F.when(F.col("type").isin("int", "double"), numbers).when(F.col("first").isNotNull(), texts)
+    fits = fits.when((F.col("type") == "timestamp") & F.col("low").isNotNull(), times).otherwise(True)
+    return F.coalesce(here & fits, F.lit(False))
 
 
 def required_fields(node, null_is_different: bool = False, outcome: bool = True) -> set[str] | None:
@@ -70,11 +110,34 @@ def required_fields(node, null_is_different: bool = False, outcome: bool = True)
 
 
 def select_blocks(catalog: DataFrame, text: str, block: str = "block_id", null_is_different: bool = False) -> DataFrame | None:
-    """Blocks that a query can match; None for all of them. No block is left out that may hold a match."""
+    """Blocks that a query can match by its fields, types, values, ranges and times; None for all of them.
+
+    One aggregation over the catalog tells for each block which of the query's predicates something in it may fulfil. No block is left out that may hold a match.
+    """
     tree = P.parse(text)
-    needed = required_fields(tree.child if isinstance(tree, P.GroupBy) else tree, null_is_different)
-    needed = None if needed is None else {n for n in needed if "*" not in n}
-    return with_fields(catalog, sorted(needed), block) if needed else None
+    asked: list[Column] = []
+
+    def may(node, outcome: bool) -> Column | None:
+        """Whether a block may hold a row for which the node comes to ``outcome``; None where any block may."""
+        if isinstance(node, P.Predicate):
+            if "*" in node.field or required_fields(node, null_is_different, outcome) is None:
+                return None
+            # Most predicates are false only on values that are there, of whatever size.
+            asked.append(_may_match(node if outcome else P.Predicate(node.field, "exists", (), node.type)))
+            return F.col(f"_m{len(asked) - 1}")
+        if isinstance(node, (P.And, P.Or)):
+            left, right = may(node.left, outcome), may(node.right, outcome)
+            if isinstance(node, P.And) == outcome:
+                return left if right is None else right if left is None else left & right
+            return None if left is None or right is None else left | right
+        if isinstance(node, P.Not):
+            return may(node.child, not outcome)
+        return None
+
+    chosen = may(tree.child if isinstance(tree, P.GroupBy) else tree, True)
+    if chosen is None:
+        return None
+    return catalog.groupBy(block).agg(*[F.bool_or(c).alias(f"_m{i}") for i, c in enumerate(asked)]).where(chosen).select(block)
 
 
 def prune(df: DataFrame, blocks: DataFrame | None, block: str = "block_id") -> DataFrame:

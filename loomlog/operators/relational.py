@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans import parser as P
-from ..plans.resolver import NUMERIC, Resolver, split_aggregates
+from ..plans.resolver import NUMERIC, Resolver, quoted, split_aggregates
 
 # --- filters ---------------------------------------------------------------------------------------
 
@@ -94,8 +94,8 @@ def group_records(df: DataFrame, r: Resolver, fields: Sequence[str], sample: int
     rows = group_rows(df, r, fields, where)
     ranked = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*fields).orderBy("record"))).where(F.col("_n") <= sample)
     firsts = ranked.groupBy(*fields).agg(F.array_sort(F.collect_list("record")).alias("records"))
-    counts = group(df, r, fields, where=where).select(*[F.col(f"`{f}`").alias(f"_k{i}") for i, f in enumerate(fields)], "count")
-    on = [F.col(f"`{f}`").eqNullSafe(F.col(f"_k{i}")) for i, f in enumerate(fields)]
+    counts = group(df, r, fields, where=where).select(*[F.col(quoted(f)).alias(f"_k{i}") for i, f in enumerate(fields)], "count")
+    on = [F.col(quoted(f)).eqNullSafe(F.col(f"_k{i}")) for i, f in enumerate(fields)]
     return firsts.join(counts, on).drop(*[f"_k{i}" for i in range(len(fields))])
 
 
@@ -104,7 +104,7 @@ def group_records(df: DataFrame, r: Resolver, fields: Sequence[str], sample: int
 
 def row_json(df: DataFrame, columns: Sequence[str] | None = None) -> Column:
     """A row as JSON: missing values left out, everything escaped."""
-    return F.to_json(F.struct(*[F.col(f"`{c}`") for c in (columns or df.columns)]))
+    return F.to_json(F.struct(*[F.col(quoted(c)) for c in (columns or df.columns)]))
 
 
 def distinct_records(df: DataFrame, block: str | None = None) -> DataFrame:

@@ -8,7 +8,8 @@ nor false, and neither is its negation.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections import Counter
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -20,7 +21,7 @@ from ..functions.templates import log_template, timestamp_template
 from . import parser as P
 
 NUMERIC = ("int", "double")
-TEXT = ("string", "logtype", "timestamp", "array")
+TEXT = ("string", "logtype", "timestamp", "array", "object")
 _INT = re.compile(r"[+-]?\d+")
 _FLOAT = re.compile(r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?")
 
@@ -39,7 +40,31 @@ class Field:
     native: bool = False  # a TIMESTAMP column of Spark's own type rather than text
 
     def col(self) -> Column:
-        return F.col(f"`{self.column}`")
+        return F.col(quoted(self.column))
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def physical_names(fields: Sequence[tuple[str, str]], taken: Iterable[str] = ()) -> list[str]:
+    """A column for each (name, type): the name, or ``name__type`` where it has several types; a number follows where Spark, which
+    does not tell capitals from small letters, has that column already."""
+    times = Counter(name for name, _ in fields)
+    used = {t.lower() for t in taken}
+    # Names of one type come first, so that a field ``x__int`` keeps its name beside the types of ``x``.
+    order = sorted(range(len(fields)), key=lambda i: times[fields[i][0]] > 1)
+    out = [""] * len(fields)
+    for i in order:
+        name, kind = fields[i]
+        base = name if times[name] == 1 else f"{name}__{kind}"
+        column, n = base, 1
+        while column.lower() in used:
+            n += 1
+            column = f"{base}__{n}"
+        used.add(column.lower())
+        out[i] = column
+    return out
 
 
 def type_of(data_type: T.DataType) -> str:
@@ -104,7 +129,7 @@ class Resolver:
 
     def number(self, name: str) -> Column:
         """A name as doubles; values that are no numbers are null."""
-        out = [f.col().cast("double") if f.type in NUMERIC else F.expr(f"try_cast(`{f.column}` as double)") for f in self.find(name) if f.type not in ("array", "bool") and not f.native]
+        out = [f.col().cast("double") if f.type in NUMERIC else f.col().try_cast("double") for f in self.find(name) if f.type not in ("array", "object", "bool") and not f.native]
         return F.coalesce(*out) if out else F.lit(None).cast("double")
 
     # --- literals ------------------------------------------------------------------------------

@@ -52,20 +52,21 @@ def nested_json(df: DataFrame, fields):
 
     def text(v):
         """One value's JSON."""
-        raw = f"`{v.column}`"
-        if v.type == "array":
-            return F.expr(raw)
-        wrapped = F.to_json(F.struct(F.expr(raw).alias("x")))
-        return F.when(F.expr(raw).isNotNull(), F.substring(wrapped, F.lit(6), F.length(wrapped) - 6))
+        if v.type in ("array", "object"):
+            return v.col()
+        wrapped = F.to_json(F.struct(v.col().alias("x")))
+        return F.when(v.col().isNotNull(), F.substring(wrapped, F.lit(6), F.length(wrapped) - 6))
 
     def build(node: dict):
         parts = []
         for (_, key), value in node.items():
             inner = build(value) if isinstance(value, dict) else F.coalesce(*[text(v) for v in value])
             quoted = F.substring(F.to_json(F.array(F.lit(key))), F.lit(2), F.length(F.to_json(F.array(F.lit(key)))) - 2)
-            parts.append(F.when(inner.isNotNull(), F.concat(quoted, F.lit(":"), inner)))
+            parts.append(F.concat(quoted, F.lit(":"), inner))  # null where the value is
         body = F.concat_ws(",", *parts)
-        filled = F.concat(F.lit("{"), body, F.lit("}"))
-        return filled if node is tree else F.when(body != "", filled)
+        if node is not tree:
+            # Null where nothing is inside; each level names the one below once, or the expression would double with every level.
+            body = F.get(F.regexp_extract_all(body, F.lit("(?s)^.+$"), F.lit(0)), 0)
+        return F.concat(F.lit("{"), body, F.lit("}"))
 
     return build(tree)

@@ -96,6 +96,51 @@ def test_conflicts_nesting_and_malformed(spark):
     assert back == sorted(json.dumps(json.loads(r), sort_keys=True) for r in rows[:5] + ["{}"])
 
 
+def test_names_that_spark_confuses(spark):
+    rows = [{"User": 1, "user": 2, "x": 1, "x__int": 5}, {"x": "a", "USER": 3, "k y": 1, "t`k": 4}]
+    e = Engine.from_json(lines(spark, rows))
+    assert len({f.column.lower() for f in e.fields}) == len(e.fields) == 8
+    assert e.query("user:2").count() == 1 and e.query("User:2").count() == 0 and e.query("USER:3").count() == 1
+    assert e.query("x__int:5").count() == 1 and e.query("x:int: 1").count() == 1 and e.query("x:a").count() == 1
+    assert e.point("t`k", "4").count() == 1 and e.point("k y", "1").count() == 1
+    back = sorted(json.dumps(json.loads(r.record), sort_keys=True) for r in e.to_json().collect())
+    assert back == sorted(json.dumps(r, sort_keys=True) for r in rows)
+
+
+def test_keys_with_quotes(spark):
+    keys = ["it's", 'q"q', "both'\"", "b\\s", "a?b", "x]y", ""]
+    e = Engine.from_json(lines(spark, [{k: i, "n": {k: i}} for i, k in enumerate(keys)]))
+    for i, k in enumerate(keys):
+        assert e.point(k, str(i)).count() == 1 and e.point(f"~n.{k}", str(i)).count() == 1
+    rows = lines(spark, [{k: None} for k in keys])
+    assert all(r.exists for r in catalog.key_exists(rows, "value", keys).collect())
+
+
+def test_nesting_without_limit(spark):
+    deep = '{"k":' * 40 + "7" + "}" * 40
+    e = Engine.from_json(lines(spark, [deep, '{"k":5,"e":{},"j":{"l":{"m":{"n":{"o":{"p":"x"}}}}}}']))
+    kinds = {f.name: f.type for f in e.fields}
+    assert kinds["~j.l.m.n.o.p"] == "string" and kinds["~" + ".".join("k" * 32)] == "object" and kinds["k"] == "int" and len(e.fields) == 3
+    texts = [json.loads(r.record) for r in e.to_json().collect()]
+    assert json.loads(deep) in texts
+
+
+def test_objects_with_very_many_keys_stay_text(spark):
+    rows = [{"id": i, "by": {f"key{i}-{j}": {"z": j} for j in range(20)}, "s": {"a": 1}} for i in range(30)]
+    df = lines(spark, rows).select(parse_json(F.col("value")).alias("v"))
+    found = {(x.name, x.type) for x in discover(df, "v", wide=50)}
+    assert found == {("id", "int"), ("by", "object"), ("~s.a", "int")}
+    assert {(x.name, x.type) for x in discover(df, "v", wide=2)} >= {("_record", "object")}
+
+
+def test_codes_in_order(spark):
+    df = spark.createDataFrame([(f"{i * 7919 % 5000:04d}" + "x" * (i % 90),) for i in range(5000)] + [(None,)], "v string").repartition(7)
+    got = [(r.code, r.v) for r in catalog.numbered(df, "v").orderBy("code").collect()]
+    assert [c for c, _ in got] == list(range(1, 5002)) and got[0][1] is None and [v for _, v in got[1:]] == sorted(v for _, v in got[1:])
+    numbers = catalog.numbered(spark.range(1000).selectExpr("id * 1.5 as v"), "v", pieces=5).collect()
+    assert all(r.v == (r.code - 1) * 1.5 for r in numbers) and catalog.numbered(df.limit(0), "v").count() == 0
+
+
 def test_arrays(spark):
     rows = [{"t": ["x", "y"]}, {"t": []}, {"t": [{"k": 1}]}]
     text = Engine.from_json(lines(spark, rows))

@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 
@@ -40,7 +41,16 @@ def test_round_trip_and_pruning(spark, saved):
     for text in ("extra > 90", "extra:70 OR user:u1", "NOT extra:70", "user:u1 AND extra:*", "id < 5"):
         assert sorted(r.id for r in e.pruned(text, cat).query(text).collect()) == sorted(r.id for r in e.query(text).collect())
     plan = e.pruned("extra > 90", cat).query("extra > 90").select("id")._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [block_id" in plan and "user" not in plan.split("ReadSchema")[1]
+    columns = {f.name: f"c{r.position}" for r, f in zip(store._listed(spark, saved), e.fields)}
+    read = plan.split("ReadSchema")[1].split(">")[0]
+    assert "block_id" in plan.split("PartitionFilters: [")[1].split("]")[0] and columns["extra"] + ":" in read and columns["user"] + ":" not in read
+    for text, blocks in {"id:[25 TO 45]": {1, 2}, "id < 5": {0}, 'at >= "2023-01-05 00:00:00" AND at < "2023-01-05 12:00:00"': {2}, "user:u3 AND id = 61": {3}, "user:zed": set(),
+                         "id:string: 5": set(), "user > u3": {0, 1, 2, 3, 4}, "NOT id > 20": {0, 1, 2, 3, 4}, "id > 90 OR extra:60": {3, 4}, "extra:*": {3, 4}}.items():
+        chosen = pruning.select_blocks(cat, text)
+        assert {r.block_id for r in chosen.collect()} == blocks, text
+        if blocks != {0, 1, 2, 3, 4}:
+            scan = pruning.prune(e.df, chosen)._jdf.queryExecution().executedPlan().toString()
+            assert not blocks or "block_id" in scan.split("PartitionFilters: [")[1].split("]")[0]
     assert store.load(spark, saved, blocks=[0], columns=["id"]).count() == 20
     stats = store.compression_stats(spark, saved, ["id", "user"]).first()
     assert stats.records == 100 and stats.blocks == 5 and stats.ratio > 0
@@ -84,15 +94,23 @@ def test_stream_of_batches(spark, tmp_path):
     source, root = tmp_path / "in", f"file://{tmp_path}/store"
     write(source / "1.json", [{"id": i, "user": "a"} for i in range(5)])
     leaves = ingest.learn(spark.read.text(str(source)))
-    for n in (5, 8):
+    more = ['{"id":1,"user":"b","new":1}', '{"id":"text","user":"b"}', "{bad", '{"id":2,"user":"b"}', '{"id":3,"user":"b","o":{}}', "[1]"]
+    for n in (5, 11):
         ingest.ingest(spark, str(source), root, leaves, f"file://{tmp_path}/cp").awaitTermination()
-        assert spark.read.parquet(f"{root}/data").count() == n
-        write(source / "2.json", [{"id": i, "user": "b", "new": 1} for i in range(3)])
-    df = spark.read.parquet(f"{root}/data")
-    assert {r[0] for r in df.select("block_id").distinct().collect()} == {0, 1} and set(df.columns) == {"id", "user", "block_id"}
-    ingest.refresh(spark, root, leaves)
-    assert Engine.from_store(spark, root).query("user:b AND COUNT(*)").first()[0] == 3
-    assert pruning.with_range(store.catalog(spark, root), "id", 4, 9).count() == 1
+        e = Engine.from_store(spark, root)
+        assert e.df.count() == n
+        (source / "2.json").write_text("\n".join(more) + "\n")
+    assert {r[0] for r in e.df.select("block_id").distinct().collect()} == {0, 1}
+    assert sorted(r[0] for r in e.df.where("_rest is not null").select("_rest").collect()) == sorted(m for m in more if m != more[3])
+    assert e.query("user:b AND COUNT(*)").first()[0] == 4
+    assert e.df.where("id = 1 and _rest like '%new%'").count() == 1
+    cat = store.catalog(spark, root)
+    assert pruning.with_range(cat, "id", 4, 9).count() == 1 and {r.block_id for r in pruning.select_blocks(cat, "user:b").collect()} == {1}
+    # A batch that runs again takes the place of its block and of its catalog.
+    df, fields = ingest.flattened(spark.createDataFrame([('{"id":7,"user":"z"}',)], "value string"), leaves)
+    for _ in range(2):
+        store.write_block(df, fields, root, 1)
+    assert Engine.from_store(spark, root).df.count() == 6 and store.catalog(spark, root).where("block_id = 1 and name = 'id'").first().occurrences == 1
 
 
 def test_blocks_with_fields_of_their_own(spark, tmp_path):
@@ -107,6 +125,50 @@ def test_blocks_with_fields_of_their_own(spark, tmp_path):
     assert [r.block_id for r in pruning.with_fields(store.catalog(spark, root), ["y"]).collect()] == [1]
 
 
+def test_appends_catalogue_only_what_they_write(spark, tmp_path):
+    root = f"file://{tmp_path}/store"
+    parts = [[{"a": 1, "User": "x"}], [{"a": "one", "user": "y"}], [{"a": 2.5, "User": "z"}]]
+    for n, rows in enumerate(parts):
+        write(tmp_path / f"{n}.json", rows)
+        lines = ndjson.read_lines(spark, str(tmp_path / f"{n}.json")).selectExpr("value", f"{n // 2}L as block_id")
+        Engine.from_json(lines, keep=["block_id"]).save(root, mode="append")
+        assert spark.read.parquet(f"{root}/catalog").select("batch").distinct().count() == n + 1
+    e = Engine.from_store(spark, root)
+    assert [(f.name, f.type) for f in e.fields] == [("User", "string"), ("a", "int"), ("a", "string"), ("user", "string"), ("a", "double")]
+    assert e.query("User:x").count() == 1 and e.query("user:y AND a:one").count() == 1 and e.query("a:double: 2.5").count() == 1 and e.query("a:1").count() == 1
+    cat = store.catalog(spark, root)
+    assert {(r.block_id, r.occurrences) for r in cat.where("name = 'User'").collect()} == {(0, 1), (1, 1)} and {r.block_id for r in pruning.select_blocks(cat, "a:double: 2.5").collect()} == {1}
+
+
+def test_pruning_never_loses_a_match(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [{"n": rng.choice([i, i / 2, f"t{i}"]), "s": f"{i % 13:02d}" + "long" * 30, "t": f"2024-01-{1 + i // 12:02d} 00:00:{i % 60:02d}"} | ({"x": i} if i % 40 < 9 else {}) for i in range(300)]
+    write(tmp_path / "in.json", rows)
+    e = Engine.from_files(spark, str(tmp_path / "in.json"), block_size=25)
+    e.save(f"file://{tmp_path}/store", bloom=["s"])
+    e, cat = Engine.from_store(spark, f"file://{tmp_path}/store"), store.catalog(spark, f"file://{tmp_path}/store")
+    e, cat = Engine(e.df.persist(), e.fields), cat.persist()
+    single = ["n > 200", "n:t7", "n <= 3.5", "n:[10 TO 20]", "x:*", "x >= 120", "s:\"" + rows[5]["s"] + "\"", "s < 03", "t:[\"2024-01-03 00:00:00\" TO \"2024-01-04\"]", "x != 5", "n:int: 8", "s ~ long"]
+    texts = single + [f"{rng.choice(['', 'NOT '])}({a}) {rng.choice(['AND', 'OR'])} {rng.choice(['', 'NOT '])}({b})" for a, b in (rng.sample(single, 2) for _ in range(25))]
+    pruned = 0
+    for text in texts:
+        for null_is_different in (False, True):
+            engine = Engine(e.df, e.fields, null_is_different)
+            want = sorted(r.t for r in engine.query(text).collect())
+            assert sorted(r.t for r in engine.pruned(text, cat).query(text).collect()) == want, text
+        chosen = pruning.select_blocks(cat, text)
+        pruned += chosen is not None and chosen.count() < 12
+    assert pruned >= 15
+
+
+def test_native_times_prune(spark):
+    df = spark.range(100).selectExpr("id", "timestamp_seconds(id * 86400) as at", "floor(id / 10) as block_id")
+    e = Engine(df)
+    cat = pruning.block_catalog(df, [f for f in e.fields if f.name != "block_id"])
+    text = 'at:["1970-01-12" TO "1970-01-15"]'
+    assert {r.block_id for r in pruning.select_blocks(cat, text).collect()} == {1} and e.pruned(text, cat).query(text).count() == e.query(text).count() == 4
+
+
 def test_windowed_counts(spark, tmp_path):
     rows = [("2024-01-01 00:00:01", "a"), ("2024-01-01 00:04:59", "a"), ("2024-01-01 00:05:00", "b")]
     spark.createDataFrame(rows, "t string, k string").selectExpr("cast(t as timestamp) t", "k").write.parquet(f"{tmp_path}/e")

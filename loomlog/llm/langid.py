@@ -37,6 +37,8 @@ UND = "und"
 ROWS = 48
 CHARS = 24_000
 TOTAL = 16 * CHARS
+#: The chosen rows' ids are broadcast up to this many of them.
+BROADCAST_ROWS = 500_000
 WINDOW = 512
 LANES = 4096
 
@@ -235,16 +237,26 @@ def fit(
     languages = counts.count()
     chars = max(1, min(chars, total // max(1, languages)))
     each = max(1, chars // 8)
+    # Rows are chosen by id and language alone; texts are read for the chosen ones only.
+    small = F.broadcast if languages * rows <= BROADCAST_ROWS else lambda df: df
     share = counts.select("_lang", (F.lit(8.0 * rows) / F.col("count")).alias("_share"))
     draw, at = F.xxhash64("_id", F.lit("sample")), F.xxhash64("_id", F.lit("place"))
+    order = Window.partitionBy("_lang").orderBy("_draw", "_id")
+    chosen = (
+        known.select("_lang", "_id", draw.alias("_draw"))
+        .join(small(share), "_lang")
+        .where(F.pmod("_draw", F.lit(1 << 20)) < F.col("_share") * (1 << 20))
+        .select("_lang", "_id", "_draw")
+        .distinct()
+        .withColumn("_n", F.row_number().over(order))
+        .where(F.col("_n") <= rows)
+    )
     stretch = F.substring("_text", 1 + F.pmod(at, F.greatest(F.lit(1), F.length("_text") - (each - 1))).cast("int"), F.lit(each))
     order = Window.partitionBy("_lang").orderBy("_draw", "_text")
     drawn = (
-        known.withColumn("_draw", draw)
-        .join(share, "_lang")
-        .where(F.pmod("_draw", F.lit(1 << 20)) < F.col("_share") * (1 << 20))
+        known.join(small(chosen), ["_lang", "_id"])
         .select("_lang", "_draw", stretch.alias("_text"))
-        .withColumn("_n", F.row_number().over(order))
+        .withColumn("_n", F.row_number().over(order))  # rows of one id are several
         .where(F.col("_n") <= rows)
         .select("_lang", "_n", "_text")
         .collect()

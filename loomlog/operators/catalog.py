@@ -103,6 +103,17 @@ def template_dictionary(df: DataFrame, r: Resolver, field: str) -> DataFrame:
     return df.where(f.col().isNotNull()).groupBy(made.alias("template")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def template_codes(df: DataFrame, r: Resolver, field: str) -> DataFrame:
+    """``(code, template, n)``: the templates of a text field numbered in order; a filter on the code is the access by code."""
+    return numbered(template_dictionary(df, r, field), "template").select("code", "template", "n")
+
+
+def variable_codes(df: DataFrame, r: Resolver, field: str) -> DataFrame:
+    """``(code, variable, n)``: what the templates' stars stand for, numbered in order."""
+    found = template_variables(df, r, field).select(F.explode("variables").alias("variable"))
+    return numbered(found.groupBy("variable").agg(F.count(F.lit(1)).alias("n")), "variable").select("code", "variable", "n")
+
+
 def template_variables(df: DataFrame, r: Resolver, field: str, keep: Sequence[str] = ()) -> DataFrame:
     """Each text's template and variables."""
     f = r.find(field)[0]

@@ -15,7 +15,9 @@ from .engine import Engine
 from .functions import detect, templates, text
 from .operators import catalog, pruning, relational
 from .operators.flatten import discover, extract, parse_json
-from .sources import ndjson
+from .session import work_folder
+from .sources import ndjson, store
+from .streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -151,10 +153,14 @@ def template_query(spark, sf_dir):
 # --- catalog -------------------------------------------------------------------------------------------
 
 
+_TYPES = "CASE column_type WHEN 'VARCHAR' THEN 'string' WHEN 'DOUBLE' THEN 'double' WHEN 'FLOAT' THEN 'double' WHEN 'TIMESTAMP' THEN 'timestamp' ELSE 'int' END"
+
+
 @register(
     "field_exists",
-    """SELECT * FROM (VALUES ('event_type', true, true, 'string', 3), ('value', true, false, 'double', 4), ('absent', false, false, NULL, NULL))
-    AS t(name, "exists", type_matches, actual_type, position)""",
+    f"""WITH f AS (SELECT column_name AS name, {_TYPES} AS type, CAST(row_number() OVER () - 1 AS INTEGER) AS position FROM (DESCRIBE events)),
+    a AS (SELECT * FROM (VALUES ('event_type', 'string'), ('value', 'int'), ('absent', NULL)) AS t(name, expected))
+    SELECT a.name, f.name IS NOT NULL AS "exists", coalesce(f.type = coalesce(expected, f.type), false) AS type_matches, f.type AS actual_type, position FROM a LEFT JOIN f USING (name)""",
 )
 def field_exists(spark, sf_dir):
     return events(spark, sf_dir).field_exists(("event_type", "string"), ("value", "int"), "absent")
@@ -469,10 +475,18 @@ def path_access(spark, sf_dir):
     return df.select("vec_id", extract("v", "a.b[0]", "bigint").alias("first"))
 
 
-@register("malformed_lines", "SELECT count(*) AS malformed FROM documents WHERE text IS NOT NULL")
+@register(
+    "malformed_lines",
+    """WITH l AS (SELECT text AS value FROM documents UNION ALL SELECT props FROM events UNION ALL SELECT props || 'x' FROM events)
+    SELECT count(*) FILTER (WHERE o) AS records, count(*) FILTER (WHERE NOT o) AS malformed
+    FROM (SELECT CASE WHEN json_valid(value) THEN json_type(value) = 'OBJECT' ELSE false END AS o FROM l WHERE value IS NOT NULL)""",
+)
 def malformed_lines(spark, sf_dir):
-    lines = read(spark, sf_dir, "documents").where("text is not null").select(F.col("text").alias("value"))
-    return ndjson.split_malformed(lines)[1].agg(F.count(F.lit(1)).alias("malformed"))
+    props = read(spark, sf_dir, "events").select("props")
+    lines = read(spark, sf_dir, "documents").select(F.col("text").alias("value")).union(props).union(props.select(F.concat("props", F.lit("x"))))
+    good, bad = ndjson.split_malformed(lines.where("value is not null"))
+    counted = good.select(F.lit(1).alias("good"), F.lit(0).alias("bad")).union(bad.select(F.lit(0), F.lit(1)))
+    return counted.agg(F.sum("good").cast("bigint").alias("records"), F.sum("bad").cast("bigint").alias("malformed"))
 
 
 # --- types and templates ------------------------------------------------------------------------------------
@@ -514,14 +528,8 @@ def log_template(spark, sf_dir):
     return catalog.template_variables(e.df, e.resolver, "text", ["doc_id"]).select("doc_id", "template", F.array_join("variables", ",").alias("vars"))
 
 
-@register("template_refill", "SELECT doc_id, text AS refilled FROM documents WHERE NOT contains(text, '*')")
+@register("template_refill", "SELECT doc_id, text AS refilled FROM documents")
 def template_refill(spark, sf_dir):
-    df = read(spark, sf_dir, "documents").where("not contains(text, '*')")
-    return df.select("doc_id", templates.refill(templates.log_template(F.col("text")), templates.log_variables(F.col("text"))).alias("refilled"))
-
-
-@register("template_refill_all", "SELECT doc_id, text AS refilled FROM documents")
-def template_refill_all(spark, sf_dir):
     df = read(spark, sf_dir, "documents")
     return df.select("doc_id", templates.refill(templates.log_template(F.col("text")), templates.log_stars(F.col("text"))).alias("refilled"))
 
@@ -572,23 +580,71 @@ def project_fields(spark, sf_dir):
     return events(spark, sf_dir).project("event_id", "event_type")
 
 
-@register("block_prune", "SELECT CAST(event_id // 1000 AS BIGINT) AS block_id, count(*) AS n FROM events WHERE event_id BETWEEN 1500 AND 3500 GROUP BY 1")
-def block_prune(spark, sf_dir):
-    e = blocked_events(spark, sf_dir)
-    blocks = pruning.with_range(pruning.block_catalog(e.df, [f for f in e.fields if f.name == "event_id"]), "event_id", 1500, 3500)
-    return pruning.prune(e.df, blocks).where("event_id between 1500 and 3500").groupBy("block_id").agg(F.count(F.lit(1)).alias("n"))
+# --- stores -----------------------------------------------------------------------------------------------------
+
+_STORES: dict[tuple[str, str], str] = {}
+_BLOCKED = "SELECT event_id, user_id, event_type, value, ts, CAST(event_id // 1000 AS BIGINT) AS block_id FROM events"
+
+
+def event_store(spark: SparkSession, sf_dir: str) -> str:
+    """The root of a store of the events, written once a session."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _STORES:
+        root = work_folder(spark, "events")
+        df = read(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", "ts", F.floor(F.col("event_id") / 1000).cast("bigint").alias("block_id"))
+        Engine(df).save(root, bloom=["event_type"])
+        _STORES[key] = root
+    return _STORES[key]
+
+
+def stored_events(spark: SparkSession, sf_dir: str) -> tuple[Engine, DataFrame]:
+    root = event_store(spark, sf_dir)
+    return Engine.from_store(spark, root), store.catalog(spark, root)
+
+
+def _pruned(name: str, text: str, where: str) -> None:
+    @register(name, f"SELECT event_id, block_id FROM ({_BLOCKED}) WHERE {where}")
+    def query(spark, sf_dir):
+        e, blocks = stored_events(spark, sf_dir)
+        return e.pruned(text, blocks).query(text).select("event_id", "block_id")
+
+
+_pruned("block_prune", "event_id:[1500 TO 3500]", "event_id BETWEEN 1500 AND 3500")
+_pruned("block_prune_type", "event_id:int: 1234 OR event_id = 17", "event_id IN (17, 1234)")
+_pruned("block_prune_text", "event_type:purchase AND user_id < 30 AND event_id >= 2000", "event_type = 'purchase' AND user_id < 30 AND event_id >= 2000")
+_pruned("block_prune_not", "NOT event_id > 2500 AND NOT event_type:click", "event_id <= 2500 AND event_type <> 'click'")
+
+
+@register("block_prune_time", f"SELECT event_id, block_id FROM ({_BLOCKED}) WHERE ts BETWEEN (SELECT min(ts) FROM events) AND (SELECT min(ts) FROM events) + INTERVAL 2 HOUR")
+def block_prune_time(spark, sf_dir):
+    e, blocks = stored_events(spark, sf_dir)
+    low = F.min("ts").cast("timestamp")
+    first, last = read(spark, sf_dir, "events").agg(low.cast("string"), (low + F.expr("interval 2 hours")).cast("string")).first()
+    text = f'ts:["{first}" TO "{last}"]'
+    return e.pruned(text, blocks).query(text).select("event_id", "block_id")
+
+
+@register("block_time_range", f"SELECT block_id FROM ({_BLOCKED}) GROUP BY 1 HAVING min(ts) <= (SELECT min(ts) FROM events) + INTERVAL 2 HOUR")
+def block_time_range(spark, sf_dir):
+    _, blocks = stored_events(spark, sf_dir)
+    low = F.min("ts").cast("timestamp")
+    first, last = read(spark, sf_dir, "events").agg(low.cast("string"), (low + F.expr("interval 2 hours")).cast("string")).first()
+    return pruning.with_range(blocks, "ts", first, last)
 
 
 @register("block_select_fields", "SELECT CAST(event_id // 1000 AS BIGINT) AS block_id FROM events GROUP BY 1 HAVING count(user_id) > 0 AND count(event_type) > 0")
 def block_select_fields(spark, sf_dir):
-    e = blocked_events(spark, sf_dir)
-    return pruning.select_blocks(pruning.block_catalog(e.df, [f for f in e.fields if f.column != "block_id"]), "user_id:1 AND event_type:click")
+    return pruning.with_fields(stored_events(spark, sf_dir)[1], ["user_id", "event_type"])
 
 
-@register("block_select_types", "SELECT CAST(event_id // 1000 AS BIGINT) AS block_id FROM events GROUP BY 1 HAVING count(user_id) > 0")
+@register("block_select_types", "SELECT CAST(event_id // 1000 AS BIGINT) AS block_id FROM events GROUP BY 1 HAVING count(user_id) > 0 AND count(value) > 0")
 def block_select_types(spark, sf_dir):
-    e = blocked_events(spark, sf_dir)
-    return pruning.with_types(pruning.block_catalog(e.df, [f for f in e.fields if f.column != "block_id"]), {"user_id": "int"})
+    return pruning.with_types(stored_events(spark, sf_dir)[1], {"user_id": "int", "value": "double"})
+
+
+@register("block_select_query", f"SELECT block_id FROM ({_BLOCKED}) GROUP BY 1 HAVING min(event_id) <= 3500 AND max(event_id) >= 1500 AND min(event_type) <= 'click' AND max(event_type) >= 'click'")
+def block_select_query(spark, sf_dir):
+    return pruning.select_blocks(stored_events(spark, sf_dir)[1], "event_id:[1500 TO 3500] AND event_type:click")
 
 
 @register(
@@ -598,14 +654,160 @@ def block_select_types(spark, sf_dir):
     round(count(*) FILTER (WHERE low <= 3500 AND high >= 1500) / count(*), 6) AS ratio, count(*) FILTER (WHERE low <= 3500 AND high >= 1500) / count(*) > 0.8 AS full_scan FROM b""",
 )
 def block_strategy(spark, sf_dir):
-    e = blocked_events(spark, sf_dir)
-    found = pruning.block_catalog(e.df, [f for f in e.fields if f.column != "block_id"])
-    return pruning.strategy(found, pruning.with_range(found, "event_id", 1500, 3500)).withColumn("ratio", F.round("ratio", 6))
+    blocks = stored_events(spark, sf_dir)[1]
+    return pruning.strategy(blocks, pruning.with_range(blocks, "event_id", 1500, 3500)).withColumn("ratio", F.round("ratio", 6))
+
+
+@register(
+    "block_catalog",
+    """SELECT CAST(event_id // 1000 AS BIGINT) AS block_id, 'user_id' AS name, 'int' AS type, count(user_id) AS occurrences, CAST(min(user_id) AS DOUBLE) AS low,
+    CAST(max(user_id) AS DOUBLE) AS high, NULL AS first, NULL AS last FROM events GROUP BY 1 HAVING count(user_id) > 0
+    UNION ALL SELECT CAST(event_id // 1000 AS BIGINT), 'event_type', 'string', count(event_type), NULL, NULL, min(event_type), max(event_type) FROM events GROUP BY 1 HAVING count(event_type) > 0""",
+)
+def block_catalog(spark, sf_dir):
+    return stored_events(spark, sf_dir)[1].where("name in ('user_id', 'event_type')")
 
 
 @register("selective_load", "SELECT event_id, event_type FROM events WHERE event_id // 1000 IN (0, 2)")
 def selective_load(spark, sf_dir):
-    return blocked_events(spark, sf_dir).df.where(F.col("block_id").isin(0, 2)).select("event_id", "event_type")
+    return store.load(spark, event_store(spark, sf_dir), blocks=[0, 2], columns=["event_id", "event_type"])
+
+
+@register("store_rebuild", """SELECT '{"event_id":' || event_id || ',"user_id":' || user_id || ',"event_type":"' || event_type || '"}' AS record FROM events""")
+def store_rebuild(spark, sf_dir):
+    e = stored_events(spark, sf_dir)[0]
+    return Engine(e.df, [f for f in e.fields if f.name in ("event_id", "user_id", "event_type")]).to_json()
+
+
+@register("store_stats", f"SELECT count(*) AS records, count(DISTINCT block_id) AS blocks, CAST(sum(strlen(CAST(to_json({{event_id: event_id, user_id: user_id, event_type: event_type}}) AS VARCHAR))) AS BIGINT) AS json_bytes FROM ({_BLOCKED})")
+def store_stats(spark, sf_dir):
+    return store.compression_stats(spark, event_store(spark, sf_dir), ["event_id", "user_id", "event_type"]).where("stored_bytes > 0 and ratio > 0").select("records", "blocks", "json_bytes")
+
+
+@register("store_append", "SELECT CAST(event_id % 2 AS BIGINT) AS block_id, count(*) AS records, sum(k) AS sum_k, count(*) FILTER (WHERE x <> '') AS texts FROM (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN user_id END AS k, CASE WHEN event_id % 2 = 1 THEN event_type END AS x FROM events) GROUP BY 1")
+def store_append(spark, sf_dir):
+    """Blocks of which one holds ``x`` as a number and the other as a string."""
+    root = work_folder(spark, "append")
+    for part, column in ((0, "user_id"), (1, "event_type")):
+        df = read(spark, sf_dir, "events").where(F.col("event_id") % 2 == part).select(F.col(column).alias("x"), F.lit(part).cast("bigint").alias("block_id"))
+        Engine(df).save(root, mode="append")
+    e = Engine.from_store(spark, root)
+    return e.df.groupBy("block_id").agg(F.count(F.lit(1)).alias("records"), F.sum("x__int").alias("sum_k"), F.count(F.when(F.col("x__string") != "", 1)).alias("texts"))
+
+
+def event_lines(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of JSON lines of the events, written once a session."""
+    key = spark.sparkContext.applicationId, f"{sf_dir}#lines"
+    if key not in _STORES:
+        root = work_folder(spark, "lines")
+        line = F.to_json(F.struct("event_id", "event_type", F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd HH:mm:ss").alias("at_text"), (F.col("value") > 50).alias("high")))
+        ndjson.write_lines(read(spark, sf_dir, "events").select(line.alias("record")), root)
+        _STORES[key] = root
+    return _STORES[key]
+
+
+_LINE = "SELECT event_id, event_type, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at_text, value > 50 AS high FROM events"
+
+
+@register("files_scan", f"SELECT event_type, count(*) AS count FROM ({_LINE}) GROUP BY 1")
+def files_scan(spark, sf_dir):
+    return Engine.from_files(spark, event_lines(spark, sf_dir)).group(["event_type"])
+
+
+@register("files_limit", "SELECT least(count(*), 500) AS records FROM events")
+def files_limit(spark, sf_dir):
+    return ndjson.read_lines(spark, event_lines(spark, sf_dir), limit=500).agg(F.count(F.lit(1)).alias("records"))
+
+
+@register("files_blocks", "SELECT CAST(i // 700 AS BIGINT) AS block_id, count(*) AS records FROM (SELECT row_number() OVER () - 1 AS i FROM events) GROUP BY 1")
+def files_blocks(spark, sf_dir):
+    lines = ndjson.with_blocks(ndjson.read_lines(spark, event_lines(spark, sf_dir)), 700)
+    return lines.groupBy("block_id").agg(F.count(F.lit(1)).alias("records"))
+
+
+@register("bool_less", f"SELECT event_id FROM ({_LINE}) WHERE high < true")
+def bool_less(spark, sf_dir):
+    return Engine.from_files(spark, event_lines(spark, sf_dir)).query("high < true").select("event_id")
+
+
+@register("text_time_equal", f"SELECT event_id FROM ({_LINE}) WHERE at_text = (SELECT max(at_text) FROM ({_LINE}))")
+def text_time_equal(spark, sf_dir):
+    e = Engine.from_files(spark, event_lines(spark, sf_dir))
+    return e.point("at_text", e.df.agg(F.max("at_text")).first()[0], "timestamp").select("event_id")
+
+
+@register("log_equal", "SELECT doc_id FROM documents WHERE text = (SELECT min(text) FROM documents WHERE contains(text, ' '))")
+def log_equal(spark, sf_dir):
+    df = read(spark, sf_dir, "documents").select("doc_id", F.to_json(F.struct("doc_id", "text")).alias("value"))
+    e = Engine.from_json(df.select("value"))
+    wanted = e.df.agg(F.min(e.resolver.find("text", "logtype")[0].col())).first()[0]
+    return e.point("text", wanted, "logtype").select("doc_id")
+
+
+@register("stream_ingest", f"SELECT event_type, count(*) AS count, count(*) FILTER (WHERE high) AS high FROM ({_LINE}) GROUP BY 1")
+def stream_ingest(spark, sf_dir):
+    """The lines as a stream of micro-batches into a store, then a group query over the store."""
+    source, root = event_lines(spark, sf_dir), work_folder(spark, "stream")
+    leaves = ingest.learn(ndjson.read_lines(spark, source))
+    ingest.ingest(spark, source, f"{root}/store", leaves, f"{root}/checkpoint").awaitTermination()
+    e = Engine.from_store(spark, f"{root}/store")
+    return e.df.groupBy("event_type").agg(F.count(F.lit(1)).alias("count"), F.count(F.when(F.col("high"), 1)).alias("high"))
+
+
+@register("windowed_counts", "SELECT epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) AS start_us, event_type, count(*) AS n FROM events GROUP BY ALL")
+def windowed_counts(spark, sf_dir):
+    found = ingest.windowed_counts(read(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "event_type", "1 hour")
+    return found.select(F.unix_micros("start").alias("start_us"), "event_type", "n")
+
+
+# --- codes, scores and analysis -----------------------------------------------------------------------------------
+
+
+@register("field_redundancy", f"WITH {_CELLS} SELECT name, round(CASE WHEN distinct_values > 1 THEN (1 - (log2(occurrences) - nlogn / occurrences) / log2(distinct_values)) * occurrences ELSE occurrences END, 2) AS redundancy FROM s")
+def field_redundancy(spark, sf_dir):
+    return events(spark, sf_dir).field_stats(STAT_FIELDS).select("name", F.round("redundancy", 2).alias("redundancy"))
+
+
+@register(
+    "missing_ratio_blocks",
+    """SELECT CAST(doc_id // 100 AS BIGINT) AS block_id, round(sum(CASE WHEN d.text IS NULL THEN 1 ELSE 0 END + CASE WHEN l.quality IS NULL THEN 1 ELSE 0 END) / (count(*) * 2), 6) AS missing_ratio,
+    sum(CASE WHEN d.text IS NULL THEN 1 ELSE 0 END + CASE WHEN l.quality IS NULL THEN 1 ELSE 0 END) / (count(*) * 2) < 0.05 AS appropriate
+    FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY 1""",
+)
+def missing_ratio_blocks(spark, sf_dir):
+    df = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels"), "doc_id", "left")
+    df = df.select("text", "quality", F.floor(F.col("doc_id") / 100).cast("bigint").alias("block_id"))
+    return Engine(df).missing_ratio(by_block=True).withColumn("missing_ratio", F.round("missing_ratio", 6))
+
+
+@register(
+    "template_codes",
+    f"""SELECT row_number() OVER (ORDER BY template) AS code, template, n
+    FROM (SELECT regexp_replace(text, '{LOG_PATTERN}', '*', 'g') AS template, count(*) AS n FROM conversations WHERE text IS NOT NULL GROUP BY 1)""",
+)
+def template_codes(spark, sf_dir):
+    e = Engine(read(spark, sf_dir, "conversations"))
+    return catalog.template_codes(e.df, e.resolver, "text")
+
+
+@register(
+    "variable_codes",
+    f"""SELECT row_number() OVER (ORDER BY variable) AS code, variable, n
+    FROM (SELECT variable, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '{LOG_PATTERN}')) AS variable FROM documents WHERE text IS NOT NULL) GROUP BY 1)""",
+)
+def variable_codes(spark, sf_dir):
+    e = Engine(read(spark, sf_dir, "documents").select("text"))
+    return catalog.variable_codes(e.df, e.resolver, "text")
+
+
+@register(
+    "query_analysis",
+    f"""SELECT column_name AS field, {_TYPES} AS type, column_name IN ('event_type', 'user_id') AS required FROM (DESCRIBE events) WHERE column_name IN ('event_type', 'user_id', 'value')""",
+)
+def query_analysis(spark, sf_dir):
+    found = events(spark, sf_dir).analyse("user_id > 3 AND (event_type:click OR event_type:error) AND (value < 5 OR user_id = 7)")
+    rows = [(name, kind, name in found["required"]) for name, kinds in found["fields"].items() for kind in kinds]
+    return spark.createDataFrame(rows, "field string, type string, required boolean")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

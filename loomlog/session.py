@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -23,3 +26,13 @@ def build_session(app: str = "loomlog", master: str | None = None, **conf: str)
     if master:
         builder = builder.master(master)
     return builder.config(map=settings).getOrCreate()
+
+
+def work_folder(spark: SparkSession, label: str) -> str:
+    """A fresh path for files that a query writes and reads again: in the folder of ``spark.checkpoint.dir``, on this machine only where all tasks run on it."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="loomlog-")
+    return f"{root.rstrip('/')}/loomlog/{label}-{uuid.uuid4().hex}"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BLOCK = 5000
@@ -16,11 +16,22 @@ def read_lines(spark: SparkSession, path: str | list[str], limit: int | None = N
 
 def split_malformed(lines: DataFrame, column: str = "value") -> tuple[DataFrame, DataFrame]:
     """Records, and the lines that are no JSON object."""
-    good = F.ltrim(F.col(column)).startswith("{") & F.try_parse_json(F.col(column)).isNotNull()
-    good = F.coalesce(good, F.lit(False))
+    good = is_record(F.col(column))
     return lines.where(good), lines.where(~good)
 
 
+def is_record(line: Column) -> Column:
+    """Whether a line is one JSON object and nothing else.
+
+    The parser does not look at what follows a value, so the line is parsed as the first of two elements; the second, a hash of the line, must stand where
+    it was put.
+    """
+    mark = F.xxhash64(line)
+    both = F.try_parse_json(F.concat(F.lit("["), line, F.lit(","), mark.cast("string"), F.lit("]")))
+    whole = F.ltrim(line).startswith("{") & (F.try_variant_get(both, "$[1]", "bigint") == mark)
+    return F.coalesce(whole, F.lit(False))
+
+
 def with_blocks(df: DataFrame, size: int = BLOCK, name: str = "block_id") -> DataFrame:
     """Rows with the number of their block of ``size`` rows, in the order in which they are read.
 

@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.flatten import Leaf, discover, flatten, parse_json
 from ..plans.resolver import Field, quoted
 from ..sources import store
-from ..sources.ndjson import nested_json
+from ..sources.ndjson import is_record, nested_json
 
 
 def learn(lines: DataFrame, column: str = "value", timestamp_fields: Sequence[str] = ()) -> list[Leaf]:
@@ -33,7 +33,7 @@ def flattened(lines: DataFrame, leaves: list[Leaf], column: str = "value", times
     named = lines.select(*[F.col(quoted(c)) for c in keep], F.col(quoted(column)).alias(REST))
     df, fields, _ = flatten(named, REST, [*keep, REST], timestamp_fields, leaves=leaves)
     same = F.to_json(parse_json(nested_json(df, fields))) == F.to_json(parse_json(F.col(REST)))
-    rest = F.when(~F.coalesce(same & F.ltrim(REST).startswith("{"), F.lit(False)), F.col(REST))
+    rest = F.when(~F.coalesce(same & is_record(F.col(REST)), F.lit(False)), F.col(REST))
     return df.withColumn(REST, rest), [*fields, Field(REST, "string", REST)]
 
 

@@ -83,9 +83,9 @@ def test_all_negative_maximum(spark):
 
 
 def test_conflicts_nesting_and_malformed(spark):
-    rows = ['{"a":1}', '{"a":"x"}', '{"a":{"b":2}}', '{"a.b":3}', '{"a":{"b":{"c":4}}}', '{"a":null}', "{bad", "[1]", "7"]
+    rows = ['{"a":1}', '{"a":"x"}', '{"a":{"b":2}}', '{"a.b":3}', '{"a":{"b":{"c":4}}}', '{"a":null}', "{bad", "[1]", "7", '{"a":9}x', '{"a":9}}', '{"a":9}]', '{"a":9},{"a":9}', '{"a":9},0]x', '{"a":9}{"a":9}', '"a":9}']
     good, bad = ndjson.split_malformed(lines(spark, rows))
-    assert good.count() == 6 and bad.count() == 3
+    assert good.count() == 6 and bad.count() == 10
     e = Engine.from_json(lines(spark, rows))
     assert {(f.name, f.type) for f in e.fields} == {("a", "int"), ("a", "string"), ("~a.b", "int"), ("a.b", "int"), ("~a.b.c", "int")}
     found = discover(lines(spark, rows).select(parse_json(F.col("value")).alias("v")), "v")
@@ -245,6 +245,23 @@ def test_key_exists(spark):
     assert {tuple(r) for r in catalog.key_exists(rows, "value", ["k", "j", "z"]).collect()} == {("k", True), ("j", True), ("z", False)}
 
 
+def test_named_cache(spark):
+    from loomlog.operators.caching import NamedCache
+
+    cache = NamedCache(capacity=2)
+    frames = {n: spark.range(i).withColumnRenamed("id", n) for i, n in enumerate("abc")}
+    cache.put_all({n: frames[n] for n in "ab"})
+    assert cache.get("a").count() == 0 and cache.get("z") is None
+    cache.put("c", frames["c"])
+    assert "b" not in cache and set(cache.get_all("abc")) == {"a", "c"} and not frames["b"].storageLevel.useMemory
+    cache.warm()
+    row = cache.stats(spark).first()
+    assert (row.kept, row.hits, row.misses, row.evictions) == (2, 3, 2, 1)
+    assert cache.remove("a") and not cache.remove("a")
+    cache.clear()
+    assert "c" not in cache and not frames["c"].storageLevel.useMemory
+
+
 def test_analysis_and_cache(typed):
     found = typed.analyse("age > 3 AND (user:ann OR user:bob) GROUP BY msg")
     assert found["fields"] == {"age": ["int"], "msg": ["logtype", "string"], "user": ["string"]}

@@ -10,8 +10,12 @@ are verified, and the score is the share of template words that stand in their p
 Two passes read the texts: one counts documents for the templates' words (a table no larger than that
 vocabulary), one scans. Neither shuffles texts.
 
+The templates here are notices and telling paragraphs of common licences, not whole licence texts; ``templates`` takes any other pack.
+
 Defined cases: null text is empty; a text without words has no labels, null places and score 0; repeated rows and
-null ids are kept; a file with a base phrase and no verified template has score 0.5.
+null ids are kept; of words that are equally rare in a template the first in byte order are chosen; a file with a base phrase and no verified
+template has score 0.5; texts of any length are read whole, one at a time; an empty table gives an empty result; columns besides id and text are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -87,6 +91,113 @@ TEMPLATES = (
         ("mozilla public license",),
     ),
     Template("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License.", ("creative commons attribution",)),
+    Template(
+        "mit",
+        """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
+        MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY
+        CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE
+        SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+        ("fitness for a particular purpose and noninfringement", "authors or copyright holders be liable for any claim"),
+    ),
+    Template(
+        "apache",
+        """Grant of Copyright License. Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual,
+        worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display,
+        publicly perform, sublicense, and distribute the Work and such Derivative Works in Source or Object form.""",
+        ("grant of copyright license", "each contributor hereby grants to you a perpetual"),
+    ),
+    Template(
+        "apache",
+        """Unless required by applicable law or agreed to in writing, Licensor provides the Work (and each Contributor provides its Contributions) on
+        an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied, including, without limitation, any warranties or
+        conditions of TITLE, NON-INFRINGEMENT, MERCHANTABILITY, or FITNESS FOR A PARTICULAR PURPOSE.""",
+        ("licensor provides the work", "each contributor provides its contributions"),
+    ),
+    Template(
+        "gpl",
+        """This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by
+        the Free Software Foundation; either version 2 of the License, or (at your option) any later version.""",
+        ("gnu general public license", "free software foundation"),
+    ),
+    Template(
+        "gpl",
+        """Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed. Preamble The GNU
+        General Public License is a free, copyleft license for software and other kinds of works.""",
+        ("gnu general public license is a free copyleft license",),
+    ),
+    Template(
+        "lgpl",
+        """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as
+        published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.""",
+        ("gnu lesser general public license",),
+    ),
+    Template(
+        "agpl",
+        """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as
+        published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.""",
+        ("gnu affero general public license",),
+    ),
+    Template(
+        "bsd",
+        """Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this
+        software without specific prior written permission.""",
+        ("endorse or promote products derived from this software",),
+    ),
+    Template(
+        "bsd",
+        """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED
+        TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.""",
+        ("provided by the copyright holders and contributors as is",),
+    ),
+    Template(
+        "isc",
+        """THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF
+        MERCHANTABILITY AND FITNESS.""",
+        ("the author disclaims all warranties with regard to this software",),
+    ),
+    Template(
+        "zlib",
+        """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages
+        arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications,
+        and to alter it and redistribute it freely, subject to the following restrictions:""",
+        ("without any express or implied warranty", "alter it and redistribute it freely"),
+    ),
+    Template(
+        "unlicense",
+        """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or
+        distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.""",
+        ("free and unencumbered software released into the public domain",),
+    ),
+    Template(
+        "boost",
+        """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation
+        covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative
+        works of the Software.""",
+        ("any person or organization obtaining a copy of the software",),
+    ),
+    Template(
+        "epl",
+        """This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at
+        https://www.eclipse.org/legal/epl-2.0/""",
+        ("eclipse public license",),
+    ),
+    Template("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", ("creative commons attribution sharealike",)),
+    Template(
+        "cc0",
+        """To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.""",
+        ("waived all copyright and related",),
+    ),
+    Template(
+        "ofl",
+        """This Font Software is licensed under the SIL Open Font License, Version 1.1. This license is copied below, and is also available with a FAQ
+        at: https://scripts.sil.org/OFL""",
+        ("sil open font license",),
+    ),
+    Template(
+        "wtfpl",
+        """DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE TERMS AND CONDITIONS FOR COPYING, DISTRIBUTION AND MODIFICATION 0. You just DO WHAT THE FUCK YOU WANT TO.""",
+        ("you want to public license",),
+    ),
 )
 RARE = 24
 AGREE = 0.6

@@ -1,3 +1,4 @@
+import math
 import random
 import re
 
@@ -23,6 +24,51 @@ def brute(text):
     return len(words), len(at), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in places}))
 
 
+def brute_labels(texts, templates=licenses.TEMPLATES):
+    """Labels and score of each text, every template held against every place of it."""
+    split_all = [split(t) for t in texts]
+    own_words = [split(t.text) for t in templates]
+    keys = [[split(k) for k in t.keys] for t in templates]
+    idf = {w: math.log((len(texts) + 1) / (sum(w in set(words) for words in split_all) + 1)) for own in own_words for w in own}
+    out = []
+    for words, text in zip(split_all, texts):
+        base = {x for x in brute(text)[4].split(",") if x}
+        labels, score = set(base), 0.5 if base else 0.0
+        for own, phrases, t in zip(own_words, keys, templates):
+            rare = sorted(set(own) & set(words), key=lambda w: (-idf[w], w.encode()))[: licenses.RARE]
+            need = max(min(2, len(set(own))), math.ceil(licenses.AGREE * len(rare)))
+            for place in range(1 - len(own), len(words)):
+                there = [0 <= place + q < len(words) and words[place + q] == w for q, w in enumerate(own)]
+                if len({w for w, ok in zip(own, there) if ok} & set(rare)) < need:
+                    continue
+                near = words[max(0, place - licenses.SLACK) : max(0, place + len(own) + licenses.SLACK)]
+                if all(any(near[i : i + len(k)] == k for i in range(len(near))) for k in phrases):
+                    labels.add(t.label)
+                    score = max(score, sum(there) / len(own))
+        out.append((",".join(sorted(labels)), score))
+    return out
+
+
+def test_labels_match_brute_force(spark):
+    rng = random.Random(5)
+    texts = []
+    for i in range(70):
+        parts = []
+        for t in rng.sample(licenses.TEMPLATES, rng.choice([0, 1, 1, 2])):
+            words = t.text.split()
+            for _ in range(rng.choice([0, 0, 1, 3, 8])):
+                at = rng.randrange(len(words))
+                words[at : at + rng.choice([0, 1, 1, 2])] = rng.choices(["other", "software", "license", "the"], k=rng.choice([0, 1, 2]))
+            parts.append(" ".join(words[rng.choice([0, 0, 2]) : len(words) - rng.choice([0, 0, 5])]))
+        parts.insert(rng.randrange(len(parts) + 1), " ".join(rng.choices(["some", "code", "here", "license", "mit", "the", "of"], k=rng.randrange(0, 25))))
+        texts.append(rng.choice(["\n", " -- "]).join(parts))
+    texts += [None, "", "mit license", texts[3]]
+    got = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)).orderBy("doc_id").collect()
+    want = brute_labels(texts)
+    assert [r.labels for r in got] == [w[0] for w in want] and all(abs(r.score - w[1]) < 1e-9 for r, w in zip(got, want))
+    assert len({w[0] for w in want}) > 15 and any(0.5 < w[1] < 1 for w in want)
+
+
 def rows():
     rng = random.Random(11)
     bits = ["MIT", "License", "mit", "license", "apache", "Apache-License", "general public", "public", "GNU", "word", "É", "日本", "2.0", "\n"]

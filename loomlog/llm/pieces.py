@@ -17,7 +17,8 @@ are solved many at a time and remembered.
 
 Spaces are the model's word marks and one is put before the text. A character that no piece covers, and a literal
 word mark (U+2581), becomes byte pieces, so ``decode(encode(x)) == x`` for every text. Defined cases: null text has
-null ids; the empty text has no ids; repeated rows and null ids are kept; extra columns are ignored.
+null ids; the empty text has no ids; repeated rows and null ids are kept; an empty table gives an empty result; extra columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations

@@ -7,7 +7,9 @@ candidates are verified with the expression itself. A rule without mandatory tri
 Segments live and die inside a task, so nothing is shuffled and a lost task is simply run again.
 
 Offsets are code points, ends exclusive. Defined cases: null text is empty; a text without secrets has empty spans;
-repeated rows and null ids are kept; matches of one rule never overlap, those of different rules may.
+repeated rows and null ids are kept; matches of one rule never overlap, those of different rules may, and those that begin together
+stand in the order of the rules; texts of any length are searched whole, a long one as a segment of its own; an empty table gives an empty result; ``scan``
+ignores columns besides id and text, ``redact`` keeps all, whatever their names.
 """
 
 from __future__ import annotations
@@ -53,6 +55,20 @@ ADDED = (
     Rule("mapkey", r"AIza[A-Za-z0-9_-]{35}"),
     Rule("pay", r"[rs]k_live_[A-Za-z0-9]{16,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    Rule("forgefine", r"github_pat_[A-Za-z0-9]{22}_[A-Za-z0-9]{59}"),
+    Rule("forgelab", r"glpat-[A-Za-z0-9_-]{20,}"),
+    Rule("package", r"npm_[A-Za-z0-9]{36}"),
+    Rule("index", r"pypi-AgEIcHlwaS5vcmc[A-Za-z0-9_-]{50,}"),
+    Rule("mail", r"SG\.[A-Za-z0-9_-]{22}\.[A-Za-z0-9_-]{43}"),
+    Rule("hook", r"hooks\.slack\.com/services/T[A-Z0-9]{6,}/B[A-Z0-9]{6,}/[A-Za-z0-9]{20,}"),
+    Rule("storage", r"AccountKey=[A-Za-z0-9+/]{86}=="),
+    Rule("oauth", r"ya29\.[A-Za-z0-9_-]{30,}"),
+    Rule("client", r"GOCSPX-[A-Za-z0-9_-]{28}"),
+    Rule("droplet", r"do[op]_v1_[a-f0-9]{64}"),
+    Rule("shop", r"shp(?:at|ca|pa|ss)_[a-fA-F0-9]{32}"),
+    Rule("till", r"sq0(?:atp|csp)-[A-Za-z0-9_-]{22,}"),
+    Rule("hub", r"hf_[A-Za-z]{34}"),
+    Rule("login", r"[a-z]{2,12}://([^\s:/@\"'<>]{1,64}:[^\s:/@\"'<>]{3,128})@[A-Za-z0-9]", 1),
     Rule("pem", r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----" + PEM_KEY),
 )
 RULES = BASE + ADDED

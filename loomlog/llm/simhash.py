@@ -8,9 +8,9 @@ pairs. Groups above ``split`` members are dealt out again by a second set of ban
 remaining bits, which loses no link. Components follow by star contraction.
 
 Defined cases: null text and text without words have fingerprint zero and link like any other;
-repeated rows come back as often as they went in; a null id keeps its row and never becomes a
+texts of any length are read whole, in blocks of words, so memory follows the block; repeated rows come back as often as they went in; a null id keeps its row and never becomes a
 component id (a component of null ids alone has a null id); an empty table gives an empty
-result; columns besides id and text are ignored.
+result; columns besides id and text are ignored, whatever their names, and ``keep_one`` keeps them all.
 """
 
 from __future__ import annotations

@@ -34,6 +34,42 @@ def test_matches_brute_force(spark):
     assert found == sorted((str(k), brute(t)[0]) for k, t in rows)
 
 
+SAMPLES = {
+    "forge": "ghp_" + "a1B2" * 9, "chat": "xoxb-1234567890-ab", "mapkey": "AIza" + "x_-1Z" * 7, "pay": "sk_live_" + "a1" * 8, "jwt": "eyJhbGciOiJI.eyJzdWIiOiIx.c2lnbmF0dXJl",
+    "forgefine": "github_pat_" + "a" * 22 + "_" + "b" * 59, "forgelab": "glpat-" + "aB3_-" * 4, "package": "npm_" + "a1B2" * 9, "index": "pypi-AgEIcHlwaS5vcmc" + "x" * 50,
+    "mail": "SG." + "a" * 22 + "." + "b" * 43, "hook": "hooks.slack.com/services/T0000000/B0000000/" + "x" * 24, "storage": "AccountKey=" + "aB+/" * 21 + "aB==", "oauth": "ya29." + "a" * 30,
+    "client": "GOCSPX-" + "a" * 28, "droplet": "dop_v1_" + "0f" * 32, "shop": "shpat_" + "0aF1" * 8, "till": "sq0atp-" + "a" * 22, "hub": "hf_" + "aB" * 17, "login": "postgres://user:pa$$w@db",
+    "pem": "-----BEGIN EC PRIVATE KEY-----\nMHcCAQEEIIG\n-----END EC PRIVATE KEY-----",
+}
+
+
+def test_every_rule_against_plain_search(spark):
+    """Each expression over each text, without an index; texts are made of whole and damaged samples."""
+    assert set(SAMPLES) == {r.kind for r in secrets.ADDED}
+    rng = random.Random(6)
+    rows = []
+    for i in range(300):
+        parts = [rng.choice([" ", "\n", "é", "token = ", "x", ""]) for _ in range(rng.randrange(8))]
+        for kind in rng.sample(sorted(SAMPLES), rng.choice([0, 1, 2, 3])):
+            text = SAMPLES[kind]
+            cut = rng.randrange(len(text))
+            parts.insert(rng.randrange(len(parts) + 1), rng.choice([text, text, text[:cut], text[:cut] + "é" + text[cut:], text.upper()]))
+        rows.append((i, "".join(parts), ""))
+    rows += [(400 + i, text, "") for i, text in enumerate(SAMPLES.values())]
+    want = []
+    for key, text, _ in rows:
+        spans = []
+        for k, r in enumerate(secrets.RULES):
+            for m in re.finditer(r.pattern, text, re.ASCII | (re.IGNORECASE if r.fold else 0)):
+                if m.end(r.value) - m.start(r.value) >= r.least:
+                    spans.append((m.start(), k, r.kind, m.end()))
+        want.append((key, ",".join(f"{kind}:{a}:{b}" for a, _, kind, b in sorted(spans))))
+    got = secrets.scan(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((r.doc_id, ",".join(f"{s.kind}:{s.start}:{s.stop}" for s in r.spans)) for r in got) == want
+    found = dict(want)
+    assert all(f"{kind}:0:" in found[400 + i] for i, kind in enumerate(SAMPLES))
+
+
 def test_added_rules_and_redaction(spark):
     text = "a ghp_" + "Z" * 36 + " b token = 'abcdefghijkl' end"
     docs = spark.createDataFrame([(1, text, len(text)), (2, "clean text", 10), (3, None, None)], "doc_id bigint, text string, n_chars bigint")

@@ -308,3 +308,52 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
 
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
+
+
+def _sql() -> str:
+    """The query again: words of texts meet words of templates, and what lies in one place is counted."""
+    quoted = lambda t: "'" + t.replace("'", "''") + "'"
+    index = Index()
+    words, keys = [], []
+    for t, (own, phrases) in enumerate(zip(index.words, index.keys)):
+        words += [f"({t}, {q}, {quoted(w.decode())})" for q, w in enumerate(own)]
+        keys += [f"({t}, {quoted(b' '.join(k).decode())})" for k in phrases]
+    labels = ", ".join(f"({t}, {quoted(x.label)})" for t, x in enumerate(TEMPLATES))
+    phrases = ", ".join(f"({quoted(p)}, {len(p.split())}, {quoted(label)})" for p, label in PHRASES)
+    return f"""
+WITH t AS (SELECT * FROM (VALUES {", ".join(words)}) AS t(t, q, w)),
+k AS (SELECT * FROM (VALUES {", ".join(keys)}) AS k(t, phrase)),
+n AS (SELECT * FROM (VALUES {labels}) AS n(t, label)),
+b AS (SELECT * FROM (VALUES {phrases}) AS b(phrase, size, label)),
+z AS (SELECT t, count(*) AS size, count(DISTINCT w) AS kinds FROM t GROUP BY t),
+d AS (
+  SELECT row_number() OVER () AS rid, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS words FROM documents),
+w AS (SELECT rid, unnest(words) AS w, unnest(range(len(words))) AS p FROM d),
+df AS (SELECT w, count(DISTINCT rid) AS n FROM w GROUP BY w),
+known AS (
+  SELECT rid, t, w, row_number() OVER (PARTITION BY rid, t ORDER BY n, w) AS place
+  FROM (SELECT DISTINCT w.rid, t.t, w.w, df.n FROM w JOIN t ON t.w = w.w JOIN df ON df.w = w.w)),
+rare AS (SELECT rid, t, w, count(*) OVER (PARTITION BY rid, t) AS m FROM known WHERE place <= {RARE}),
+met AS (SELECT w.rid, t.t, w.p - t.q AS place, t.w FROM w JOIN t ON t.w = w.w),
+spot AS (
+  SELECT met.rid, met.t, met.place, count(*) AS there, count(DISTINCT rare.w) AS votes, any_value(rare.m) AS m
+  FROM met LEFT JOIN rare ON rare.rid = met.rid AND rare.t = met.t AND rare.w = met.w GROUP BY ALL),
+near AS (
+  SELECT rid, t, there / z.size AS score,
+    ' ' || array_to_string(list_slice(d.words, greatest(place - {SLACK}, 0) + 1, greatest(place + z.size + {SLACK}, 0)), ' ') || ' ' AS words
+  FROM spot JOIN z USING (t) JOIN d USING (rid) WHERE votes >= greatest(least(2, z.kinds), ceil(CAST({AGREE} AS DOUBLE) * m))),
+hit AS (SELECT rid, label, score FROM near JOIN n USING (t) WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.t = near.t AND NOT contains(near.words, ' ' || k.phrase || ' '))),
+base AS (
+  SELECT rid, label, p FROM (SELECT rid, label, phrase, p, list_slice(d.words, p + 1, p + size) AS part FROM w JOIN d USING (rid) JOIN b ON w.w = split_part(b.phrase, ' ', 1))
+  WHERE array_to_string(part, ' ') = phrase),
+bs AS (SELECT rid, count(*) AS n_base, min(p) AS first_word, max(p) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM base GROUP BY rid),
+ls AS (SELECT rid, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT rid, label FROM hit UNION ALL SELECT rid, label FROM base) GROUP BY rid),
+sc AS (SELECT rid, max(score) AS score FROM (SELECT rid, score FROM hit UNION ALL SELECT rid, 0.5 FROM base) GROUP BY rid)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score
+FROM d LEFT JOIN bs USING (rid) LEFT JOIN ls USING (rid) LEFT JOIN sc USING (rid)
+"""
+
+
+ORACLE = _sql()

@@ -24,6 +24,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op1_warc": warc.ORACLE,
     "op4_chat": chat.ORACLE,
+    "op5_secrets": secrets.ORACLE,
+    "op6_licenses": licenses.ORACLE,
     "op9_topk": topk.ORACLE,
     "op10_decontaminate": decontaminate.ORACLE,
 }

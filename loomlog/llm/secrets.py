@@ -35,19 +35,23 @@ class Rule(NamedTuple):
     pattern: str
     value: int = 0
     least: int = 0
-    fold: bool = False
+
+
+def _either_case(text: str) -> str:
+    return re.sub("[a-z]", lambda m: f"[{m[0].upper()}{m[0]}]", text)
 
 
 #: The base rules, then those that the method adds, in the order in which kinds sort.
 BASE = (
-    Rule("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12, True),
+    Rule("assign", rf"""({_either_case("password|passwd|secret|token|api_?key")})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
     Rule("access", r"AKIA[A-Z0-9]+", 0, 18),
     Rule("hex", r"[0-9a-f]+", 0, 16),
 )
-#: The key after its BEGIN line: all up to the END line or, where none follows, the base64 run. Line ends may be escaped.
+#: The key after its BEGIN line: all up to the END line or, where none follows, the base64 run. Line ends may be escaped. No run of
+#: five dashes is passed, so a search ends at the next line of this kind.
 PEM_KEY = (
-    r"(?:[^-]*+(?:-(?!----)[^-]*+)*+-----END [A-Z ]{0,30}PRIVATE KEY-----"
-    r"|(?:(?:\s|\\[rn])*+(?:Proc-Type|DEK-Info):[^\r\n\\]*+)*+(?:(?:\s|\\[rn])*+[A-Za-z0-9+/]{16,}+={0,2})*+(?:(?:\s|\\[rn])*+[A-Za-z0-9+/]{1,15}={1,2})?)"
+    r"(?:[^-]*(?:-{1,4}[^-]+)*-----END [A-Z ]{0,30}PRIVATE KEY-----"
+    r"|(?:(?:\s|\\[rn])*(?:Proc-Type|DEK-Info):[^\r\n\\]*)*(?:(?:\s|\\[rn])*[A-Za-z0-9+/]{16,}={0,2})*(?:(?:\s|\\[rn])*[A-Za-z0-9+/]{1,15}={1,2})?)"
 )
 ADDED = (
     Rule("forge", r"gh[pousr]_[A-Za-z0-9]{36,}"),
@@ -181,7 +185,7 @@ class Searcher:
 
     def __init__(self, rules: tuple[Rule, ...] = RULES):
         self.rules = rules
-        self.compiled = [re.compile(r.pattern, re.ASCII | (re.IGNORECASE if r.fold else 0)) for r in rules]
+        self.compiled = [re.compile(r.pattern, re.ASCII) for r in rules]
         self.queries = [trigram_query(r.pattern) for r in rules]
         self.terms = sorted(set().union(*map(_trigrams, self.queries)))
         self.place = {t: i for i, t in enumerate(self.terms)}
@@ -276,6 +280,33 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _sql() -> str:
+    """The query again: each rule's matches and the texts between them, whose lengths add up to places."""
+    parts = []
+    for order, r in enumerate(RULES):
+        pattern = "'" + r.pattern.replace("'", "''") + "'"
+        value = f"regexp_extract_all(text, {pattern}, {r.value})"
+        parts.append(
+            f"""SELECT rid, {order} AS o, '{r.kind}' AS kind, {r.least} AS least, unnest(regexp_extract_all(text, {pattern}, 0)) AS m, unnest({value}) AS v,
+  unnest(regexp_split_to_array(text, {pattern})[:-2]) AS gap, unnest(range(len({value}))) AS i FROM d WHERE regexp_matches(text, {pattern})"""
+        )
+    base = ", ".join(f"'{r.kind}'" for r in BASE)
+    counts = ", ".join(f"count(*) FILTER (WHERE kind = '{r.kind}') AS n_{r.kind}" for r in BASE)
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+f AS ({" UNION ALL ".join(parts)}),
+p AS (SELECT *, sum(length(gap) + length(m)) OVER (PARTITION BY rid, o ORDER BY i) AS stop FROM f),
+s AS (SELECT rid, o, kind, CAST(stop - length(m) AS BIGINT) AS a, kind || ':' || CAST(stop - length(m) AS BIGINT) || ':' || CAST(stop AS BIGINT) AS span FROM p WHERE length(v) >= least),
+g AS (
+  SELECT rid, {counts}, string_agg(span, ',' ORDER BY a, o) AS spans, string_agg(span, ',' ORDER BY a, o) FILTER (WHERE kind IN ({base})) AS base FROM s GROUP BY rid)
+SELECT doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g USING (rid)
+"""
+
+
+ORACLE = _sql()
+
+
 def redact_text(text: str | None, spans: list[tuple[int, int, str]]) -> str | None:
     """The text with each run of overlapping values replaced by the first one's kind."""
     if not spans:

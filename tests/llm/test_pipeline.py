@@ -71,7 +71,7 @@ def cleaned(text, bench):
 def redacted(text):
     spans = []
     for r in secrets.RULES:
-        for m in re.finditer(r.pattern, text, re.ASCII | (re.IGNORECASE if r.fold else 0)):
+        for m in re.finditer(r.pattern, text, re.ASCII):
             if m.end(r.value) - m.start(r.value) >= r.least:
                 spans.append((m.start(r.value), m.end(r.value), r.kind))
     out, at = "", 0

@@ -71,10 +71,9 @@ def windows(
     )
     members = spread.select(F.xxhash64("g").alias("h"), F.array_join("g", " ").alias("gram"), "item").distinct()
     members = stage(members, "members", folder)
-    grams = stage(members.select("h", "gram", F.size(F.split("gram", " ")).alias("len")).distinct(), "grams", folder)
-    # At most n lengths, and one row of two sums.
-    lengths = sorted(r["len"] for r in grams.select("len").distinct().collect())
-    count, size = grams.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("gram") + 24), F.lit(0))).first()
+    grams = members.select("h", "gram", F.size(F.split("gram", " ")).alias("len")).distinct()
+    # One row: at most n lengths, and two sums.
+    lengths, count, size = grams.agg(F.array_sort(F.collect_set("len")), F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("gram") + 24), F.lit(0))).first()
     slots = LEAST
     while slots < most and slots * 64 < BITS * count:
         slots *= 2
@@ -136,7 +135,6 @@ def hits(docs: DataFrame, known: Windows, id_col: str = "doc_id", text_col: str
         .select("uid", "f.*")
         .join(small(known.grams), ["h", "gram", "len"])
     )
-    met = stage(met.select("uid", "pos", "len", "h", "gram"), "met", folder)
     places = met.groupBy("uid").agg(F.collect_set(F.struct("pos", "len")).alias("s")).select("uid", F.expr(HIT_WORDS).alias("p")).select("uid", F.expr(RUNS).alias("spans"))
     items = met.select("uid", "h", "gram").distinct().join(small(known.items), ["h", "gram"]).select("uid", "item").distinct()
     items = items.groupBy("uid").agg(F.array_sort(F.collect_list("item")).alias("items"))

@@ -4,8 +4,8 @@ Fingerprints are made row by row (no shuffle), and only distinct ones go on, so
 cost one aggregation. Two words at most ``distance`` bits apart agree on at least one of
 ``distance + 1`` bands of bits (pigeonhole), so rows are grouped by band and each group is searched
 by the Gray index of ``gray_index``, which reports a spanning forest of the links, never all
-pairs. Groups above ``split`` members are dealt out again by a second set of bands over the
-remaining bits, which loses no link. Components follow by star contraction.
+pairs. Groups above ``split`` members are dealt out again by bands of the bits that they do not share yet, which loses no link, up to
+``LEVELS`` times: then members share so many bits that a group has at most about a million different fingerprints. Components follow by star contraction.
 
 Defined cases: null text and text without words have fingerprint zero and link like any other;
 texts of any length are read whole, in blocks of words, so memory follows the block; repeated rows come back as often as they went in; a null id keeps its row and never becomes a
@@ -33,6 +33,7 @@ SHINGLE = 3
 DISTANCE = 3
 SMALL_GROUP = 48
 SPLIT = 20_000
+LEVELS = 4
 SPACE = re.compile(rb"[\x20\x09-\x0d]")
 
 
@@ -95,35 +96,25 @@ def _bands(width: int, parts: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
 
 
-def _keyed(frame: DataFrame, parts: int) -> DataFrame:
-    """A row for each band: ``key`` holds the band's number and its bits."""
-    keys = [
-        F.lit(i << 32) + F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << bits) - 1))
-        for i, (shift, bits) in enumerate(_bands(64, parts))
-    ]
-    return frame.select("fp", F.explode(F.array(*keys)).alias("key"))
+def _finer(mask: int, parts: int) -> list[int]:
+    """Masks of the bits of ``mask`` and one of ``parts`` bands of all others.
 
+    Members of a group agree on the bits of its mask and differ in at most ``parts - 1`` of the others, so two that are linked agree on one of these
+    masks as well.
+    """
+    rest = [i for i in range(64) if not mask >> i & 1]
+    return [mask | sum(1 << i for i in rest[shift : shift + bits]) for shift, bits in _bands(len(rest), parts)]
 
-def _split(frame: DataFrame, parts: int) -> DataFrame:
-    """The rows of a large group by the bands of the bits that its key leaves open.
 
-    Members agree on the key's band and differ in at most ``distance`` of the other bits, so they
-    agree on one of these finer bands as well.
-    """
-    bands = _bands(64, parts)
+def _dealt(frame: DataFrame, masks: list[int], parts: int) -> DataFrame:
+    """``(fp, mask, key)``: the rows of groups of ``masks`` in finer groups, each told by its mask and the bits under it."""
     options = None
-    for i, (shift, bits) in enumerate(bands):
-        low = F.col("fp").bitwiseAND(F.lit((1 << shift) - 1)) if shift else F.lit(0).cast("bigint")
-        high = F.shiftrightunsigned("fp", shift + bits) if shift + bits < 64 else F.lit(0).cast("bigint")
-        rest = high.bitwiseOR(F.lit(0)) if not shift else F.shiftleft(high, shift).bitwiseOR(low)
-        finer = F.array(
-            *[
-                F.xxhash64("key", F.lit(j), F.shiftrightunsigned(rest, s).bitwiseAND(F.lit((1 << w) - 1)))
-                for j, (s, w) in enumerate(_bands(64 - bits, parts))
-            ]
-        )
-        options = F.when(F.shiftright("key", 32) == i, finer) if options is None else options.when(F.shiftright("key", 32) == i, finer)
-    return frame.select("fp", F.explode(options).alias("key"))
+    for mask in masks:
+        finer = F.array(*[F.lit(signed(m)).cast("bigint") for m in _finer(mask, parts)])
+        here = F.col("mask") == F.lit(signed(mask)).cast("bigint")
+        options = F.when(here, finer) if options is None else options.when(here, finer)
+    out = frame.select("fp", F.explode(options).alias("mask"))
+    return out.withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
 
 
 def search_sorted(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.RecordBatch]:
@@ -179,16 +170,23 @@ def search_sorted(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[
 def links(distinct: DataFrame, distance: int = DISTANCE, split: int = SPLIT, folder: str | None = None) -> DataFrame:
     """Edges ``(u, v)`` between distinct fingerprints whose closure is the closure of all links."""
     parts = distance + 1
-    keyed = _keyed(distinct, parts)
-    # At most parts * 2^16 keys exist with four bands, so the list of large ones is bounded.
-    large = keyed.groupBy("key").count().where(F.col("count") > split).select("key")
-    large = stage(large, "large", folder) if folder else large
-    if large.isEmpty():
-        dealt = keyed
-    else:
-        marked = keyed.join(F.broadcast(large.withColumn("large", F.lit(True))), "key", "left")
-        dealt = marked.where("large is null").select("fp", "key").unionByName(_split(marked.where("large"), parts))
-    ordered = dealt.select("key", "fp").repartition("key").sortWithinPartitions("key", "fp")
+    masks = [0]
+    dealt = _dealt(distinct.select("fp", F.lit(0).cast("bigint").alias("mask")), masks, parts)
+    done = None
+    for level in range(1, LEVELS):
+        large = dealt.groupBy("mask", "key").count().where(F.col("count") > split).select("mask", "key", F.lit(True).alias("large"))
+        large = stage(large, f"large-{level}", folder) if folder else large
+        if large.isEmpty():
+            break
+        # At the first level there are at most parts * 2^16 groups with four bands; further down the list is joined as its size asks for.
+        marked = dealt.join(F.broadcast(large) if level == 1 and parts == 4 else large, ["mask", "key"], "left")
+        small = marked.where("large is null").select("fp", "mask", "key")
+        done = small if done is None else done.unionByName(small)
+        masks = sorted({m for mask in masks for m in _finer(mask, parts)})
+        dealt = _dealt(marked.where("large").select("fp", "mask"), masks, parts)
+    dealt = dealt if done is None else done.unionByName(dealt)
+    # Groups that meet by a collision of this hash are searched together, which finds the same links.
+    ordered = dealt.select(F.xxhash64("mask", "key").alias("key"), "fp").repartition("key").sortWithinPartitions("key", "fp")
     return ordered.mapInArrow(lambda it: search_sorted(it, distance), "u bigint, v bigint")
 
 

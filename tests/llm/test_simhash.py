@@ -61,6 +61,41 @@ def test_matches_brute_force(spark, split):
     assert found == brute(rows)
 
 
+@pytest.mark.parametrize("split", [2, 40, 400])
+def test_crowded_groups_lose_no_link(spark, split):
+    """Fingerprints that share most of their bits, so that groups stay large at every level."""
+    rng = np.random.default_rng(split)
+    base = int(rng.integers(0, 1 << 63))
+    low = rng.choice(1 << 22, size=700, replace=False).astype(np.uint64)
+    fps = np.unique(np.concatenate([np.uint64(base >> 22 << 22) | low, rng.integers(0, 1 << 63, size=100, dtype=np.uint64)]))
+    frame = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
+    edges = np.array([tuple(r) for r in simhash.links(frame, split=split).collect()], dtype=np.int64).reshape(-1, 2).view(np.uint64)
+    assert all((int(u) ^ int(v)).bit_count() <= 3 for u, v in edges)
+
+    def classes(pairs):
+        label = {int(x): int(x) for x in fps}
+
+        def find(x):
+            while label[x] != x:
+                label[x] = label[label[x]]
+                x = label[x]
+            return x
+
+        for u, v in pairs:
+            label[max(find(int(u)), find(int(v)))] = min(find(int(u)), find(int(v)))
+        return [find(int(x)) for x in fps]
+
+    close = [(u, v) for i, u in enumerate(fps) for v in fps[:i][np.bitwise_count(fps[:i] ^ u) <= 3]]
+    assert classes(edges) == classes(close) and len(set(classes(close))) < len(fps)
+
+
+def test_levels_bound_a_group():
+    masks = {0}
+    for _ in range(simhash.LEVELS):
+        masks = {m for mask in masks for m in simhash._finer(mask, 4)}
+    assert all(64 - m.bit_count() <= 21 for m in masks) and len(masks) <= 4**simhash.LEVELS
+
+
 def test_empty(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
 

@@ -198,6 +198,14 @@ def test_a_full_format_grows(spark, tmp_path):
     assert len(got) == len(set(got.values())) == 1000 and not set(got) & set(got.values()) and {len(v) for v in got.values()} <= {4, 5}
 
 
+def test_a_hot_entity_is_dealt_over_salts(spark):
+    """More than one occurrence in 4,096, and more than 1,000: one surrogate all the same."""
+    rows = [(i, f"note {i} to boss@corp.example and u{i}@corp.example") for i in range(2500)]
+    out = run(spark, rows)
+    pairs = [re.fullmatch(r"note \d+ to (\S+) and (\S+)", out[str(i)].text).groups() for i in range(2500)]
+    assert len({a for a, _ in pairs}) == 1 and len({b for _, b in pairs}) == 2500 and all(out[str(i)].n_email == 2 for i in range(2500))
+
+
 def test_hmac(spark):
     for key in (b"", b"k", b"long " * 40):
         got = spark.range(1).select(surrogates.hmac_sha256(key, surrogates.F.lit("messäge"))).first()[0]

@@ -39,10 +39,10 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 CHUNK = 65_536
 BLOCK = 256
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
 #: Runs of up to so many characters are remembered, and about so many of them in each worker.
 REMEMBERED = 40
-MEMORY = 250_000
+MEMORY = 100_000
 UNK_PENALTY = 10
 NEG = -(1 << 62)
 

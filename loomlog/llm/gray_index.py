@@ -1,9 +1,9 @@
-"""Gray-order hierarchical index over 64-bit fingerprints, for one block of the data.
+"""Gray-order hierarchical index over fingerprints of one or more 64-bit words, for one block of the data.
 
 Fingerprints are sorted by Gray rank, so that neighbours share many bits. Each leaf holds a run
 of them; its mask keeps the bits on which all members agree and its pattern their values. Upper
 nodes factor what their children share. Two nodes are at least
-``popcount((pattern_a ^ pattern_b) & mask_a & mask_b)`` bits apart, and going down only adds
+``popcount((pattern_a ^ pattern_b) & mask_a & mask_b)`` bits apart, over all words, and going down only adds
 bits to that sum, so a pair of groups is dropped as soon as the sum passes the threshold.
 Pairs of groups that are one component already are dropped as well: only links between
 different components matter, which keeps dense clusters from being enumerated.
@@ -25,6 +25,18 @@ def gray_rank(fps: np.ndarray) -> np.ndarray:
     return rank
 
 
+def gray_order(fps: np.ndarray) -> np.ndarray:
+    """Places in order of Gray rank, by the first word first."""
+    return np.lexsort([gray_rank(fps[:, w]) for w in reversed(range(fps.shape[1]))])
+
+
+def bits_set(words: np.ndarray) -> np.ndarray:
+    """Over the last axis, the words of a fingerprint."""
+    if words.shape[-1] == 1:
+        return np.bitwise_count(words[..., 0])
+    return np.bitwise_count(words).sum(axis=-1, dtype=np.uint16)
+
+
 class Forest:
     """Union-find over ``n`` items that remembers the edges that joined two trees."""
 
@@ -57,10 +69,11 @@ class Forest:
 
 
 class GrayIndex:
-    """The index over ``fps`` (distinct, uint64); ``levels[0]`` are the leaves."""
+    """The index over ``fps`` (distinct, uint64, a column for each word if several); ``levels[0]`` are the leaves."""
 
     def __init__(self, fps: np.ndarray, leaf: int = LEAF, fanout: int = FANOUT):
-        self.order = np.argsort(gray_rank(fps), kind="stable")
+        fps = fps.reshape(len(fps), -1)
+        self.order = gray_order(fps)
         self.fps = fps[self.order]
         self.leaf, self.fanout = leaf, fanout
         starts = np.arange(0, len(fps), leaf)
@@ -99,7 +112,7 @@ class GrayIndex:
         forest = Forest(n)
         at = np.arange(n)
         for step in range(1, min(9, n)):
-            near = np.bitwise_count(self.fps[step:] ^ self.fps[:-step]) <= distance
+            near = bits_set(self.fps[step:] ^ self.fps[:-step]) <= distance
             forest.link(at[:-step][near], at[step:][near])
         top = len(self.levels) - 1
         stack = [(top, np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64))]
@@ -113,7 +126,7 @@ class GrayIndex:
             if known is not forest.label:
                 known, uniform = forest.label, self._uniform(forest.label)
             mask, pattern = self.levels[level]
-            keep = np.bitwise_count((pattern[a] ^ pattern[b]) & mask[a] & mask[b]) <= distance
+            keep = bits_set((pattern[a] ^ pattern[b]) & mask[a] & mask[b]) <= distance
             keep &= (uniform[level][a] != uniform[level][b]) | (uniform[level][a] < 0)
             a, b = a[keep], b[keep]
             if not len(a):
@@ -127,11 +140,12 @@ class GrayIndex:
     def _compare(self, a: np.ndarray, b: np.ndarray, distance: int, forest: Forest, block: int = 4096) -> None:
         n = len(self.fps)
         off = np.arange(self.leaf)
+        block = max(1, block // self.fps.shape[1])
         for i in range(0, len(a), block):
             left = a[i : i + block, None] * self.leaf + off
             right = b[i : i + block, None] * self.leaf + off
             fl, fr = self.fps[np.minimum(left, n - 1)], self.fps[np.minimum(right, n - 1)]
-            near = np.bitwise_count(fl[:, :, None] ^ fr[:, None, :]) <= distance
+            near = bits_set(fl[:, :, None] ^ fr[:, None, :]) <= distance
             near &= (left < n)[:, :, None] & (right < n)[:, None, :]
             near &= left[:, :, None] < right[:, None, :]
             k, x, y = np.nonzero(near)
@@ -140,12 +154,15 @@ class GrayIndex:
 
 def small_groups(key: np.ndarray, fps: np.ndarray, distance: int, most: int) -> np.ndarray:
     """Links between rows of equal key, for keys of at most ``most`` rows each, all at once."""
+    fps = fps.reshape(len(fps), -1)
     found = []
     at = np.arange(len(key))
     for step in range(1, min(most, len(key))):
         same = key[step:] == key[:-step]
         if not same.any():
             break
-        near = same & (np.bitwise_count(fps[step:] ^ fps[:-step]) <= distance)
+        near = same.copy()
+        at_step = np.flatnonzero(same)
+        near[at_step] = bits_set(fps[step:][at_step] ^ fps[:-step][at_step]) <= distance
         found.append(np.stack([at[:-step][near], at[step:][near]], axis=1))
     return np.concatenate(found) if found else np.empty((0, 2), dtype=np.int64)

@@ -7,6 +7,11 @@ by the Gray index of ``gray_index``, which reports a spanning forest of the link
 pairs. Groups above ``split`` members are dealt out again by bands of the bits that they do not share yet, which loses no link, up to
 ``LEVELS`` times: then members share so many bits that a group has at most about a million different fingerprints. Components follow by star contraction.
 
+``near_duplicates`` links fingerprints of 64 bits, which tell texts apart that differ in more than a few words. ``near_copies`` is for texts
+whose five-word shingles have a similarity of 0.8 or more: its fingerprints have ``words`` times 64 bits, and at 0.8 two differ in 15 % of them on average. Rows are
+grouped by bands of ``band`` bits, and each group is searched by the same index for pairs at most ``distance`` bits apart. Bands miss a pair at 0.8 once in
+twenty times or so. Groups above ``split`` members are dealt out as pairs of blocks, which loses no link.
+
 Defined cases: null text and text without words have fingerprint zero and link like any other;
 texts of any length are read whole, in blocks of words, so memory follows the block; repeated rows come back as often as they went in; a null id keeps its row and never becomes a
 component id (a component of null ids alone has a null id); an empty table gives an empty
@@ -17,11 +22,12 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import map_rows, new_folder, stage, table
@@ -34,6 +40,10 @@ DISTANCE = 3
 SMALL_GROUP = 48
 SPLIT = 20_000
 LEVELS = 4
+#: For near copies: words of a shingle, 64-bit words of a fingerprint, bits of a band, and the bits in which copies may differ.
+COPY_SHINGLE, COPY_WORDS, COPY_BAND, COPY_DISTANCE = 5, 4, 12, 48
+# The constants of the SplitMix64 generator.
+SPLIT_MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 SPACE = re.compile(rb"[\x20\x09-\x0d]")
 
 
@@ -76,6 +86,30 @@ def fold(blocks: Iterable[np.ndarray], size: int = 1 << 18) -> int:
     return int.from_bytes(np.packbits(counts * 2 > total).tobytes(), "big") if total else 0
 
 
+def _mixed(hashes: np.ndarray, word: int) -> np.ndarray:
+    """Another 64 bits for each hash; word 0 are the hashes themselves."""
+    if not word:
+        return hashes
+    step, first, second = (np.uint64(c) for c in SPLIT_MIX)
+    with np.errstate(over="ignore"):
+        x = hashes + step * np.uint64(word)
+        x = (x ^ (x >> np.uint64(30))) * first
+        x = (x ^ (x >> np.uint64(27))) * second
+    return x ^ (x >> np.uint64(31))
+
+
+def fold_wide(blocks: Iterable[np.ndarray], words: int, size: int = 1 << 16) -> list[int]:
+    """The fingerprint's words, each as ``fold`` makes it of the mixed hashes."""
+    counts, total = np.zeros((words, 64), dtype=np.int64), 0
+    for hashes in blocks:
+        total += len(hashes)
+        for i in range(0, len(hashes), size):
+            for w in range(words):
+                part = _mixed(hashes[i : i + size], w).astype(">u8").view(np.uint8).reshape(-1, 8)
+                counts[w] += np.unpackbits(part, axis=1).sum(axis=0, dtype=np.int64)
+    return [int.from_bytes(np.packbits(c * 2 > total).tobytes(), "big") if total else 0 for c in counts]
+
+
 def signed(value: int) -> int:
     return value - (1 << 64) if value >= 1 << 63 else value
 
@@ -118,53 +152,50 @@ def _dealt(frame: DataFrame, masks: list[int], parts: int) -> DataFrame:
 
 
 def search_sorted(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.RecordBatch]:
-    """Rows ``(key, fp)`` in order of key to the edges within each key.
+    """Rows ``(key, node, words...)`` in order of key to the edges ``(u, v)`` of nodes within each key; without words the node is the fingerprint.
 
     Whole groups are worked on, many small ones at a time; only the group that crosses a batch is held back.
     """
 
-    def edges(key: np.ndarray, fps: np.ndarray) -> np.ndarray:
+    def edges(key: np.ndarray, node: np.ndarray, fps: np.ndarray) -> np.ndarray:
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         sizes = np.diff(np.r_[starts, len(key)])
         out = []
         small = np.repeat(sizes <= SMALL_GROUP, sizes)
         if small.any():
-            k, f = key[small], fps[small]
+            k, f, name = key[small], fps[small], node[small]
             pairs = small_groups(k, f, distance, int(sizes[sizes <= SMALL_GROUP].max()))
             if len(pairs):
                 forest = Forest(len(k))
                 forest.link(pairs[:, 0], pairs[:, 1])
                 pairs = forest.spanning()
-                out.append(np.stack([f[pairs[:, 0]], f[pairs[:, 1]]], axis=1))
+                out.append(np.stack([name[pairs[:, 0]], name[pairs[:, 1]]], axis=1))
         for s, n in zip(starts[sizes > SMALL_GROUP], sizes[sizes > SMALL_GROUP]):
-            f = fps[s : s + n]
-            pairs = GrayIndex(f).link(distance)
-            out.append(np.stack([f[pairs[:, 0]], f[pairs[:, 1]]], axis=1))
-        return np.concatenate(out) if out else np.empty((0, 2), dtype=np.uint64)
+            name = node[s : s + n]
+            pairs = GrayIndex(fps[s : s + n]).link(distance)
+            out.append(np.stack([name[pairs[:, 0]], name[pairs[:, 1]]], axis=1))
+        return np.concatenate(out) if out else np.empty((0, 2), dtype=np.int64)
 
     def batch(found: np.ndarray) -> Iterator[pa.RecordBatch]:
-        found = found.view(np.int64)
         for i in range(0, len(found), 65536):
             part = np.ascontiguousarray(found[i : i + 65536])
             yield pa.RecordBatch.from_arrays([pa.array(part[:, 0]), pa.array(part[:, 1])], names=["u", "v"])
 
-    held_key: list[np.ndarray] = []
-    held_fp: list[np.ndarray] = []
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for b in batches:
         if not b.num_rows:
             continue
-        key = b.column(0).to_numpy(zero_copy_only=False)
-        fps = b.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
-        held_key.append(key)
-        held_fp.append(fps)
-        if key[-1] == held_key[0][0]:
+        columns = [b.column(i).to_numpy(zero_copy_only=False) for i in range(b.num_columns)]
+        fps = np.stack([c.view(np.uint64) for c in columns[2:] or columns[1:]], axis=1)
+        held.append((columns[0], columns[1], fps))
+        if columns[0][-1] == held[0][0][0]:
             continue
-        key, fps = np.concatenate(held_key), np.concatenate(held_fp)
+        key, node, fps = (np.concatenate(x) for x in zip(*held))
         cut = int(np.searchsorted(key, key[-1]))
-        yield from batch(edges(key[:cut], fps[:cut]))
-        held_key, held_fp = [key[cut:]], [fps[cut:]]
-    if held_key:
-        yield from batch(edges(np.concatenate(held_key), np.concatenate(held_fp)))
+        yield from batch(edges(key[:cut], node[:cut], fps[:cut]))
+        held = [(key[cut:], node[cut:], fps[cut:])]
+    if held:
+        yield from batch(edges(*(np.concatenate(x) for x in zip(*held))))
 
 
 def links(distinct: DataFrame, distance: int = DISTANCE, split: int = SPLIT, folder: str | None = None) -> DataFrame:
@@ -186,7 +217,7 @@ def links(distinct: DataFrame, distance: int = DISTANCE, split: int = SPLIT, fol
         dealt = _dealt(marked.where("large").select("fp", "mask"), masks, parts)
     dealt = dealt if done is None else done.unionByName(dealt)
     # Groups that meet by a collision of this hash are searched together, which finds the same links.
-    ordered = dealt.select(F.xxhash64("mask", "key").alias("key"), "fp").repartition("key").sortWithinPartitions("key", "fp")
+    ordered = dealt.select(F.xxhash64("mask", "key").alias("key"), "fp").repartition("key").sortWithinPartitions("key")
     return ordered.mapInArrow(lambda it: search_sorted(it, distance), "u bigint, v bigint")
 
 
@@ -212,15 +243,66 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def near_copies(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = COPY_SHINGLE, words: int = COPY_WORDS, band: int = COPY_BAND,
+    distance: int = COPY_DISTANCE, split: int = SPLIT,
+) -> DataFrame:
+    """One row per row of ``docs``: ``(id, component_id)``, the smallest id among the near copies of a text."""
+    folder = new_folder(docs.sparkSession, "copies")
+    names = [f"w{i}" for i in range(words)]
+
+    def rows(batch):
+        for key, text in batch:
+            yield key, *map(signed, fold_wide(text_hashes(text, shingle), words))
+
+    schema = f"{id_col} bigint, " + ", ".join(f"{n} bigint" for n in names)
+    prints = stage(map_rows(docs, rows, schema, [F.col(id_col).cast("bigint"), F.col(text_col).cast("string")]), "prints", folder)
+    # Numbers of distinct fingerprints; written, so that they are the same whenever they are read.
+    nodes = prints.groupBy(*names).agg(F.min(id_col).alias("least")).withColumn("node", F.monotonically_increasing_id())
+    nodes = stage(nodes, "nodes", folder)
+    labels = connected_components(_copy_links(nodes, names, band, distance, split, folder))
+    labelled = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    smallest = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
+    classes = stage(labelled.join(smallest, "label").select(*names, "component_id"), "classes", folder)
+    return prints.join(classes, names).select(id_col, "component_id")
+
+
+def _copy_links(nodes: DataFrame, names: list[str], band: int, distance: int, split: int, folder: str) -> DataFrame:
+    """Edges ``(u, v)`` between nodes that share a band and are at most ``distance`` bits apart, up to closure within each group."""
+    each = 64 // band
+    keys = [
+        F.lit((w * each + i) << band).cast("bigint") + F.shiftrightunsigned(F.col(name), i * band).bitwiseAND(F.lit((1 << band) - 1))
+        for w, name in enumerate(names)
+        for i in range(each)
+    ]
+    # Texts without words are one node, and no copy of a text that has any.
+    worded = reduce(lambda a, b: a | b, [F.col(n) != 0 for n in names])
+    keyed = nodes.where(worded).select("node", *names, F.explode(F.array(*keys)).alias("key"))
+    # There are no more keys than bands times 2^band.
+    large = keyed.groupBy("key").count().where(F.col("count") > split).select("key", F.ceil(F.col("count") / split).cast("int").alias("blocks"))
+    marked = keyed.join(F.broadcast(stage(large, "large", folder)), "key", "left")
+    own = F.pmod(F.xxhash64("node"), F.coalesce("blocks", F.lit(1))).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1), lambda j: F.struct(F.least(own, j).alias("a"), F.greatest(own, j).alias("b")))
+    dealt = marked.select("key", "node", *names, F.explode(pairs).alias("p"))
+    dealt = dealt.select(F.xxhash64("key", "p.a", "p.b").alias("key"), "node", *names)
+    ordered = dealt.repartition("key").sortWithinPartitions("key")
+    return ordered.mapInArrow(lambda it: search_sorted(it, distance), "u bigint, v bigint")
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents with one of each group left: that with the component's smallest id.
+    """The documents with one of each group of near copies left: that with the component's smallest id.
 
-    An id names a document, so of several rows with one id one stays. Rows with a null id cannot be told apart, and all stay.
+    An id names a document, so of several rows with one id one stays, that with the first text in order. Rows with a null id cannot be told apart, and all stay.
     """
-    first = near_duplicates(docs).where("doc_id = component_id").groupBy("doc_id").count()
-    first = stage(first, "first")
+    first = near_copies(docs).where("doc_id is not null").groupBy("doc_id")
+    first = first.agg(F.count(F.lit(1)).alias("n"), F.bool_or(F.col("doc_id") == F.col("component_id")).alias("stays")).where("stays")
+    first = stage(first.select("doc_id", "n"), "first")
     # The ids that stay are nearly all ids: they are never broadcast, at no size.
-    named = docs.where("doc_id is not null").join(first.select("doc_id").hint("merge"), "doc_id", "left_semi").select(*docs.columns)
-    if not first.where("count > 1").isEmpty():
-        named = named.dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null"))
+    named = lambda ids: docs.where("doc_id is not null").join(ids.select("doc_id").hint("merge"), "doc_id", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    repeated = first.where("n > 1")
+    if repeated.isEmpty():
+        out = named(first)
+    else:
+        place = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+        out = named(first.where("n = 1")).unionByName(named(repeated).withColumn("_loomlog_n", place).where("_loomlog_n = 1").drop("_loomlog_n"))
+    return out.unionByName(docs.where("doc_id is null"))

@@ -67,6 +67,12 @@ def text_hashes(text: str | None, shingle: int = SHINGLE, size: int = 4 << 20) -
         yield np.array([xxhash.xxh64_intdigest(b" ".join(held), SEED)], dtype=np.uint64)
 
 
+def distinct_hashes(text: str | None, shingle: int) -> list[np.ndarray]:
+    """XXH64 of the different shingles, so that a line said a thousand times counts once."""
+    blocks = list(text_hashes(text, shingle))
+    return [np.unique(np.concatenate(blocks))] if blocks else []
+
+
 def _hashes(words: list[bytes], shingle: int) -> np.ndarray:
     joined, digest = b" ".join(words), xxhash.xxh64_intdigest
     sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
@@ -253,7 +259,7 @@ def near_copies(
 
     def rows(batch):
         for key, text in batch:
-            yield key, *map(signed, fold_wide(text_hashes(text, shingle), words))
+            yield key, *map(signed, fold_wide(distinct_hashes(text, shingle), words))
 
     schema = f"{id_col} bigint, " + ", ".join(f"{n} bigint" for n in names)
     prints = stage(map_rows(docs, rows, schema, [F.col(id_col).cast("bigint"), F.col(text_col).cast("string")]), "prints", folder)

@@ -203,6 +203,8 @@ def copied(seed):
                 rows.append((3000 + 10 * i + k, edited(rng, text, n // 15)))
         if i % 4 == 0:
             rows.append((2000 + i, text.upper()))
+    for i in range(4):  # what is repeated counts once
+        rows.append((4000 + i, "again " * 900 + " ".join(f"v{rng.randrange(3000)}" for _ in range(40))))
     return rows + [(5000, None), (5001, ""), (5002, " \t"), (None, rows[2][1]), (None, "only nulls have this text of seven words"), (7, rows[7][1])]
 
 

@@ -64,7 +64,6 @@ ADDED = (
     Rule("package", r"npm_[A-Za-z0-9]{36}"),
     Rule("index", r"pypi-AgEIcHlwaS5vcmc[A-Za-z0-9_-]{50,}"),
     Rule("mail", r"SG\.[A-Za-z0-9_-]{22}\.[A-Za-z0-9_-]{43}"),
-    Rule("hook", r"hooks\.slack\.com/services/T[A-Z0-9]{6,}/B[A-Z0-9]{6,}/[A-Za-z0-9]{20,}"),
     Rule("storage", r"AccountKey=[A-Za-z0-9+/]{86}=="),
     Rule("oauth", r"ya29\.[A-Za-z0-9_-]{30,}"),
     Rule("client", r"GOCSPX-[A-Za-z0-9_-]{28}"),

@@ -37,7 +37,7 @@ def test_matches_brute_force(spark):
 SAMPLES = {
     "forge": "ghp_" + "a1B2" * 9, "chat": "xoxb-1234567890-ab", "mapkey": "AIza" + "x_-1Z" * 7, "pay": "sk_live_" + "a1" * 8, "jwt": "eyJhbGciOiJI.eyJzdWIiOiIx.c2lnbmF0dXJl",
     "forgefine": "github_pat_" + "a" * 22 + "_" + "b" * 59, "forgelab": "glpat-" + "aB3_-" * 4, "package": "npm_" + "a1B2" * 9, "index": "pypi-AgEIcHlwaS5vcmc" + "x" * 50,
-    "mail": "SG." + "a" * 22 + "." + "b" * 43, "hook": "hooks.slack.com/services/T0000000/B0000000/" + "x" * 24, "storage": "AccountKey=" + "aB+/" * 21 + "aB==", "oauth": "ya29." + "a" * 30,
+    "mail": "SG." + "a" * 22 + "." + "b" * 43, "storage": "AccountKey=" + "aB+/" * 21 + "aB==", "oauth": "ya29." + "a" * 30,
     "client": "GOCSPX-" + "a" * 28, "droplet": "dop_v1_" + "0f" * 32, "shop": "shpat_" + "0aF1" * 8, "till": "sq0atp-" + "a" * 22, "hub": "hf_" + "aB" * 17, "login": "postgres://user:pa$$w@db",
     "pem": "-----BEGIN EC PRIVATE KEY-----\nMHcCAQEEIIG\n-----END EC PRIVATE KEY-----",
 }

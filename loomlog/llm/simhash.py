@@ -92,28 +92,30 @@ def fold(blocks: Iterable[np.ndarray], size: int = 1 << 18) -> int:
     return int.from_bytes(np.packbits(counts * 2 > total).tobytes(), "big") if total else 0
 
 
-def _mixed(hashes: np.ndarray, word: int) -> np.ndarray:
-    """Another 64 bits for each hash; word 0 are the hashes themselves."""
-    if not word:
-        return hashes
+def _mixed(hashes: np.ndarray, words: int) -> np.ndarray:
+    """A row of ``words`` times 64 bits for each hash; the first word is the hash itself."""
+    out = np.empty((len(hashes), words), dtype=np.uint64)
+    out[:, 0] = hashes
     step, first, second = (np.uint64(c) for c in SPLIT_MIX)
     with np.errstate(over="ignore"):
-        x = hashes + step * np.uint64(word)
+        x = hashes[:, None] + np.arange(1, words, dtype=np.uint64) * step
         x = (x ^ (x >> np.uint64(30))) * first
         x = (x ^ (x >> np.uint64(27))) * second
-    return x ^ (x >> np.uint64(31))
+    out[:, 1:] = x ^ (x >> np.uint64(31))
+    return out
 
 
 def fold_wide(blocks: Iterable[np.ndarray], words: int, size: int = 1 << 16) -> list[int]:
     """The fingerprint's words, each as ``fold`` makes it of the mixed hashes."""
-    counts, total = np.zeros((words, 64), dtype=np.int64), 0
+    counts, total = np.zeros(words * 64, dtype=np.int64), 0
     for hashes in blocks:
         total += len(hashes)
         for i in range(0, len(hashes), size):
-            for w in range(words):
-                part = _mixed(hashes[i : i + size], w).astype(">u8").view(np.uint8).reshape(-1, 8)
-                counts[w] += np.unpackbits(part, axis=1).sum(axis=0, dtype=np.int64)
-    return [int.from_bytes(np.packbits(c * 2 > total).tobytes(), "big") if total else 0 for c in counts]
+            bits = np.unpackbits(_mixed(hashes[i : i + size], words).byteswap().view(np.uint8), axis=1)
+            lanes = bits.view(np.uint64)  # eight counters of a byte each, which 255 rows cannot overflow
+            for j in range(0, len(lanes), 255):
+                counts += np.add.reduce(lanes[j : j + 255], axis=0).view(np.uint8)
+    return [int.from_bytes(row.tobytes(), "big") for row in np.packbits((counts * 2 > total).reshape(words, 64), axis=1)]
 
 
 def signed(value: int) -> int:

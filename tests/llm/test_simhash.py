@@ -208,6 +208,16 @@ def copied(seed):
     return rows + [(5000, None), (5001, ""), (5002, " \t"), (None, rows[2][1]), (None, "only nulls have this text of seven words"), (7, rows[7][1])]
 
 
+def test_wide_fold_counts_bits():
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 2, 255, 256, 700):
+        hashes = rng.integers(0, 1 << 64, size=n, dtype=np.uint64)
+        got = simhash.fold_wide([hashes[: n // 3], hashes[n // 3 :]], 3, size=300)
+        mixed = simhash._mixed(hashes, 3)
+        assert got == [sum(1 << b for b in range(64) if 2 * sum(int(h) >> b & 1 for h in mixed[:, w]) > n) for w in range(3)]
+        assert not n or got[0] == simhash.fold([hashes])
+
+
 @pytest.mark.parametrize("options", [{}, {"split": 3}])
 def test_near_copies_match_brute_force(spark, options):
     rows = copied(4)

@@ -14,7 +14,7 @@ from .sources import ndjson, store
 
 
 class Engine:
-    """Operators return lazy DataFrames; building an engine from JSON reads it once a level of nesting, for its fields."""
+    """Operators return lazy DataFrames; building an engine from JSON reads it once for every three levels of nesting, for its fields."""
 
     def __init__(self, df: DataFrame, fields: Iterable[Field] | None = None, null_is_different: bool = False, block: str = "block_id"):
         self.df = df
@@ -39,8 +39,7 @@ class Engine:
         cls, lines: DataFrame, column: str = "value", timestamp_fields: Sequence[str] = (), structured: bool = False, keep: Sequence[str] = (), **kw
     ) -> Engine:
         """Lines of JSON objects; lines that are none are left out (``ndjson.split_malformed`` gives them)."""
-        good, _ = ndjson.split_malformed(lines, column)
-        df, fields, _ = flatten.flatten(good, column, keep, timestamp_fields, structured)
+        df, fields, _ = flatten.flatten(ndjson.records(lines, column, "_v"), "_v", keep, timestamp_fields, structured)
         return cls(df, fields, **kw)
 
     @classmethod

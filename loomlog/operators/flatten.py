@@ -15,13 +15,14 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import VariantType
 
 from ..functions.detect import string_type
 from ..plans.resolver import Field, physical_names, quoted
 
 DEPTH = 32
 WIDE = 2000
-LEVELS = 4
+LEVELS = 3
 
 
 @dataclass(frozen=True)
@@ -199,14 +200,16 @@ def flatten(
     frame: DataFrame, column: str, keep: Iterable[str] = (), timestamp_fields: Iterable[str] = (), structured: bool = False,
     leaves: list[Leaf] | None = None, prefix: str = "",
 ) -> tuple[DataFrame, list[Field], list[Leaf]]:
-    """The wide typed frame of a JSON text column, its fields, and the leaves found.
+    """The wide typed frame of a column of JSON text, or of VARIANT, its fields, and the leaves found.
 
     ``leaves`` given from elsewhere are not trusted: each value's type is looked at. ``keep`` are columns that stay in front. A name with several types
     has a column ``name__type`` for each; names that differ in nothing but case, and other columns of one name, get a number. ``prefix`` goes before
     every name, as ``props.``.
     """
     keep = list(keep)
-    parsed = frame.withColumn("_v", parse_json(F.col(quoted(column))))
+    given = F.col(quoted(column))
+    # Parsed once: what comes later, filters above all, cannot be pushed below the explode of one element.
+    parsed = frame.withColumn("_v", given if isinstance(frame.schema[column].dataType, VariantType) else F.explode(F.array(parse_json(given))))
     found_here = leaves is None
     leaves = discover(parsed, "_v", timestamp_fields, structured) if found_here else leaves
     names = [leaf.name for leaf in leaves if leaf.type != "null"]

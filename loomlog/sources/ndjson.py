@@ -21,15 +21,28 @@ def split_malformed(lines: DataFrame, column: str = "value") -> tuple[DataFrame,
 
 
 def is_record(line: Column) -> Column:
-    """Whether a line is one JSON object and nothing else.
+    """Whether a line is one JSON object and nothing else."""
+    return F.coalesce(F.ltrim(line).startswith("{") & _marked(line, _with_mark(line)), F.lit(False))
 
-    The parser does not look at what follows a value, so the line is parsed as the first of two elements; the second, a hash of the line, must stand where
-    it was put.
+
+def _with_mark(line: Column) -> Column:
+    """The line as the first of two elements; the parser does not look at what follows a value, so the second, a hash of the line, must
+    stand where it was put."""
+    return F.try_parse_json(F.concat(F.lit("["), line, F.lit(","), F.xxhash64(line).cast("string"), F.lit("]")))
+
+
+def _marked(line: Column, both: Column) -> Column:
+    return F.try_variant_get(both, "$[1]", "bigint") == F.xxhash64(line)
+
+
+def records(lines: DataFrame, column: str = "value", name: str = "_v") -> DataFrame:
+    """The lines that are records, with the record as a VARIANT column ``name``, parsed once.
+
+    Filters that come later cannot be pushed below the explode of one element, so they do not parse again.
     """
-    mark = F.xxhash64(line)
-    both = F.try_parse_json(F.concat(F.lit("["), line, F.lit(","), mark.cast("string"), F.lit("]")))
-    whole = F.ltrim(line).startswith("{") & (F.try_variant_get(both, "$[1]", "bigint") == mark)
-    return F.coalesce(whole, F.lit(False))
+    line = F.col(column)
+    parsed = lines.where(F.ltrim(line).startswith("{")).withColumn(name, F.explode(F.array(_with_mark(line))))
+    return parsed.where(_marked(line, F.col(name))).withColumn(name, F.try_variant_get(name, "$[0]", "variant"))
 
 
 def with_blocks(df: DataFrame, size: int = BLOCK, name: str = "block_id") -> DataFrame:

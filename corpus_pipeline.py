@@ -23,10 +23,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays.
+    """Of each group of near copies (five-word shingles, a similarity of 0.8 or more) the document with the smallest id stays.
 
-    Null, empty and word-less texts are copies of one another, so one of all these stays. An id names a document: of several rows with it one stays.
-    Rows with a null id cannot be told apart and all stay; they do not take the place of a document with an id.
+    Null, empty and word-less texts are copies of one another, so one of all these stays. An id names a document: of several rows with it one stays, that
+    with the first text in order. Rows with a null id cannot be told apart and all stay; they do not take the place of a document with an id.
     """
     return simhash.keep_one(docs)
 

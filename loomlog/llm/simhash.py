@@ -5,7 +5,7 @@ cost one aggregation. Two words at most ``distance`` bits apart agree on at leas
 ``distance + 1`` bands of bits (pigeonhole), so rows are grouped by band and each group is searched
 by the Gray index of ``gray_index``, which reports a spanning forest of the links, never all
 pairs. Groups above ``split`` members are dealt out again by bands of the bits that they do not share yet, which loses no link, up to
-``LEVELS`` times: then members share so many bits that a group has at most about a million different fingerprints. Components follow by star contraction.
+``LEVELS`` times: then members share so many bits that a group has at most about two million different fingerprints. Components follow by star contraction.
 
 ``near_duplicates`` links fingerprints of 64 bits, which tell texts apart that differ in more than a few words. ``near_copies`` is for texts
 whose five-word shingles have a similarity of 0.8 or more: its fingerprints have ``words`` times 64 bits, and at 0.8 two differ in 15 % of them on average. Rows are

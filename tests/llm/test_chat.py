@@ -92,6 +92,50 @@ def test_a_wrong_context_is_seen(spark):
             chat.read_back(wrong).collect()
 
 
+def test_examples_hold_their_contexts(spark):
+    """Contexts in one part or in several, written by one task or by several: each is whole."""
+    data = rows()
+    expanded = chat.expand(spark.createDataFrame(data, SCHEMA), turns=4)
+    wanted, before = {}, {}
+    for r in expanded.orderBy("conv_id", "start").collect():
+        if r.role == "assistant":
+            wanted[r.conv_id, r.start] = before.get(r.conv_id, "") + r.formatted[: r.target_start - r.start]
+        before[r.conv_id] = before.get(r.conv_id, "") + r.formatted
+    for size, together in ((chat.PART, chat.TOGETHER), (70, 3), (1, 1)):
+        made = chat.examples(expanded, others=True, size=size, together=together)
+        got, tasks = {}, set()
+        for r in made.withColumn("task", chat.F.spark_partition_id()).where("context IS NOT NULL").orderBy("conv_id", "start", "part").collect():
+            assert r.part == len(got.setdefault((r.conv_id, r.start), []))
+            got[r.conv_id, r.start].append(r.context)
+            tasks |= {r.task} if r.conv_id == 60 else set()
+        assert {k: "".join(v) for k, v in got.items()} == wanted
+        assert (len(tasks) > 1) == (together < 50) and (max(map(len, got.values())) > 1) == (size < 100)
+        back = chat.read_back(made).collect()
+        assert sorted((str(r.conv_id), r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in back) == brute(data)
+
+
+def test_contexts_kept_in_a_file(spark, monkeypatch):
+    monkeypatch.setattr(chat, "SPOOL", 100)
+    text, whole = chat._Text(40), b""
+    for i in range(50):
+        piece = f"piece {i} é".encode() * (i % 5)
+        text.add(piece)
+        whole += piece
+        assert b"".join([*text.closed(), text.last]) == whole
+    assert text.file._rolled
+
+
+def test_the_query_reads_whole_contexts(spark, monkeypatch, tmp_path):
+    data = [(1, 0, "user", "hi", ""), (1, 1, "assistant", "a", ""), (1, 2, "user", "b", ""), (1, 3, "assistant", "c", "")]
+    spark.createDataFrame(data, SCHEMA).write.parquet(f"{tmp_path}/conversations.parquet")
+    made, context = chat.examples, chat.F.col("context")
+    assert len(chat.op4_chat(spark, str(tmp_path)).collect()) == 2
+    for wrong in (chat.F.replace(context, chat.F.lit("hi"), chat.F.lit("ho")), chat.F.substring(context, 2, 1000), chat.F.lit(None).cast("string")):
+        monkeypatch.setattr(chat, "examples", lambda *a, wrong=wrong, **k: made(*a, **k).withColumn("context", wrong))
+        with pytest.raises(Exception, match="is not what precedes it"):
+            chat.op4_chat(spark, str(tmp_path)).collect()
+
+
 def test_empty(spark):
     frame = chat.expand(spark.createDataFrame([], SCHEMA))
     made = chat.examples(frame)

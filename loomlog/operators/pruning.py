@@ -15,25 +15,41 @@ from ..plans.resolver import Field
 FULL_SCAN = 0.8
 #: Bounds of texts are kept to this length. A cut text is no larger than the text, and order survives the cut.
 PREFIX = 64
+#: Fields that are catalogued in one pass over the rows.
+WIDTH = 200
+_CELLS = {"occurrences": "bigint", "low": "double", "high": "double", "first": "string", "last": "string"}
 
 
 def block_catalog(df: DataFrame, fields: Sequence[Field], block: str = "block_id") -> DataFrame:
     """``(block, name, type, occurrences, low, high, first, last)``: per block and field, with bounds as numbers for numbers and native times (in
-    microseconds), and as text, cut to ``PREFIX``, for texts."""
+    microseconds), and as text, cut to ``PREFIX``, for texts.
+
+    Bounds of texts are aggregated in order of the block. Rows that come in that order (``store.save`` puts them so) are read as a stream; others are
+    sorted, as they are and not once a field.
+    """
     parts = []
-    for f in fields:
-        number, text = F.lit(None).cast("double"), F.lit(None).cast("string")
-        if f.type in ("int", "double"):
-            number = f.col().cast("double")
-        elif f.native:
-            number = F.unix_micros(f.col().cast("timestamp")).cast("double")
-        elif f.type in ("string", "logtype", "timestamp"):
-            text = F.substring(f.col().cast("string"), 1, PREFIX)
-        parts.append(F.struct(F.lit(f.name).alias("name"), F.lit(f.type).alias("type"), f.col().isNotNull().alias("there"), number.alias("number"), text.alias("text")))
-    exploded = df.select(F.col(block), F.explode(F.array(*parts)).alias("c")).select(block, "c.*").where("there")
-    return exploded.groupBy(block, "name", "type").agg(
-        F.count(F.lit(1)).alias("occurrences"), F.min("number").alias("low"), F.max("number").alias("high"), F.min("text").alias("first"), F.max("text").alias("last")
-    )
+    for at in range(0, len(fields), WIDTH):
+        chosen = fields[at : at + WIDTH]
+        made, rows = [], []
+        for i, f in enumerate(chosen):
+            number, text = None, None
+            if f.type in ("int", "double"):
+                number = f.col().cast("double")
+            elif f.native:
+                number = F.unix_micros(f.col().cast("timestamp")).cast("double")
+            elif f.type in ("string", "logtype", "timestamp"):
+                text = F.substring(f.col().cast("string"), 1, PREFIX)
+            bounds = {"occurrences": F.count(f.col())}
+            if number is not None:
+                bounds |= {"low": F.min(number), "high": F.max(number)}
+            if text is not None:
+                bounds |= {"first": F.min(text), "last": F.max(text)}
+            made += [c.alias(f"_{k}{i}") for k, c in bounds.items()]
+            cells = [(F.col(f"_{k}{i}") if k in bounds else F.lit(None).cast(kind)).alias(k) for k, kind in _CELLS.items()]
+            rows.append(F.struct(F.lit(f.name).alias("name"), F.lit(f.type).alias("type"), *cells))
+        sums = df.groupBy(block).agg(*made)
+        parts.append(sums.select(block, F.explode(F.array(*rows)).alias("_c")).select(block, "_c.*").where("occurrences > 0"))
+    return reduce(DataFrame.union, parts)
 
 
 def merged(catalogs: DataFrame, block: str = "block_id") -> DataFrame:

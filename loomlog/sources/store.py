@@ -31,16 +31,18 @@ def save(
     """
     stored = _stored(df, fields, root, block, add=mode == "append")
     chosen = [f for f in fields if f.column in df.columns and f.column != block]
-    # What is written is also catalogued; it is computed once.
-    kept = df.select(*[F.col(quoted(c)) for c in dict.fromkeys([*(f.column for f in chosen), block])]).persist()
+    # What is written is also catalogued; it is computed once. Both want whole blocks one after the other: one shuffle and one sort do for both.
+    rows = df.select(*[F.col(quoted(c)) for c in dict.fromkeys([*(f.column for f in chosen), block])])
+    kept = rows.repartition(F.col(quoted(block))).sortWithinPartitions(F.col(quoted(block))).persist()
     try:
-        out = kept.select(*[f.col().alias(stored[f]) for f in chosen], F.col(quoted(block)).alias(block)).repartition(block)
+        out = kept.select(*[f.col().alias(stored[f]) for f in chosen], F.col(quoted(block)).alias(block))
         writer = out.write.mode(mode).option("compression", codec).partitionBy(block)
         for f in chosen:
             if f.name in bloom:
                 writer = writer.option(f"parquet.bloom.filter.enabled#{stored[f]}", "true")
         writer.parquet(f"{root}/data")
-        block_catalog(kept, chosen, block).write.mode("overwrite").parquet(f"{root}/catalog/batch={uuid.uuid4().hex}")
+        # Gathered again, so that the catalog has few files.
+        block_catalog(kept, chosen, block).hint("rebalance").write.mode("overwrite").parquet(f"{root}/catalog/batch={uuid.uuid4().hex}")
     finally:
         kept.unpersist()
 

@@ -169,6 +169,44 @@ def test_native_times_prune(spark):
     assert {r.block_id for r in pruning.select_blocks(cat, text).collect()} == {1} and e.pruned(text, cat).query(text).count() == e.query(text).count() == 4
 
 
+def final_plan(df):
+    """The plan as it was run, without what lies below a cached frame."""
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].split("InMemoryRelation")[0]
+
+
+def catalogued(monkeypatch):
+    """The plans by which catalogs are computed from here on."""
+    plans, plain = [], store.block_catalog
+    monkeypatch.setattr(store, "block_catalog", lambda *a: plans.append(final_plan(plain(*a))) or plain(*a))
+    return plans
+
+
+def test_a_store_is_catalogued_without_sorting_its_cells(spark, tmp_path, monkeypatch):
+    plans = catalogued(monkeypatch)
+    df = spark.range(0, 3000, 1, 6).selectExpr("id % 7 as block_id", "if(id % 7 = 3, null, id) as n", "concat('t', id) as s", "id > 4 as flag", "timestamp_seconds(id) as at", "id * 0.5D as d")
+    Engine(df).save(f"file://{tmp_path}/store")
+    assert len(plans) == 1 and "SortAggregate" in plans[0] and "Sort [" not in plans[0] and "Exchange" not in plans[0]
+    want = set()
+    for b in range(7):
+        ids = range(b, 3000, 7)
+        texts = sorted(f"t{i}" for i in ids)
+        want |= {(b, "s", "string", len(ids), None, None, texts[0], texts[-1]), (b, "flag", "bool", len(ids), None, None, None, None),
+                 (b, "at", "timestamp", len(ids), ids[0] * 1e6, ids[-1] * 1e6, None, None), (b, "d", "double", len(ids), ids[0] / 2, ids[-1] / 2, None, None)}
+        want |= {(b, "n", "int", len(ids), float(ids[0]), float(ids[-1]), None, None)} if b != 3 else set()
+    cat = store.catalog(spark, f"file://{tmp_path}/store")
+    assert set(map(tuple, cat.collect())) == want and store.load(spark, f"file://{tmp_path}/store").count() == 3000
+
+
+def test_catalog_of_many_fields(spark, monkeypatch):
+    monkeypatch.setattr(pruning, "WIDTH", 3, raising=False)
+    df = spark.range(20).selectExpr("id % 2 as block_id", *[f"if(id >= {i}, id + {i}, null) as f{i}" for i in range(8)], "cast(null as bigint) as none")
+    fields = [f for f in Engine(df).fields if f.name != "block_id"]
+    got = {(r.block_id, r.name): (r.occurrences, r.low, r.high) for r in pruning.block_catalog(df, fields).collect()}
+    assert got == {(b, f"f{i}"): (len(v), min(v) + i, max(v) + i) for b in (0, 1) for i in range(8) for v in [[x for x in range(b, 20, 2) if x >= i]]}
+    assert not pruning.block_catalog(df.limit(0), fields).collect()
+
+
 def test_windowed_counts(spark, tmp_path):
     rows = [("2024-01-01 00:00:01", "a"), ("2024-01-01 00:04:59", "a"), ("2024-01-01 00:05:00", "b")]
     spark.createDataFrame(rows, "t string, k string").selectExpr("cast(t as timestamp) t", "k").write.parquet(f"{tmp_path}/e")

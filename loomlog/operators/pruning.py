@@ -20,13 +20,15 @@ WIDTH = 200
 _CELLS = {"occurrences": "bigint", "low": "double", "high": "double", "first": "string", "last": "string"}
 
 
-def block_catalog(df: DataFrame, fields: Sequence[Field], block: str = "block_id") -> DataFrame:
+def block_catalog(df: DataFrame, fields: Sequence[Field], block: str = "block_id", number: int | None = None) -> DataFrame:
     """``(block, name, type, occurrences, low, high, first, last)``: per block and field, with bounds as numbers for numbers and native times (in
     microseconds), and as text, cut to ``PREFIX``, for texts.
 
     Bounds of texts are aggregated in order of the block. Rows that come in that order (``store.save`` puts them so) are read as a stream; others are
-    sorted, as they are and not once a field.
+    sorted, as they are and not once a field. With a ``number`` all rows are that block's, and nothing is sorted or held.
     """
+    keys = [block] if number is None else []
+    key = F.col(block) if number is None else F.lit(number).cast("bigint").alias(block)
     parts = []
     for at in range(0, len(fields), WIDTH):
         chosen = fields[at : at + WIDTH]
@@ -47,8 +49,8 @@ def block_catalog(df: DataFrame, fields: Sequence[Field], block: str = "block_id
             made += [c.alias(f"_{k}{i}") for k, c in bounds.items()]
             cells = [(F.col(f"_{k}{i}") if k in bounds else F.lit(None).cast(kind)).alias(k) for k, kind in _CELLS.items()]
             rows.append(F.struct(F.lit(f.name).alias("name"), F.lit(f.type).alias("type"), *cells))
-        sums = df.groupBy(block).agg(*made)
-        parts.append(sums.select(block, F.explode(F.array(*rows)).alias("_c")).select(block, "_c.*").where("occurrences > 0"))
+        sums = df.groupBy(*keys).agg(*made)
+        parts.append(sums.select(key, F.explode(F.array(*rows)).alias("_c")).select(block, "_c.*").where("occurrences > 0"))
     return reduce(DataFrame.union, parts)
 
 

@@ -52,7 +52,7 @@ def write_block(df: DataFrame, fields: Sequence[Field], root: str, number: int,
     stored = _stored(df, fields, root, "block_id", add=True)
     df.select(*[f.col().alias(stored[f]) for f in fields]).write.mode("overwrite").option("compression", codec).parquet(f"{root}/data/block_id={number}")
     written = load(df.sparkSession, root, blocks=[number])
-    block_catalog(written, load_fields(df.sparkSession, root), "block_id").write.mode("overwrite").parquet(f"{root}/catalog/batch=block-{number}")
+    block_catalog(written, load_fields(df.sparkSession, root), "block_id", number).write.mode("overwrite").parquet(f"{root}/catalog/batch=block-{number}")
 
 
 def _stored(df: DataFrame, fields: Sequence[Field], root: str, block: str, add: bool) -> dict[Field, str]:

@@ -198,6 +198,20 @@ def test_a_store_is_catalogued_without_sorting_its_cells(spark, tmp_path, monkey
     assert set(map(tuple, cat.collect())) == want and store.load(spark, f"file://{tmp_path}/store").count() == 3000
 
 
+def test_a_batch_is_catalogued_without_sorting(spark, tmp_path, monkeypatch):
+    plans, root = catalogued(monkeypatch), f"file://{tmp_path}/store"
+    for number, low in ((4, 10), (9, 500)):
+        df = spark.range(low, low + 90, 1, 3).selectExpr("id as n", "concat('t', id) as s", "cast(null as double) as d")
+        store.write_block(df, Engine(df).fields, root, number)
+    assert len(plans) == 2 and not any("Sort [" in p or "hashpartitioning" in p for p in plans)
+    got = {tuple(r) for r in store.catalog(spark, root).collect()}
+    assert got == {(4, "n", "int", 90, 10.0, 99.0, None, None), (4, "s", "string", 90, None, None, "t10", "t99"),
+                   (9, "n", "int", 90, 500.0, 589.0, None, None), (9, "s", "string", 90, None, None, "t500", "t589")}
+    empty = spark.range(0).selectExpr("id as n", "'x' as s", "cast(null as double) as d")
+    store.write_block(empty, Engine(empty).fields, root, 11)
+    assert store.catalog(spark, root).where("block_id = 11").count() == 0
+
+
 def test_catalog_of_many_fields(spark, monkeypatch):
     monkeypatch.setattr(pruning, "WIDTH", 3, raising=False)
     df = spark.range(20).selectExpr("id % 2 as block_id", *[f"if(id >= {i}, id + {i}, null) as f{i}" for i in range(8)], "cast(null as bigint) as none")
